@@ -1,10 +1,17 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import decontam, line_dedup, mixing
+from . import decontam, line_dedup, mixing, url_filter, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op4_mixing": mixing.op4_mixing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_decontamination": decontam.op6_decontamination,
+    "op8_url_filters": url_filter.op8_url_filters,
+}
+ORACLES = {
+    "op2_warc": warc.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
+    "op6_decontamination": decontam.ORACLE,
+    "op8_url_filters": url_filter.ORACLE,
 }
-ORACLES = {"op5_line_dedup": line_dedup.ORACLE, "op6_decontamination": decontam.ORACLE}
