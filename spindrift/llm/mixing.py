@@ -70,7 +70,7 @@ def draw_slots(sources: DataFrame, block_tokens: int, shard_blocks: int, seed: i
     src = src.withColumn("shards", F.greatest(F.ceil(total / shard_blocks), F.lit(1)).cast("long")).where("slots > 0")
     parts = src.select(
         "rank", "blocks", "slots", "shards", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {CHUNK}"))).alias("part")
-    ).repartition("rank", "part")
+    ).repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "part")
     first = F.col("part") * CHUNK
     slots = parts.select(
         "rank", "blocks", "shards", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1)).alias("slot")
@@ -148,7 +148,7 @@ def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
         "rank", "block", "source", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n_words"]).alias("n_words"),
         F.col("p.doc_id").alias("doc_ids"), F.array_join("p.text", " ").alias("text"),
     )
-    out = slots.join(blocks, ["rank", "block"])
+    out = slots.hint("merge").join(blocks, ["rank", "block"])
     return out.select("shard", "slot", "source", "pass", "block", "n_words", "doc_ids", "text")
 
 
@@ -156,7 +156,8 @@ def op4_mixing(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sources, spans, slots = mix_sources(docs)
     times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
-    taken = spans.join(times, ["rank", "block"], "left").groupBy("doc_id", "rank", "size").agg(
+    # Spark guesses the size of times from that of the few source rows it unfolds from, and would broadcast it.
+    taken = spans.join(times.hint("merge"), ["rank", "block"], "left").groupBy("doc_id", "rank", "size").agg(
         F.coalesce(F.sum(F.col("n_words") * F.col("times")), F.lit(0)).alias("taken")
     )
     return taken.join(sources.select("rank", "source_size", "target"), "rank").select(

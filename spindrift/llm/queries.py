@@ -1,13 +1,15 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import decontam, line_dedup, mixing, url_filter, warc
+from . import decontam, language_id, line_dedup, media, mixing, url_filter, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op3_media": media.op3_media,
     "op4_mixing": mixing.op4_mixing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_decontamination": decontam.op6_decontamination,
     "op8_url_filters": url_filter.op8_url_filters,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
     "op2_warc": warc.ORACLE,
