@@ -176,7 +176,7 @@ def grouped(texts: list[str]) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(texts)], strict=True)) if texts else []
 
 
-def train(rows: DataFrame, sample_docs: int = 2000, calibration: float = 0.2, margin: float = 0.25) -> Models | None:
+def train(rows: DataFrame, sample_docs: int = 2000, calibration: float = 0.2, margin: float = 1.5) -> Models | None:
     """The models from labelled rows (doc_id, text, lang); None if there are none."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language

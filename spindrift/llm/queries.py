@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import decontam, language_id, line_dedup, media, mixing, url_filter, warc
+from . import decontam, language_id, line_dedup, lm_score, media, mixing, url_filter, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_decontamination": decontam.op6_decontamination,
+    "op7_lm_score": lm_score.op7_lm_score,
     "op8_url_filters": url_filter.op8_url_filters,
     "op10_language_id": language_id.op10_language_id,
 }
