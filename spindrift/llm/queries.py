@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import decontam, language_id, line_dedup, lm_score, media, mixing, url_filter, warc
+from . import decontam, language_id, line_dedup, lm_score, media, mixing, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_decontamination": decontam.op6_decontamination,
     "op7_lm_score": lm_score.op7_lm_score,
     "op8_url_filters": url_filter.op8_url_filters,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
@@ -17,4 +18,5 @@ ORACLES = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_decontamination": decontam.ORACLE,
     "op8_url_filters": url_filter.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
 }
