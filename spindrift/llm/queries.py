@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import decontam, language_id, line_dedup, lm_score, media, mixing, suffix_dedup, url_filter, warc
+from . import decontam, language_id, line_dedup, lm_score, media, mixing, ngram_join, suffix_dedup, url_filter, warc
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_warc": warc.op2_warc,
     "op3_media": media.op3_media,
     "op4_mixing": mixing.op4_mixing,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op2_warc": warc.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_decontamination": decontam.ORACLE,

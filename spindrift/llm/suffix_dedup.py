@@ -152,8 +152,7 @@ def anchor_blocks(batches, buckets: int):
             mine = mine[np.lexsort((at[mine], doc[mine], bucket[mine]))]
             begin = runs(bucket[mine])
             hashes, docs = [], []
-            for a, b in zip(begin, [*begin[1:], len(mine)], strict=True):
-                rows = mine[a:b]
+            for rows in np.split(mine, begin[1:]) if len(mine) else []:
                 low = (h[rows] & U((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
                 hashes.append(b"" if kind == KNOWN else low.tobytes())
                 seen = np.zeros(0 if kind == MARK else len(rows), SEEN)

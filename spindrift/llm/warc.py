@@ -1,6 +1,6 @@
 """Operator 2, WARC: archives of web records packaged in ZIP files, written and read by Spark tasks.
 
-A writing task streams its rows into ZIP files of stored members: archive/data.warc with the records and
+A writing task streams its rows into ZIP files of stored members: archive/data.warc.gz with the records, each compressed by itself as such archives do, and
 indexes/index.cdxj with a line (offset, length, record id) for each. A file gets its name only when it is whole, and
 the manifest of finished files is kept as a table, so that a task that runs again leaves no record twice. The reader
 parses the end record, the ZIP64 records and the central directory, locates the stored members, reads the index and
@@ -14,6 +14,7 @@ no archives and no rows; other columns are ignored. Memory of a task: one archiv
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, stored, table
 
-RECORDS = "archive/data.warc"
+RECORDS = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
 MANIFEST = "path string, records long, bytes long"
 READ = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -65,6 +66,7 @@ class ArchiveWriter:
         self.at, self.index = 0, []
 
     def add(self, name: str, data: bytes) -> None:
+        data = gzip.compress(data, 1, mtime=0)
         self.member.write(data)
         self.index.append(json.dumps({"offset": self.at, "length": len(data), "id": name}))
         self.at += len(data)
@@ -165,7 +167,9 @@ def members(file, size: int) -> dict[str, tuple[int, int]]:
 
 
 def parse(data: bytes) -> dict:
-    """The fields of READ from one record's bytes."""
+    """The fields of READ from one record's bytes, compressed or plain."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
