@@ -127,8 +127,10 @@ def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: (shard, slot, source, pass, block, n_words, doc_ids, text), one row a slot; words are joined by a space."""
     sources, spans, slots = mix_sources(docs, **options)
     spans = spans.where(~F.col("bare"))
-    words = docs.groupBy("doc_id", "source").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
-    words = words.select(
+    texts = docs.select("doc_id", "source", "text")
+    if not docs.groupBy("doc_id", "source").count().where("count > 1").isEmpty():  # one document each
+        texts = texts.groupBy("doc_id", "source").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
+    words = texts.select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("_words")
     )
     per_doc = spans.groupBy("doc_id", "source").agg(F.collect_list(F.struct("rank", "block", "position", "from_word", "n_words")).alias("parts"))
@@ -141,14 +143,15 @@ def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
         ),
     )
     pieces = pieces.select("doc_id", "source", F.inline(cut))
-    blocks = pieces.groupBy("rank", "block", "source").agg(
-        F.array_sort(F.collect_list(F.struct("position", "doc_id", "n_words", "text"))).alias("p")
+    # Grouped by the key of the join below, so that the blocks' text moves once.
+    blocks = pieces.groupBy("rank", "block").agg(
+        F.array_sort(F.collect_list(F.struct("position", "doc_id", "n_words", "text"))).alias("p"), F.first("source").alias("source")
     )
     blocks = blocks.select(
         "rank", "block", "source", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n_words"]).alias("n_words"),
         F.col("p.doc_id").alias("doc_ids"), F.array_join("p.text", " ").alias("text"),
     )
-    out = slots.hint("merge").join(blocks, ["rank", "block"])
+    out = slots.join(blocks.hint("merge"), ["rank", "block"])
     return out.select("shard", "slot", "source", "pass", "block", "n_words", "doc_ids", "text")
 
 
