@@ -34,17 +34,19 @@ def unicode_pattern(pattern: str, ignore_case: bool = False, profile: str = "ser
     return f"(?{'i' if ignore_case else ''}{'U' if profile == 'server' else ''})" * (ignore_case or profile == "server") + pattern
 
 
-def find_all(text: Column, pattern: str) -> Column:
+def find_all(text: Column, pattern: str, keep=None) -> Column:
     """array<struct<start, end, text>> of the matches from left to right; offsets count code points.
 
-    Matches are fenced by a mark and split off, so every second part is a match and offsets are sums of lengths."""
+    Matches are fenced by a mark and split off, so every second part is a match and offsets are sums of lengths.
+    `keep(text, start)` leaves matches out before they are gathered."""
     fenced = F.regexp_replace(F.translate(text, MARK, "�"), pattern, f"{MARK}$0{MARK}")
     start = row(at=F.lit(0), odd=F.lit(False), out=empty("struct<start:int,end:int,text:string>"))
 
     def add(a: Column, part: Column) -> Column:
         end = a["at"] + F.length(part)
         found = F.concat(a["out"], F.array(row(start=a["at"], end=end, text=part)))
-        return row(at=end, odd=~a["odd"], out=F.when(a["odd"], found).otherwise(a["out"]))
+        wanted = a["odd"] if keep is None else a["odd"] & keep(part, a["at"])
+        return row(at=end, odd=~a["odd"], out=F.when(wanted, found).otherwise(a["out"]))
 
     parts = F.split(fenced, MARK, -1)
     return let(parts, lambda p: F.when(F.size(p) < 2, empty("struct<start:int,end:int,text:string>")).otherwise(F.aggregate(p, start, add, lambda a: a["out"])))

@@ -46,10 +46,14 @@ SELECT d.doc_id, sha256(CASE WHEN l IS NULL THEN d.text ELSE list_reduce(list_pr
 FROM docs d LEFT JOIN lists ON d.doc_id = lists.doc_id"""
 
 
-LINES = """
-WITH lines AS (
+ORDER_LINES = """
+WITH order_lines AS (
+  SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus
+  FROM lineitem GROUP BY l_orderkey, l_linenumber
+)"""
+LINES = ORDER_LINES + """, lines AS (
   SELECT l_orderkey // 8 AS doc_id, (l_partkey % 500)::INT AS start, (l_partkey % 500 + l_quantity)::INT AS "end", l_returnflag AS label,
-         l_linenumber::DOUBLE / 10 AS score, (l_orderkey * 8 + l_linenumber)::BIGINT AS seq, l_linestatus AS status FROM lineitem
+         l_linenumber::DOUBLE / 10 AS score, (l_orderkey * 8 + l_linenumber)::BIGINT AS seq, l_linestatus AS status FROM order_lines
 )"""
 #: White space of the Unicode class, with the separators that Python counts.
 BLANK = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -190,11 +194,12 @@ SELECT doc_id, r.s AS start, r.e AS "end", r.l AS label, r.c AS score, r.q::INT
 SELECT doc_id, start, "end", label, seq FROM lines a WHERE status = 'O' AND NOT EXISTS (
   SELECT 1 FROM lines b WHERE b.status = 'F' AND a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end")""",
     "repaired_spans": LINES + """, met AS (
-  SELECT a.doc_id, a.seq, a.start, a."end", a.label, a.score, min({'s': b.start, 'e': b."end"}) AS m FROM lines a
+  SELECT a.doc_id, a.seq, a.start, a."end", a.label, a.score, min({'s': b.start, 'e': b."end"}) AS m, count(b.start) AS k FROM lines a
   LEFT JOIN lines b ON b.status = 'F' AND a.doc_id = b.doc_id AND a.label = b.label AND a.start < b."end" AND b.start < a."end"
   WHERE a.status = 'O' GROUP BY ALL
 )
-SELECT doc_id, seq, coalesce(m.s, start) AS start, coalesce(m.e, "end") AS "end", label, CASE WHEN m IS NULL THEN score ELSE greatest(score, 0.99) END AS score, m IS NOT NULL AS verified FROM met""",
+SELECT doc_id, seq, CASE WHEN k > 0 THEN m.s ELSE start END AS start, CASE WHEN k > 0 THEN m.e ELSE "end" END AS "end", label,
+       CASE WHEN k > 0 THEN greatest(score, 0.99) ELSE score END AS score, k > 0 AS verified FROM met""",
     "contained_spans": LINES + """, marked AS (
   SELECT *, max("end") OVER (PARTITION BY doc_id, label ORDER BY start, "end" DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lines
 )
@@ -214,10 +219,9 @@ FROM codes c LEFT JOIN dim d ON c.code = d.code""",
     "span_scores": SIDES + " SELECT hit, extra, miss, precision, recall, f1 FROM scored",
     "span_fidelity": SIDES + """, docs AS (SELECT DISTINCT o_orderkey // 8 AS doc_id FROM orders), bad AS (SELECT DISTINCT doc_id FROM pairs WHERE p <> g)
 SELECT f1 AS span_agreement, (SELECT avg((b.doc_id IS NULL)::INT)::DOUBLE FROM docs d LEFT JOIN bad b ON d.doc_id = b.doc_id) AS exact_documents FROM scored""",
-    "bio_decode": (BIO_DECODE := """
-WITH tokens AS (
+    "bio_decode": (BIO_DECODE := ORDER_LINES + """, tokens AS (
   SELECT l_orderkey AS doc_id, l_linenumber AS pos, (l_linenumber * 10)::INT AS start, (l_linenumber * 10 + 5)::INT AS "end",
-         ['O', 'B-PER', 'I-PER', 'I-PER', 'B-EMAIL', 'I-EMAIL'][(l_partkey % 6 + 1)::INT] AS name, (l_partkey % 100) / 100 AS score FROM lineitem
+         ['O', 'B-PER', 'I-PER', 'I-PER', 'B-EMAIL', 'I-EMAIL'][(l_partkey % 6 + 1)::INT] AS name, (l_partkey % 100) / 100 AS score FROM order_lines
 ), named AS (
   SELECT *, CASE WHEN name <> 'O' THEN substr(name, 3) END AS label FROM tokens
 ), opened AS (
@@ -227,11 +231,10 @@ WITH tokens AS (
 )
 SELECT doc_id, min(start) AS start, max("end") AS "end", min(label) AS label, min(score) AS score FROM numbered WHERE label IS NOT NULL GROUP BY doc_id, span"""),
     "bio_decode_arrays": BIO_DECODE,
-    "bio_encode": """
-WITH t AS (
-  SELECT l_orderkey AS doc_id, (l_linenumber * 10)::INT AS start, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INT AS pos FROM lineitem
+    "bio_encode": ORDER_LINES + """, t AS (
+  SELECT l_orderkey AS doc_id, (l_linenumber * 10)::INT AS start, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INT AS pos FROM order_lines
 ), s AS (
-  SELECT l_orderkey AS doc_id, l_linenumber * 20 AS a, l_linenumber * 20 + 15 AS b, ['PER', 'LOC', 'ODD'][(l_partkey % 3 + 1)::INT] AS label FROM lineitem
+  SELECT l_orderkey AS doc_id, l_linenumber * 20 AS a, l_linenumber * 20 + 15 AS b, ['PER', 'LOC', 'ODD'][(l_partkey % 3 + 1)::INT] AS label FROM order_lines
 )
 SELECT t.doc_id, pos, start, (CASE WHEN label = 'PER' THEN 1 WHEN label = 'LOC' THEN 3 ELSE 0 END + CASE WHEN label IN ('PER', 'LOC') AND start <> a THEN 1 ELSE 0 END)::INT AS code
 FROM t LEFT JOIN s ON t.doc_id = s.doc_id AND start >= a AND start + 5 <= b""",
@@ -273,7 +276,7 @@ SELECT count(*) AS lines, count(DISTINCT line) AS unique_lines FROM lines WHERE
     "vocabulary_latin": VOCABULARY + " SELECT count(*) AS pieces, sum(length(piece))::BIGINT AS characters FROM flagged WHERE safe OR latin",
     "translated_ids": VOCABULARY + """
 SELECT count(*) AS ids, count(*) FILTER (new_id IS NULL) AS pruned, max(new_id) AS last FROM vocab LEFT JOIN kept ON vocab.id = kept.old_id""",
-    "alias_chains": "SELECT c_custkey AS alias, (c_custkey - 1) // 10 * 10 + 1 AS target FROM customer WHERE c_custkey % 10 <> 1",
+    "alias_chains": "SELECT c_custkey AS alias, (c_custkey - 1) // 10 * 10 + 1 AS target FROM customer WHERE c_custkey > 0 AND c_custkey % 10 <> 1",
     "reached_names": """
 WITH RECURSIVE r(name) AS (SELECT c_custkey FROM customer WHERE c_custkey % 100 = 1 UNION SELECT c_custkey * 2 FROM r JOIN customer ON name = c_custkey)
 SELECT c_custkey AS name, c_mktsegment FROM customer WHERE c_custkey IN (SELECT name FROM r)""",

@@ -20,8 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores is dealt out before row-local work; a larger one stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def order_lines(spark, sf_dir) -> DataFrame:
+    """One row for each order and line number."""
+    top = [F.max(c).alias(c) for c in ("l_partkey", "l_quantity", "l_returnflag", "l_linestatus")]
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*top)
 
 
 def found(docs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -107,19 +119,19 @@ def analyze_browser(spark, sf_dir) -> DataFrame:
 
 
 def analyze_gold(spark, sf_dir) -> DataFrame:
-    gold = corpus.gold_sentences(table(spark, sf_dir, "customer"), "c_custkey")
+    gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
     out = pipeline.analyze(gold.select("doc_id", "text"))
     return pipeline.entity_rows(out, "doc_id")
 
 
 def gold_scores(spark, sf_dir) -> DataFrame:
-    gold = corpus.gold_sentences(table(spark, sf_dir, "customer"), "c_custkey")
+    gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
     found_ = pipeline.analyze(gold.select("doc_id", "text"))
     return evaluation.scores(evaluation.span_keys(found_), evaluation.span_keys(gold))
 
 
 def gold_sentences(spark, sf_dir) -> DataFrame:
-    gold = corpus.gold_sentences(table(spark, sf_dir, "customer"), "c_custkey")
+    gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
     return gold.select("doc_id", F.inline("entities"))
 
 
@@ -130,7 +142,7 @@ def markers(spark, sf_dir) -> DataFrame:
 
 def line_spans(spark, sf_dir) -> DataFrame:
     """Spans made of order lines: a document is eight orders."""
-    return table(spark, sf_dir, "lineitem").select(
+    return order_lines(spark, sf_dir).select(
         F.expr("l_orderkey div 8").alias("doc_id"), (F.col("l_partkey") % 500).cast("int").alias("start"),
         (F.col("l_partkey") % 500 + F.col("l_quantity")).cast("int").alias("end"), F.col("l_returnflag").alias("label"),
         (F.col("l_linenumber").cast("double") / 10).alias("score"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("seq"),
@@ -212,7 +224,7 @@ def span_fidelity(spark, sf_dir) -> DataFrame:
 def bio_tokens(spark, sf_dir) -> DataFrame:
     names = F.array(*[F.lit(BIO[i]) for i in (0, 1, 2, 2, 7, 8)])
     pos = F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(
+    return order_lines(spark, sf_dir).select(
         F.col("l_orderkey").alias("doc_id"), pos.alias("pos"), (pos * 10).cast("int").alias("start"), (pos * 10 + 5).cast("int").alias("end"),
         F.get(names, F.col("l_partkey") % 6).alias("name"), (F.col("l_partkey") % 100 / 100.0).alias("score"),
     )
@@ -231,7 +243,7 @@ def bio_decode_arrays(spark, sf_dir) -> DataFrame:
 
 
 def bio_encode(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
+    rows = order_lines(spark, sf_dir)
     n = F.col("l_linenumber")
     token = F.struct((n * 10).cast("int").alias("start"), (n * 10 + 5).cast("int").alias("end"))
     label = F.get(F.array(F.lit("PER"), F.lit("LOC"), F.lit("ODD")), F.col("l_partkey") % 3)
@@ -299,7 +311,7 @@ def translated_ids(spark, sf_dir) -> DataFrame:
 
 
 def alias_chains(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 1").select(F.col("c_custkey").alias("alias"), (F.col("c_custkey") - 1).alias("target"))
+    rows = table(spark, sf_dir, "customer").where("c_custkey > 0 AND c_custkey % 10 <> 1").select(F.col("c_custkey").alias("alias"), (F.col("c_custkey") - 1).alias("target"))
     return corpus.resolve_aliases(rows)
 
 
@@ -325,7 +337,7 @@ def wordpiece_ids(spark, sf_dir) -> DataFrame:
 
 def streamed_entities(spark, sf_dir) -> DataFrame:
     """The entities of all documents, found by a stream that reads the table's files once."""
-    docs = stream.read_documents(spark, f"{sf_dir}/documents.parquet")
+    docs = stream.read_documents(spark, f"{sf_dir}/documents.parque[t]")  # a pattern may also match a single file
     out, state = (scratch.new_path(spark, x) for x in ("stream-out", "stream-state"))
     entities = stream.entity_stream(docs, classifier=structured_classifier).select("doc_id", "label", "start", "end", "text")
     query = stream.write_entities(entities, out, state)
