@@ -13,8 +13,9 @@ model picks from the sizes' histogram:
   components being known, only sets of different components, the lists' minorities against the rest. All
   candidates are verified on the whole sets.
 
-The hash range holds part of the shingles of large sets, and all of those of small ones, whose prefixes are taken in
-both ranges; the counting argument holds in any fixed part of the universe in which a set has over a shingles.
+There are lists of a hash range's shingles, for large sets and those near to them in size, and lists of all
+shingles, for small sets; the counting argument holds in any fixed part of the universe in which a set has over a
+shingles. Sets whose rarest shingles already leave too little for the partner's size are not met.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; rows that share a
 doc_id are one node by their doc_id, with the size of one of them (the largest); a null doc_id is dropped from
@@ -37,7 +38,9 @@ from .shingles import U, grouped, mix, shingle_sets
 #: Similarity as percent: 100 * intersection >= LINK * union.
 LINK = 80
 #: Sets of at least LARGE shingles are indexed by those in the first SHARE of the hash range.
-LARGE, SHARE = 300, 0.4
+LARGE, SHARE = 1500, 0.4
+#: Tells the hash range's lists from those of all shingles; buckets leave this bit free.
+RANGED = U(1 << 62)
 LOW = (1 << 48) - 1
 #: Sets that one task may know to share a shingle before it sends them apart from the shingle's other sets.
 COMMON = 64
@@ -175,7 +178,8 @@ def shared_rows(doc, token, count) -> pa.RecordBatch:
 
 
 def prefixes(batches):
-    """(token, node, n) from (node, n, ranged, tokens array<struct<sets, token>>): the rarest that a partner must meet."""
+    """(token, node, n, place) from (node, n, ranged, tokens array<struct<sets, token>>): the rarest shingles, one of
+    which a partner must have, and how many rarer ones the set has before each."""
     for batch in batches:
         out = []
         items = batch.column(3).flatten()
@@ -183,15 +187,21 @@ def prefixes(batches):
         cuts = batch.column(3).offsets.to_numpy() - batch.column(3).offsets[0].as_py()
         for k, (node, n, ranged) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
             t, s = token[cuts[k] : cuts[k + 1]], sets[cuts[k] : cuts[k + 1]]
-            order = np.lexsort((t, s))
-            t = t[order]
-            inside, most = t[in_range(t)], spare(n) + 1
-            wanted = inside[: max(0, most - (ranged - len(inside)))] if ranged >= most else inside
-            if not (n >= LARGE and ranged >= most):
-                wanted = np.union1d(wanted, t[: max(0, most - (n - len(t)))])
-            out.append((wanted, np.full(len(wanted), node), np.full(len(wanted), n)))
-        token_, node_, n_ = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(token_, U).view(np.int64)), pa.array(node_, pa.int64()), pa.array(n_, pa.int64())], ["token", "node", "n"])
+            t = t[np.lexsort((t, s))]
+            most = spare(n) + 1
+            # Shingles that no other set has come first in any order; they are known by their number only.
+            if n * 100 >= LARGE * LINK:  # the lists of the hash range, where large sets are
+                inside = t[in_range(t)]
+                place = ranged - len(inside) + np.arange(len(inside))
+                wanted = place < most if ranged >= most else place >= 0
+                out.append((inside[wanted] | RANGED, np.full(wanted.sum(), node), np.full(wanted.sum(), n), place[wanted]))
+            if n < LARGE or ranged < most:  # the lists of all shingles, where small sets are
+                place = n - len(t) + np.arange(len(t))
+                wanted = place < most
+                out.append((t[wanted], np.full(wanted.sum(), node), np.full(wanted.sum(), n), place[wanted]))
+        token_, node_, n_, place_ = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [], [])
+        columns = [np.asarray(token_, U).view(np.int64), node_, n_, place_]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "node", "n", "place"])
 
 
 def light_subsets(batches, light: int):
@@ -266,6 +276,12 @@ def near(n, m):
     return (100 * F.least(n, m)) >= LINK * F.greatest(n, m)
 
 
+def most_partner(n, place):
+    """The largest partner of a set of n whose `place` rarest shingles the partner lacks: n - place shingles in common
+    must be at least LINK / (100 + LINK) of both sizes."""
+    return F.floor(((100 + LINK) * (n - place) - LINK * n) / LINK)
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, copy_of) of each row of docs; copy_of is the smallest doc_id with an equal set."""
     spark = docs.sparkSession
@@ -292,25 +308,32 @@ def join_components(docs: DataFrame) -> DataFrame:
     shared = blocks.repartition(parts, "bucket").mapInArrow(shared_tokens, "doc_id long, token long, sets int")
     listed = shared.groupBy("doc_id").agg(F.collect_list(F.struct("sets", "token")).alias("tokens"))
     listed = listed.join(members, "doc_id").select("node", "n", "ranged", "tokens")
-    lists = stored(listed.mapInArrow(prefixes, "token long, node long, n long").distinct(), "join-lists")
+    lists = stored(listed.mapInArrow(prefixes, "token long, node long, n long, place long").distinct(), "join-lists")
 
     join = Join(docs)
-    lead = lists.groupBy("token").agg(F.min("node").alias("y"), F.min_by("n", "node").alias("m"), F.count("*").alias("rows")).where("rows > 1")
-    first = lists.join(lead.drop("rows"), "token").where(near(F.col("n"), F.col("m")) & (F.col("node") != F.col("y")))
+    # The leader is the set with the fewest shingles that no one shares, the hub of a group of near copies if there is one.
+    lists = lists.withColumn("most", most_partner(F.col("n"), F.col("place")))
+    lead = lists.groupBy("token").agg(F.min(F.struct("place", "node", "n", "most")).alias("l"), F.count("*").alias("rows")).where("rows > 1")
+    first = lists.join(lead.select("token", F.col("l.node").alias("y"), F.col("l.n").alias("m"), F.col("l.most").alias("most_y")), "token")
+    first = first.where(near(F.col("n"), F.col("m")) & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("most_y")) & (F.col("node") != F.col("y")))
     first = stored(first.select(F.col("node").alias("x"), "y").distinct(), "join-pairs")
     edges = stored(join.linked(first).unionByName(light_edges), "join-edges")
     found = components(edges, "join-components")
 
-    # Second scan: what the first left apart. Within a list, sets of its most frequent component are met by the others.
+    # Second scan: what the first left apart. A set whose rarest shingles leave only partners smaller than the list's
+    # least set has none there. Within a list, sets of its most frequent component are met by the others.
     named = lists.join(lead.select("token"), "token", "left_semi").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    named = stored(named.select("token", "node", "n", F.coalesce("component", "node").alias("component")), "join-named")
+    named = stored(named.select("token", "node", "n", "most", F.coalesce("component", "node").alias("component")), "join-named")
+    least_n = named.groupBy("token").agg(F.min("n").alias("least"))
+    named = stored(named.join(least_n, "token").where("most >= least").drop("least"), "join-named")
     groups = named.groupBy("token", "component").agg(F.count("*").alias("rows"))
     groups = groups.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"))
     groups = groups.where("parts > 1").select("token", "main")
     open_lists = named.join(groups, "token")
-    few = open_lists.where("component <> main").select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    rest = open_lists.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("is_main"))
-    second = few.join(rest, "token").where("cx <> cy AND (is_main OR x < y)").where(near(F.col("nx"), F.col("ny")))
+    side = lambda x: [F.col(c).alias(f"{c[0] if c != 'most' else 'most_'}{x}") for c in ("n", "most", "component")]
+    few = open_lists.where("component <> main").select("token", F.col("node").alias("x"), *side("x"))
+    rest = open_lists.select("token", F.col("node").alias("y"), *side("y"), (F.col("component") == F.col("main")).alias("is_main"))
+    second = few.join(rest, "token").where("cx <> cy AND (is_main OR x < y) AND ny <= most_x AND nx <= most_y").where(near(F.col("nx"), F.col("ny")))
     second = second.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     second = stored(second.join(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"), "join-pairs")
     more = join.linked(second)
