@@ -39,7 +39,8 @@ def find_all(text: Column, pattern: str, keep=None) -> Column:
 
     Matches are fenced by a mark and split off, so every second part is a match and offsets are sums of lengths.
     `keep(text, start)` leaves matches out before they are gathered."""
-    fenced = F.regexp_replace(F.translate(text, MARK, "�"), pattern, f"{MARK}$0{MARK}")
+    plain = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "�")).otherwise(text)
+    fenced = F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}")
     start = row(at=F.lit(0), odd=F.lit(False), out=empty("struct<start:int,end:int,text:string>"))
 
     def add(a: Column, part: Column) -> Column:
