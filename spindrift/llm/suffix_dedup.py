@@ -5,10 +5,11 @@ with its prefix, many times the text; so suffixes whose prefix can't recur in an
 
 1. Anchors: a window of LENGTH bytes is represented by its least `GRAM`-byte string (by hash). Equal windows have
    equal anchors at equal places, so only windows around an anchor that two documents share can be equal. A task
-   sends its anchors' hashes in packed blocks; anchors that it has seen in two documents itself go as one marker,
-   so that no anchor has more rows than there are tasks.
-2. Contexts: around each occurrence of a shared anchor all the bytes of the windows over it (SPAN bytes). Equal
-   contexts within a task are settled there: only the smallest document's goes on.
+   sends its anchors in packed blocks, each with a hash of its context, the bytes of all windows over it. Of equal
+   contexts the smallest document's is left, the others are settled on the spot: all their windows go. Anchors with
+   many contexts in one task are sent apart with one marker, so that no anchor gathers too many rows.
+2. Contexts: where a shared anchor has several contexts, windows may still agree in part. Their bytes (SPAN) are
+   taken from the texts.
 3. Buckets: a bucket holds the contexts of a range of anchors and sorts all their windows, one place after the other.
    A window reaches a place of the cover sample (every PERIOD bytes) within PERIOD - 1 bytes; the ranks of the
    sample's strings of LENGTH - PERIOD bytes are computed once per block, so a window's order is a rank and PERIOD
@@ -37,7 +38,7 @@ EDGE = LENGTH - GRAM
 SPAN = 2 * EDGE + GRAM
 BLOCK = LENGTH - PERIOD
 #: Bytes of text hashed at once, anchors that a task gathers before it sends them, contexts that are sorted at once.
-GROUP, GATHER, SORTED = 1 << 20, 1 << 22, 1 << 17
+GROUP, GATHER, SORTED = 1 << 19, 1 << 20, 1 << 16
 NO_ID = (1 << 63) - 1
 U = np.uint64
 RADIX = 0x9E3779B97F4A7C15
@@ -66,10 +67,10 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:-rest], m[rest:]) if rest else m
 
 
-def anchors(text: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all windows that lie within one owner."""
+def anchors(text: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(positions, hashes, prefix hashes of the text) of the anchors of all windows that lie within one owner."""
     if len(text) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(1, U)
     pw, inverse = powers(len(text) + 1)
     h = np.zeros(len(text) + 1, U)
     np.cumsum(BYTES[text] * pw[: len(text)], out=h[1:])
@@ -81,7 +82,7 @@ def anchors(text: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     pad = np.zeros(EDGE, U)
     most = ~sliding_min(~np.concatenate([pad, least, pad]), EDGE + 1)
     at = np.flatnonzero((most[:size] == gram) & (gram != 0))
-    return at, gram[at]
+    return at, gram[at], h
 
 
 def pieces(texts: list[bytes]):
@@ -115,117 +116,146 @@ def spread(begin: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(out) - 1
 
 
-def shared(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows in order of key, whether a row's key has two documents)."""
-    order = np.argsort(key, kind="stable")
-    if not len(order):
-        return order, np.zeros(0, bool)
-    begin, d = runs(key[order]), doc[order]
-    several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-    return order, several[spread(begin, len(d))]
+OPEN, KNOWN, MARK, SETTLED = 0, 1, 2, 3
+#: Contexts of one anchor that a task may have before they are sent apart.
+COMMON = 64
+BLOCKS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("grams", pa.binary()), ("rows", pa.binary())])
+#: What a block has of each anchor: name, type, bytes sent.
+FIELDS = [("doc", np.int64, 8), ("version", np.int64, 8), ("at", np.int64, 5), ("left", np.int64, 1), ("right", np.int64, 1), ("context", U, 6)]
+#: A place whose bytes are needed, or with a width a span that is settled.
+FOUND = "doc_id long, version long, at int, width int"
 
 
-OPEN, KNOWN, MARK = 0, 1, 2
-BLOCKS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("hashes", pa.binary()), ("docs", pa.binary())])
-#: A block's documents: id, text hash, position.
-SEEN = np.dtype([("id", "<i8"), ("text", "<i8"), ("at", "<i4")])
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The numbers' low bytes, byte by byte, so that those that repeat compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, kind, width: int, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return out.view(kind).ravel()
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
     return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def settle(gram: np.ndarray, rows: dict) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows sorted by gram and context, whether a smaller document has a row's context, contexts and whether several
+    documents there are of a row's gram)."""
+    order = np.lexsort((rows["doc"], rows["context"], gram))
+    rows, gram = {k: v[order] for k, v in rows.items()} | {"gram": gram[order]}, gram[order]
+    begin = runs(gram, rows["context"])
+    of = spread(begin, len(gram))
+    repeat = rows["doc"] > rows["doc"][begin][of]
+    first = runs(gram)
+    group = spread(first, len(gram))
+    contexts_ = np.add.reduceat(np.isin(np.arange(len(gram)), begin).astype(np.int64), first)[group]
+    several = (np.minimum.reduceat(rows["doc"], first) != np.maximum.reduceat(rows["doc"], first))[group]
+    return rows, repeat, contexts_, several
+
+
+def located(rows: dict, mask: np.ndarray, settled: bool):
+    """FOUND rows: places whose bytes are needed, or spans that are settled, united where they touch."""
+    doc, version, at = (rows[k][mask] for k in ("doc", "version", "at"))
+    if settled:
+        doc, version, at, stop = merged(doc, version, at - rows["left"][mask], at + GRAM + rows["right"][mask])
+    n = len(doc)
+    for a in range(0, n, 1 << 18):
+        b = min(n, a + (1 << 18))
+        width = pa.array((stop - at)[a:b].astype(np.int32)) if settled else pa.nulls(b - a, pa.int32())
+        columns = [pa.array(doc[a:b]), pa.array(version[a:b]), pa.array(at[a:b].astype(np.int32)), width]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "at", "width"])
+
+
 def anchor_blocks(batches, buckets: int):
-    """BLOCKS of the texts' anchors. The low 48 bits of a hash are sent, the high ones choose the bucket."""
+    """BLOCKS of the texts' anchors. The low 40 bits of a gram are sent, the high ones choose the bucket."""
     store: list[tuple] = []
+    sent = {OPEN: FIELDS, KNOWN: FIELDS, MARK: [], SETTLED: FIELDS[:-1]}
+
+    def block(rows: dict, mask: np.ndarray, kind: int):
+        mine = np.flatnonzero(mask)
+        bucket = ((rows["gram"][mine] >> U(40)) % U(buckets)).astype(np.int32)
+        order = np.lexsort((rows["at"][mine], rows["doc"][mine], bucket))
+        mine, bucket = mine[order], bucket[order]
+        cuts = np.split(mine, runs(bucket)[1:]) if len(mine) else []
+        yield pa.RecordBatch.from_arrays([
+            pa.array(bucket[runs(bucket)]), pa.array([kind] * len(cuts), pa.int8()),
+            pa.array([b"" if kind == SETTLED else planes(rows["gram"][r], 5) for r in cuts], pa.binary()),
+            pa.array([b"".join(planes(rows[n][r], w) for n, _, w in sent[kind]) for r in cuts], pa.binary()),
+        ], schema=BLOCKS)
 
     def flush():
-        h, doc, text, at = (np.concatenate(c) for c in zip(*store, strict=True))
+        gram, *columns = (np.concatenate(c) for c in zip(*store, strict=True))
         store.clear()
-        order, many = shared(h, doc)
-        h, doc, text, at = h[order], doc[order], text[order], at[order]
-        first = np.zeros(len(h), bool)
-        first[runs(h)] = True
-        bucket = ((h >> U(48)) % U(buckets)).astype(np.int32)
-        for kind, mask in ((OPEN, ~many), (KNOWN, many), (MARK, many & first)):
-            mine = np.flatnonzero(mask)
-            mine = mine[np.lexsort((at[mine], doc[mine], bucket[mine]))]
-            begin = runs(bucket[mine])
-            hashes, docs = [], []
-            for rows in np.split(mine, begin[1:]) if len(mine) else []:
-                low = (h[rows] & U((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
-                hashes.append(b"" if kind == KNOWN else low.tobytes())
-                seen = np.zeros(0 if kind == MARK else len(rows), SEEN)
-                if kind != MARK:
-                    seen["id"], seen["text"], seen["at"] = doc[rows], text[rows], at[rows]
-                # By column, so that what repeats within a document compresses.
-                docs.append(b"".join(seen[n].tobytes() for n in SEEN.names))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[mine][begin]), pa.array(np.full(len(begin), kind, np.int8)), pa.array(hashes, pa.binary()), pa.array(docs, pa.binary())],
-                schema=BLOCKS,
-            )
+        rows, repeat, contexts_, several = settle(gram, {n: c for (n, _, _), c in zip(FIELDS, columns, strict=True)})
+        lead = np.zeros(len(gram), bool)
+        lead[runs(rows["gram"])] = True
+        common = several & (contexts_ >= COMMON)
+        yield from block(rows, ~repeat & ~common, OPEN)
+        yield from block(rows, ~repeat & common, KNOWN)
+        # Another task's only row of a gram must learn that the gram is shared, and that it has several contexts.
+        yield from block(rows, lead & common, MARK)
+        yield from block(rows, repeat, SETTLED)
 
     held = 0
     for batch in batches:
-        ids, hashes, texts = ids_of(batch.column(0)), batch.column(1).to_numpy(), [t or b"" for t in batch.column(2).to_pylist()]
+        ids, versions, texts = ids_of(batch.column(0)), batch.column(1).to_numpy(), [t or b"" for t in batch.column(2).to_pylist()]
         for group in pieces(texts):
             row, at0 = np.array([g[0] for g in group]), np.array([g[1] for g in group])
             lens = np.array([len(g[2]) for g in group])
             owner = np.repeat(np.arange(len(group), dtype=np.int32), lens)
-            at, gram = anchors(np.frombuffer(b"".join(g[2] for g in group), np.uint8), owner)
+            at, gram, h = anchors(np.frombuffer(b"".join(g[2] for g in group), np.uint8), owner)
             which = owner[at]
             begin = np.cumsum(lens) - lens
-            store.append((gram, ids[row[which]], hashes[row[which]], at - begin[which] + at0[which]))
+            left, right = np.minimum(at - begin[which], EDGE), np.minimum(begin[which] + lens[which] - at - GRAM, EDGE)
+            around = mix((h[at + GRAM + right] - h[at - left]) * powers(len(h))[1][at - left] + left.astype(U) * U(RADIX) + right.astype(U))
+            around &= U((1 << 48) - 1)
+            store.append((gram, ids[row[which]], versions[row[which]], at - begin[which] + at0[which], left, right, around))
             held += len(at)
             if held >= GATHER:
                 yield from flush()
                 held = 0
-    if store:
+    if held:
         yield from flush()
 
 
 def shared_anchors(batches):
-    """(doc_id, text_hash, at) of the anchors in a partition's BLOCKS that two documents have."""
-    keys, seen, marks = [], [], []
+    """FOUND rows of a partition's BLOCKS."""
+    grams, seen, marks = [], [], []
     for batch in batches:
-        for bucket, kind, hashes, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind != KNOWN:
-                raw = np.zeros((len(hashes) // 6, 8), np.uint8)
-                raw[:, :6] = np.frombuffer(hashes, np.uint8).reshape(-1, 6)
-                key = raw.view(U).ravel() | U(bucket) << U(48)
-                (marks if kind == MARK else keys).append(key)
-            if kind != MARK:
-                n, at, rows = len(docs) // SEEN.itemsize, 0, {}
-                for name in SEEN.names:
-                    wide = SEEN[name].itemsize
-                    rows[name] = np.frombuffer(docs, SEEN[name], n, at)
-                    at += n * wide
-                if kind == KNOWN:
-                    yield located(rows["id"], rows["text"], rows["at"])
-                else:
-                    seen.append(rows)
-    if not keys:
+        for bucket, kind, low, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            fields = FIELDS[:-1] if kind == SETTLED else FIELDS
+            n, at, rows = len(data) // sum(w for _, _, w in fields), 0, {}
+            if kind != SETTLED:
+                gram = from_planes(low, U, 5, len(low) // 5) | U(bucket) << U(40)
+            if kind == MARK:
+                marks.append(gram)
+                continue
+            for name, type_, wide in fields:
+                rows[name] = from_planes(data[at : at + n * wide], type_, wide, n)
+                at += n * wide
+            if kind == OPEN:
+                grams.append(gram)
+                seen.append(rows)
+            else:
+                yield from located(rows, np.ones(n, bool), kind == SETTLED)
+    if not grams:
         return
-    key = np.concatenate(keys)
-    doc, text, at = (np.concatenate([s[n] for s in seen]) for n in SEEN.names)
-    order, many = shared(key, doc)
-    many |= np.isin(key[order], np.concatenate([*marks, np.zeros(0, U)]))
-    rows = order[many]
-    for a in range(0, len(rows), 1 << 18):
-        part = rows[a : a + (1 << 18)]
-        yield located(doc[part], text[part], at[part])
-
+    rows, repeat, contexts_, several = settle(np.concatenate(grams), {n: np.concatenate([s[n] for s in seen]) for n, _, _ in FIELDS})
+    yield from located(rows, repeat, True)
+    marked = np.isin(rows["gram"], np.concatenate([*marks, np.zeros(0, U)]))
+    yield from located(rows, ~repeat & (marked | (several & (contexts_ > 1))), False)
 
-def located(doc, text, at) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(text), pa.array(at.astype(np.int32))], ["doc_id", "text_hash", "at"])
 
-
-CONTEXT = "deal long, doc_id long, text_hash long, start int, stop int, at int, context binary"
+#: An anchor's context with the bytes it has before and after the anchor, or, without context, a settled span from at on.
+CONTEXT = "deal int, doc_id long, version long, at int, left int, right int, context binary"
 CONTEXT_SCHEMA = pa.schema([
-    ("deal", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()),
-    ("at", pa.int32()), ("context", pa.binary()),
+    ("deal", pa.int32()), ("doc_id", pa.int64()), ("version", pa.int64()), ("at", pa.int32()), ("left", pa.int32()),
+    ("right", pa.int32()), ("context", pa.binary()),
 ])
-SPANS = "doc_id long, text_hash long, start int, stop int"
+SPANS = "doc_id long, version long, start int, stop int"
 
 
 def merged(doc, text, start, stop) -> tuple[np.ndarray, ...]:
@@ -246,60 +276,48 @@ def merged(doc, text, start, stop) -> tuple[np.ndarray, ...]:
 
 
 def contexts(batches):
-    """CONTEXT rows of (doc_id, text_hash, text, at): a null context is a span that is settled already."""
+    """CONTEXT rows of (doc_id, version, text, places, settled spans): a row without context is a settled span."""
     weights = powers(SPAN + 1)[0][:SPAN]
     store, held = [], 0
 
     def flush():
-        doc, text, at, size = (np.concatenate([s[k] for s in store]) for k in range(4))
+        doc, version, at, size = (np.concatenate([s[k] for s in store]) for k in range(4))
         data = np.concatenate([s[4] for s in store])
         store.clear()
-        start, stop = np.maximum(at - EDGE, 0), np.minimum(at + GRAM + EDGE, size)
-        whole = np.zeros(len(at), U)
-        for j in range(SPAN):
-            whole += BYTES[data[:, j]] * weights[j]
-        whole = mix(whole + (start - at + EDGE).astype(U) * U(RADIX) + (stop - at).astype(U) * U(0xC2B2AE3D27D4EB4F))
-        order = np.lexsort((doc, whole))
-        begin = runs(whole[order])
-        least = np.empty(len(doc), np.int64)
-        least[order] = doc[order][begin][spread(begin, len(doc))]
-        lead = np.empty(len(doc), bool)
-        lead[order] = False
-        lead[order[begin]] = True
-        repeat = doc > least
-        d, t, a, b = merged(doc[repeat], text[repeat], start[repeat], stop[repeat])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(mix(d.view(U)).view(np.int64)), pa.array(d), pa.array(t), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.zeros(len(d), np.int32)), pa.nulls(len(d), pa.binary())],
-            schema=CONTEXT_SCHEMA,
-        )
-        keep = np.flatnonzero(lead)
-        gram = np.zeros(len(keep), U)
+        gram = np.zeros(len(at), U)
         for j in range(GRAM):
-            gram += BYTES[data[keep, EDGE + j]] * weights[j]
-        flat = np.ascontiguousarray(data[keep])
-        offsets = pa.py_buffer(np.arange(0, (len(keep) + 1) * SPAN, SPAN, dtype=np.int32).tobytes())
-        binary = pa.Array.from_buffers(pa.binary(), len(keep), [None, offsets, pa.py_buffer(flat.tobytes())])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(mix(gram).view(np.int64)), pa.array(doc[keep]), pa.array(text[keep]), pa.array(start[keep].astype(np.int32)), pa.array(stop[keep].astype(np.int32)), pa.array(at[keep].astype(np.int32)), binary],
-            schema=CONTEXT_SCHEMA,
-        )
+            gram += BYTES[data[:, EDGE + j]] * weights[j]
+        order = np.argsort(gram)  # like contexts side by side, which compress
+        gram, doc, version, at, size, data = gram[order], doc[order], version[order], at[order], size[order], data[order]
+        left, right = np.minimum(at, EDGE), np.minimum(size - at - GRAM, EDGE)
+        offsets = pa.py_buffer(np.arange(0, (len(at) + 1) * SPAN, SPAN, dtype=np.int32).tobytes())
+        binary = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(data.tobytes())])
+        short = (pa.array(x.astype(np.int32)) for x in (at, left, right))
+        yield pa.RecordBatch.from_arrays([pa.array((mix(gram) >> U(33)).astype(np.int32)), pa.array(doc), pa.array(version), *short, binary], schema=CONTEXT_SCHEMA)
 
     reach = np.arange(SPAN)
     for batch in batches:
-        ids, hashes, texts, places = ids_of(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3)
+        ids, versions, texts, places, spans = ids_of(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)
         flat, cuts = places.flatten().to_numpy(), places.offsets.to_numpy() - places.offsets[0].as_py()
+        items, edges = spans.flatten(), spans.offsets.to_numpy() - spans.offsets[0].as_py()
+        row = np.repeat(np.arange(len(ids)), np.diff(edges))
+        d, v, a, b = merged(ids[row], versions[row], *(items.field(k).to_numpy().astype(np.int64) for k in range(2)))
+        short = (pa.array(x.astype(np.int32)) for x in (a, np.zeros(len(d)), b - a))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((mix(d.view(U)) >> U(33)).astype(np.int32)), pa.array(d), pa.array(v), *short, pa.nulls(len(d), pa.binary())], schema=CONTEXT_SCHEMA
+        )
         for k, t in enumerate(texts):
             at = np.sort(flat[cuts[k] : cuts[k + 1]]).astype(np.int64)
             body = np.frombuffer(bytes(EDGE) + t + bytes(EDGE), np.uint8)
-            for a in range(0, len(at), SORTED):
-                part = at[a : a + SORTED]
+            for first in range(0, len(at), SORTED):
+                part = at[first : first + SORTED]
                 n = len(part)
-                store.append((np.full(n, ids[k]), np.full(n, hashes[k]), part, np.full(n, len(t)), body[part[:, None] + reach]))
+                store.append((np.full(n, ids[k]), np.full(n, versions[k]), part, np.full(n, len(t)), body[part[:, None] + reach]))
                 held += n
                 if held >= SORTED:
                     yield from flush()
                     held = 0
-    if store:
+    if held:
         yield from flush()
 
 
@@ -356,11 +374,11 @@ def bucket_spans(batches):
     store, held, found = [], 0, []
 
     def solve(table_: pa.Table) -> None:
-        doc, text = table_["doc_id"].to_numpy(), table_["text_hash"].to_numpy()
-        start, stop, at = (table_[c].to_numpy().astype(np.int64) for c in ("start", "stop", "at"))
+        doc, text = table_["doc_id"].to_numpy(), table_["version"].to_numpy()
+        at, left, right = (table_[c].to_numpy().astype(np.int64) for c in ("at", "left", "right"))
         data = np.frombuffer(b"".join(table_["context"].to_pylist()), np.uint8).reshape(-1, SPAN)
-        left = start - (at - EDGE)  # what is padded where the context begins with its text
-        first, last = sort_block(doc, left, left + stop - start, data)
+        # Where a text begins or ends within reach, data is padded.
+        first, last = sort_block(doc, EDGE - left, EDGE + GRAM + right, data)
         hit = np.flatnonzero(last >= 0)
         base = at[hit] - EDGE
         found.append((doc[hit], text[hit], base + first[hit], base + last[hit] + LENGTH))
@@ -368,12 +386,14 @@ def bucket_spans(batches):
     def give():
         d, t, a, b = merged(*(np.concatenate(c) for c in zip(*found, strict=True)))
         found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "text_hash", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "version", "start", "stop"])
 
     for batch in batches:
         settled = batch.filter(batch.column(6).is_null())
         if len(settled):
-            yield settled.select(["doc_id", "text_hash", "start", "stop"])
+            at, width = settled.column(3), settled.column(5)
+            stop = pa.array(at.to_numpy() + width.to_numpy())
+            yield pa.RecordBatch.from_arrays([settled.column(1), settled.column(2), at, stop], ["doc_id", "version", "start", "stop"])
         open_ = batch.filter(batch.column(6).is_valid())
         if not len(open_):
             continue
@@ -396,18 +416,28 @@ def bucket_spans(batches):
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, body, spans) of each row of docs: its bytes and array<struct<start, stop>> of what is to go, sorted."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(8 * parts, 1 << 15)
+    buckets = min(16 * parts, 1 << 15)
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), body.alias("body"))
-    blocks = rows.mapInArrow(lambda b: anchor_blocks(b, buckets), "bucket int, kind byte, hashes binary, docs binary")
-    found = blocks.repartition(parts, "bucket").mapInArrow(shared_anchors, "doc_id long, text_hash long, at int")
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    keyed = rows.withColumn("doc_id", key)
-    places = found.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("places"))
-    around = keyed.hint("merge").join(places.hint("merge"), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "body", "places").mapInArrow(contexts, CONTEXT)
+    docs = docs.select("doc_id", "text")
+    again = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    version = F.lit(0).cast("long")
+    if not again.isEmpty():  # rows that share a doc_id are told apart by their texts
+        docs = docs.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        version = F.when(F.col("_id").isNotNull() | F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(version)
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), version.alias("version"), body.alias("body"))
+    blocks = rows.mapInArrow(lambda b: anchor_blocks(b, buckets), "bucket int, kind byte, grams binary, rows binary")
+    found = blocks.repartition(2 * parts, "bucket").mapInArrow(shared_anchors, FOUND)
+    key = ["doc_id", "version"]
+    span = F.when(F.col("width").isNotNull(), F.struct(F.col("at").alias("start"), (F.col("at") + F.col("width")).alias("stop")))
+    place = F.when(F.col("width").isNull(), F.col("at"))
+    # Dealt out before they are gathered: gathering twice would send lists of one.
+    places = found.repartition(parts, *key).groupBy(key).agg(F.collect_set(place).alias("places"), F.collect_list(span).alias("settled"))
+    # Both joins read the texts dealt out by the same key; Spark moves them once.
+    met = rows.hint("merge").join(places.hint("merge"), key).select(*key, "body", "places", "settled")
+    around = met.mapInArrow(contexts, CONTEXT)
     spans = around.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(bucket_spans, SPANS)
-    spans = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    return keyed.hint("merge").join(spans.hint("merge"), ["doc_id", "text_hash"], "left").select(
+    spans = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    return rows.hint("merge").join(spans.hint("merge"), key, "left").select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "body", "spans"
     )
 
