@@ -26,7 +26,8 @@ def values(frame, columns):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, DATA).toPandas()
-    assert len(got)
+    # The smallest tables may hold nothing to find; then the SQL must find nothing either.
+    assert len(got) or name in ORACLES
     if name in ORACLES:
         want = duck.sql(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
