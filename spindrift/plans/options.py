@@ -14,7 +14,7 @@ class Options:
     min_score: float = 0.5
     window: int = 1200
     overlap: int = 200
-    max_characters: int = 50_000
+    max_characters: int | None = 50_000  # None: texts stay whole
     max_batch: int = 50
     max_word_gap: int = 1
     salt: str = ""
@@ -25,7 +25,7 @@ class Options:
             raise ValueError("min_score must be between 0 and 1")
         if self.window <= 0 or not 0 <= self.overlap < self.window:
             raise ValueError("the window must be positive and the overlap smaller than it")
-        if self.max_characters < 0 or self.max_batch < 1:
+        if (self.max_characters or 0) < 0 or self.max_batch < 1:
             raise ValueError("limits must be positive")
         if self.profile not in ("server", "browser"):
             raise ValueError(f"unknown profile: {self.profile}")

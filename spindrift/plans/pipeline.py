@@ -14,8 +14,10 @@ from .options import Options
 
 
 def clip(docs: DataFrame, options: Options, text: str = "text") -> DataFrame:
-    """The first max_characters of text, and whether it was longer."""
+    """The first max_characters of text, and whether it was longer. Without a limit the text is whole."""
     whole = F.coalesce(F.col(text), F.lit(""))
+    if options.max_characters is None:
+        return docs.withColumns({"truncated": F.lit(False), text: whole})
     return docs.withColumns({"truncated": F.length(whole) > options.max_characters, text: F.substring(whole, 1, options.max_characters)})
 
 
@@ -87,5 +89,5 @@ def response(analysed: DataFrame) -> DataFrame:
     return analysed.withColumn("entities", shown)
 
 
-def limits(options: Options = Options()) -> dict[str, float]:
+def limits(options: Options = Options()) -> dict[str, float | None]:
     return {"max_characters": options.max_characters, "max_batch": options.max_batch, "min_score": options.min_score, "window": options.window, "overlap": options.overlap}

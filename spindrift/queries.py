@@ -15,6 +15,9 @@ from .plans.options import Options
 from .sources import readers, sinks
 from .streaming import stream
 
+#: The registered queries work on whole texts; only clip_flags clips.
+WHOLE = Options(max_characters=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,9 +39,9 @@ def order_lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*top)
 
 
-def found(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """(…, text, entities) of the structured labels over whole clipped texts."""
-    docs = pipeline.clip(docs, options)
+def found(docs: DataFrame) -> DataFrame:
+    """(…, text, entities) of the structured labels over whole texts."""
+    docs = pipeline.clip(docs, WHOLE)
     return docs.withColumn("entities", spans.verify(F.col("text"), empty(ENTITY)))
 
 
@@ -93,40 +96,40 @@ def chunk_windows(spark, sf_dir) -> DataFrame:
 
 def batch_totals(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("text"))
-    wide = Options(window=50_000, overlap=0)
+    wide = Options(window=1 << 30, overlap=0, max_characters=None)  # a page is one window
     return pipeline.batch_summary(pipeline.batch(pages, wide, structured_classifier))
 
 
 def analyze_documents(spark, sf_dir) -> DataFrame:
-    out = pipeline.analyze(documents(spark, sf_dir))
+    out = pipeline.analyze(documents(spark, sf_dir), WHOLE)
     return out.select("doc_id", "truncated", "stats.total", "stats.risk", "stats.characters", "stats.chunks",
                       F.array_join(F.transform("stats.by_label", lambda x: F.concat_ws("=", x["label"], x["count"])), " ").alias("by_label"))
 
 
 def analyze_conversations(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
-    return stats.preview(pipeline.batch(turns)).select("id", "total", "risk", "band", "labels")
+    return stats.preview(pipeline.batch(turns, WHOLE)).select("id", "total", "risk", "band", "labels")
 
 
 def analyze_distinct_texts(spark, sf_dir) -> DataFrame:
-    out = pipeline.analyze_distinct(documents(spark, sf_dir), classifier=structured_classifier)
+    out = pipeline.analyze_distinct(documents(spark, sf_dir), WHOLE, classifier=structured_classifier)
     return out.select("doc_id", "stats.total", "stats.risk", "truncated")
 
 
 def analyze_browser(spark, sf_dir) -> DataFrame:
-    out = browser.analyze_browser(documents(spark, sf_dir))
+    out = browser.analyze_browser(documents(spark, sf_dir), Options.browser(max_characters=None))
     return out.select("doc_id", "stats.total", "stats.risk", "stats.characters", "stats.chunks")
 
 
 def analyze_gold(spark, sf_dir) -> DataFrame:
     gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
-    out = pipeline.analyze(gold.select("doc_id", "text"))
+    out = pipeline.analyze(gold.select("doc_id", "text"), WHOLE)
     return pipeline.entity_rows(out, "doc_id")
 
 
 def gold_scores(spark, sf_dir) -> DataFrame:
     gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
-    found_ = pipeline.analyze(gold.select("doc_id", "text"))
+    found_ = pipeline.analyze(gold.select("doc_id", "text"), WHOLE)
     return evaluation.scores(evaluation.span_keys(found_), evaluation.span_keys(gold))
 
 
@@ -202,7 +205,7 @@ def _exported(fmt: str, profile: str = "server"):
 
 
 def export_json(spark, sf_dir) -> DataFrame:
-    out = pipeline.analyze(documents(spark, sf_dir), classifier=structured_classifier).where(F.size("entities") > 0)
+    out = pipeline.analyze(documents(spark, sf_dir), WHOLE, structured_classifier).where(F.size("entities") > 0)
     return sinks.export(out, "json").select("doc_id", F.length("export").alias("characters"), F.get_json_object("export", "$.stats.total").cast("int").alias("total"))
 
 
@@ -260,7 +263,7 @@ def highlight_segments(spark, sf_dir) -> DataFrame:
 
 
 def distinct_texts(spark, sf_dir) -> DataFrame:
-    docs = pipeline.clip(documents(spark, sf_dir), Options())
+    docs = pipeline.clip(documents(spark, sf_dir), WHOLE)
     return docs.agg(F.count("*").alias("documents"), F.count_distinct("text").alias("texts"))
 
 
@@ -339,7 +342,7 @@ def streamed_entities(spark, sf_dir) -> DataFrame:
     """The entities of all documents, found by a stream that reads the table's files once."""
     docs = stream.read_documents(spark, f"{sf_dir}/documents.parque[t]")  # a pattern may also match a single file
     out, state = (scratch.new_path(spark, x) for x in ("stream-out", "stream-state"))
-    entities = stream.entity_stream(docs, classifier=structured_classifier).select("doc_id", "label", "start", "end", "text")
+    entities = stream.entity_stream(docs, WHOLE, structured_classifier).select("doc_id", "label", "start", "end", "text")
     query = stream.write_entities(entities, out, state)
     query.awaitTermination()
     return spark.read.schema(entities.schema).parquet(out)
