@@ -78,8 +78,10 @@ def merge_spans(hits: Column) -> Column:
     return F.aggregate(spans, F.array().cast("array<struct<pos:int,stop:int>>"), add)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_literals: int = 200_000) -> DataFrame:
-    """(doc_id, n_words, spans, items) of each row of docs: merged hit spans, and the ids of the items that occur."""
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_literals: int = 200_000, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, n_words, spans, items) of each row of docs: merged hit spans, and the ids of the items that occur.
+
+    keys: the columns that a row is known by, which come out in place of doc_id."""
     grams = stored(item_windows(benchmark, n), "benchmark-grams")
     lengths = [r[0] for r in grams.select("len").distinct().collect()]  # n at most
     small = grams.limit(max_literals + 1).count() <= max_literals
@@ -87,28 +89,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_litera
     if small:
         windows = [tuple(r) for r in grams.select("len", "head", F.xxhash64("gram")).distinct().collect()]
     scan = F.expr(f"transform(array(_words), w -> named_struct('n_words', size(w), 'hits', {scan_sql(windows, sorted(lengths))}))[0]")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", words_of(F.col("text")).alias("_words"))
-    rows = rows.select("_row", "doc_id", scan.alias("s")).select(
-        "_row", "doc_id", F.col("s.n_words").alias("n_words"), F.explode_outer("s.hits").alias("h")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *keys, words_of(F.col("text")).alias("_words"))
+    rows = rows.select("_row", *keys, scan.alias("s")).select(
+        "_row", *keys, F.col("s.n_words").alias("n_words"), F.explode_outer("s.hits").alias("h")
     )
     known = grams.select("item_id", "gram")
     hits = rows.join(F.broadcast(known) if small else known, F.col("h.gram") == F.col("gram"), "left")
     hit = F.when(F.col("gram").isNotNull(), F.struct(F.col("h.pos").alias("pos"), F.col("h.len").alias("len")))
-    found = hits.groupBy("_row", "doc_id", "n_words").agg(F.collect_set(hit).alias("hits"), F.collect_set("item_id").alias("items"))
-    return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), merge_spans(F.col("hits")).alias("spans"), "items")
+    found = hits.groupBy("_row", *keys, "n_words").agg(F.collect_set(hit).alias("hits"), F.collect_set("item_id").alias("items"))
+    return found.select(*keys, F.col("n_words").cast("long").alias("n_words"), merge_spans(F.col("hits")).alias("spans"), "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.8) -> DataFrame:
     """`docs` without the words of benchmark windows; documents of which these are at least `drop_share` go whole.
 
-    Rows that share a doc_id lose the words that either has in a window (their spans are taken together)."""
-    found = contamination(docs, benchmark, n).where(F.size("spans") > 0)
-    found = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("_n"), merge_spans(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(
-            s["pos"].alias("pos"), (s["stop"] - s["pos"]).alias("len")))).alias("_spans")
-    ).withColumnRenamed("doc_id", "_id")
+    Each row is judged and cut by its own spans, whatever its doc_id: spans come back by doc_id and 128 bits of the text's
+    hash, and rows that agree in both have the same spans."""
+    hashes = {"_h": F.xxhash64("text"), "_g": F.xxhash64(F.lit(1), "text")}
+    found = contamination(docs.select("doc_id", "text").withColumns(hashes), benchmark, n, keys=("doc_id", *hashes)).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_fh"), F.col("_g").alias("_fg")).agg(
+        F.first("n_words").alias("_n"), F.first("spans").alias("_spans")
+    )
     hit_words = F.aggregate("_spans", F.lit(0), lambda a, s: a + s["stop"] - s["pos"])
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_fh")) & (F.col("_g") == F.col("_fg"))
+    joined = docs.withColumns(hashes).join(found, same, "left")
     joined = joined.where(F.col("_spans").isNull() | (hit_words < F.col("_n") * drop_share))
     words = F.regexp_extract_all("text", F.lit(f"({TOKEN_ANY_CASE})"), F.lit(1))
     gaps = F.split("text", TOKEN_ANY_CASE, -1)
@@ -123,7 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
         let(F.struct(words.alias("words"), gaps.alias("gaps")), rebuilt)
     )
-    return joined.withColumn("text", text).drop("_id", "_n", "_spans")
+    return joined.withColumn("text", text).drop("_id", "_n", "_spans", "_h", "_g", "_fh", "_fg")
 
 
 def op6_decontamination(spark, sf_dir) -> DataFrame:

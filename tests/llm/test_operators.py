@@ -322,6 +322,18 @@ def test_decontamination(spark, literals):
     assert left[7] == "clean words only" and left[4] == "x  y" and 6 not in left and 1 not in left
 
 
+def test_decontamination_of_rows_that_share_an_id(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    clean = [" ".join(f"{c}{i}" for i in range(12)) for c in "abc"]
+    half = f"{item} {clean[2]} more"
+    kind = "doc_id long, text string, source string"
+    rows = [(i, t, "x") for i in (None, 7) for t in (item, item, clean[0], clean[0], half, None)] + [(None, clean[1], "y")]
+    out = decontam.decontaminate(frame(spark, rows, kind), frame(spark, [(1, item)], "item_id long, text string"))
+    cut = " " + clean[2] + " more"
+    want = [(i, t, "x") for i in (None, 7) for t in (clean[0], clean[0], cut, None)] + [(None, clean[1], "y")]
+    assert out.columns == ["doc_id", "text", "source"] and Counter(tuple(r) for r in out.collect()) == Counter(want)
+
+
 # 7
 
 
