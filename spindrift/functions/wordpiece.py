@@ -5,9 +5,10 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import checkpointed
 from .patterns import find_all
 
 #: Fixed pattern of a word or a single sign.
@@ -19,13 +20,18 @@ def words_of(text: Column) -> Column:
     return find_all(text, f"(?U){PIECE_WORD}")
 
 
-def longest_pieces(word: str, vocab: dict[str, int], unknown: int) -> list[int]:
-    """Greedy longest match; one unknown id if any part has no piece."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if unicodedata.category(c) != "Mn")
+def plain_word(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if unicodedata.category(c) != "Mn")
+
+
+def longest_pieces(word: str, vocab: dict[str, int], unknown: int, first: tuple[int, int] | None = None) -> list[int]:
+    """Greedy longest match; one unknown id if any part has no piece. first: length and id of another piece that the
+    word begins with."""
+    plain = plain_word(word)
     out, at = [], 0
     while at < len(plain):
         for end in range(len(plain), at, -1):
-            found = vocab.get(("##" if at else "") + plain[at:end])
+            found = first[1] if first and not at and end == first[0] else vocab.get(("##" if at else "") + plain[at:end])
             if found is not None:
                 out.append(found)
                 at = end
@@ -35,9 +41,41 @@ def longest_pieces(word: str, vocab: dict[str, int], unknown: int) -> list[int]:
     return out
 
 
-def encode(docs: DataFrame, vocab: dict[str, int], text: str = "text") -> DataFrame:
+def numbered(pieces: DataFrame, first: int) -> DataFrame:
+    """(piece, id) of distinct pieces: numbers from first on in the order of the pieces.
+
+    A number is the place within a range of sorted pieces and the sizes of the ranges before, so no task sorts them all."""
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pieces.select("piece").repartitionByRange(parts, "piece").sortWithinPartitions("piece")
+    rows = checkpointed(rows.withColumn("_at", F.monotonically_increasing_id()))  # the range in the upper 31 bits, the place in the others
+    rows = rows.select("piece", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_place"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_start"))
+    return rows.join(F.broadcast(starts), "_range").select("piece", (F.col("_start") + F.col("_place") + first).cast("int").alias("id"))
+
+
+def longest_first(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(word, first): the longest of pieces (piece, id) that the plain word begins with, as (n, id); null if there is none.
+
+    A word's prefixes of the lengths that pieces have are joined with them."""
+
+    @F.pandas_udf("string")
+    def plain(words: pd.Series) -> pd.Series:
+        return words.map(plain_word)
+
+    lengths = sorted(r[0] for r in pieces.select(F.length("piece")).distinct().collect())
+    rows = words.select("word", plain("word").alias("_plain"))
+    n = F.explode(F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda n: n <= F.length("_plain")))
+    rows = rows.select("word", "_plain", n.alias("n")).select("word", "n", F.expr("left(_plain, n)").alias("piece"))
+    found = rows.join(pieces, "piece").groupBy("word").agg(F.max(F.struct("n", "id")).alias("first"))
+    return words.join(found, "word", "left")
+
+
+def encode(docs: DataFrame, vocab: dict[str, int], text: str = "text", more: DataFrame | None = None) -> DataFrame:
     """(doc_id, pos, id, start, end): a document's ids between its CLS and SEP, with the word that owns each.
 
+    vocab goes to every task; more (piece, id) has any number of further pieces that begin words, which are joined.
+
     Every distinct word is cut once and joined back, so that Python sees the vocabulary of the corpus, not its text."""
     spark: SparkSession = docs.sparkSession
     unknown, first, last = (vocab.get(t, i) for t, i in (("[UNK]", 1), ("[CLS]", 2), ("[SEP]", 3)))
@@ -47,15 +85,21 @@ def encode(docs: DataFrame, vocab: dict[str, int], text: str = "text") -> DataFr
     def cut(words: pd.Series) -> pd.Series:
         return words.map(lambda w: longest_pieces(w, sent.value, unknown))
 
+    @F.pandas_udf("array<int>")
+    def cut_after(words: pd.Series, n: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([longest_pieces(w, sent.value, unknown, None if pd.isna(k) else (int(k), int(i))) for w, k, i in zip(words, n, ids, strict=True)])
+
     tokens = docs.select("doc_id", F.posexplode(words_of(F.col(text))).alias("n", "w")).select("doc_id", "n", "w.start", "w.end", F.col("w.text").alias("word"))
-    pieces = tokens.select("word").distinct().withColumn("ids", cut("word"))
+    pieces = tokens.select("word").distinct()
+    if more is None:
+        pieces = pieces.withColumn("ids", cut("word"))
+    else:
+        pieces = longest_first(pieces, more).select("word", cut_after("word", F.col("first.n"), F.col("first.id")).alias("ids"))
     ids = tokens.join(pieces, "word").select("doc_id", F.col("n").cast("long").alias("n"), "start", "end", F.posexplode("ids").alias("k", "id"))
     none = F.lit(None).cast("int")
     edges = docs.select("doc_id", F.explode(F.array(
         F.struct(F.lit(-1).cast("long").alias("n"), F.lit(first).alias("id")), F.struct(F.lit(1 << 40).cast("long").alias("n"), F.lit(last).alias("id")))).alias("e"))
     edges = edges.select("doc_id", "e.n", none.alias("start"), none.alias("end"), F.lit(0).alias("k"), "e.id")
     all_ = ids.unionByName(edges)
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "k")) - 1
     return all_.select("doc_id", place.alias("pos"), "id", "start", "end")

@@ -330,12 +330,12 @@ def dev_split(spark, sf_dir) -> DataFrame:
 
 
 def wordpiece_ids(spark, sf_dir) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(wordpiece.words_of(F.lower("text"))).alias("w")).select("w.text").distinct()
-    known = [r.text for r in words.orderBy("text").limit(30_000).collect()]  # a vocabulary of bounded size
+    words = table(spark, sf_dir, "benchmark").select(F.explode(wordpiece.words_of(F.lower("text"))).alias("w")).select(F.col("w.text").alias("piece")).distinct()
     letters = [f"{p}{c}" for p in ("", "##") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
-    vocab = {t: i for i, t in enumerate(dict.fromkeys(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *known]))}
+    vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters])}
+    known = wordpiece.numbered(words.where(~F.col("piece").isin(letters)), len(vocab))
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return wordpiece.encode(turns, vocab)
+    return wordpiece.encode(turns, vocab, more=known)
 
 
 def streamed_entities(spark, sf_dir) -> DataFrame:

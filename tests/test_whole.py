@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from spindrift.functions import wordpiece
 from spindrift.oracles import ORACLES
 from spindrift.queries import QUERIES
 
@@ -46,3 +47,17 @@ def test_long_texts_are_analysed_whole(spark, long_texts, name, wanted):
 
 def test_long_texts_are_pseudonymised_whole(spark, long_texts):
     assert {r.doc_id: r.replaced for r in QUERIES["redact_pseudonym"](spark, long_texts).collect()} == {1: 1, 2: 2, 3: 1, 4: 0}
+
+
+def test_wordpiece_vocabulary_is_whole(spark, tmp_path):
+    """Over 30,000 words: ids are places in the order of all, and the last ones are known too."""
+    words = sorted({f"w{i:05d}" for i in range(30_500)} | {"a", "zebra", "été", "zeb"})
+    spark.createDataFrame([(" ".join(words),), (None,)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = "Zebra zebras w30499 w30499x a Ete w0 quiz 日 zeb"
+    spark.createDataFrame([(1, 2, text), (3, 4, ""), (5, 6, None)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    letters = [f"{p}{c}" for p in ("", "##") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    vocab = {t: i for i, t in enumerate(dict.fromkeys(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *words]))}
+    got = [tuple(r) for r in QUERIES["wordpiece_ids"](spark, str(tmp_path)).collect()]
+    wanted = [2, *[i for w in text.split() for i in wordpiece.longest_pieces(w, vocab, 1)], 3]
+    assert [r[2] for r in sorted(got, key=lambda r: (r[0], r[1])) if r[0] == 1002] == wanted and vocab["zebra"] in wanted
+    assert sorted(r[:3] for r in got if r[0] != 1002) == [(3004, 0, 2), (3004, 1, 3), (5006, 0, 2), (5006, 1, 3)]
