@@ -4,39 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-U = np.uint64
-#: Bytes of text of one group.
-GROUP = 1 << 20
-RADIX = 0x9E3779B97F4A7C15
-BYTES = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1)
+from .arrays import BYTES, U, mix, powers
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, U), np.full(n, r, U)])) for r in (RADIX, pow(RADIX, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def grouped(sizes) -> list[tuple[int, int]]:
-    """Ranges of rows of some GROUP bytes each."""
-    cuts, held = [0], 0
-    for i, n in enumerate(sizes):
-        if held and held + n > GROUP:
-            cuts.append(i)
-            held = 0
-        held += n
-    return list(zip(cuts, [*cuts[1:], len(sizes)], strict=True)) if len(sizes) else []
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -5,9 +5,11 @@ with its prefix, many times the text; so suffixes whose prefix can't recur in an
 
 1. Anchors: a window of LENGTH bytes is represented by its least `GRAM`-byte string (by hash). Equal windows have
    equal anchors at equal places, so only windows around an anchor that two documents share can be equal. A task
-   sends its anchors in packed blocks, each with a hash of its context, the bytes of all windows over it. Of equal
-   contexts the smallest document's is left, the others are settled on the spot: all their windows go. Anchors with
-   many contexts in one task are sent apart with one marker, so that no anchor gathers too many rows.
+   sends its anchors in packed blocks, each with a 64-bit hash of its context, the bytes of all windows over it. Of
+   equal contexts the smallest document's is left, the others are settled on the spot: all their windows go. Contexts
+   are compared only within one anchor, so N contexts of an anchor are mistaken with a chance of N * N / 2^65 (for ten
+   million of them one in 350,000). Anchors with many contexts in one task are sent apart with one marker, so that no
+   anchor gathers too many rows.
 2. Contexts: where a shared anchor has several contexts, windows may still agree in part. Their bytes (SPAN) are
    taken from the texts.
 3. Buckets: a bucket holds the contexts of a range of anchors and sorts all their windows, one place after the other.
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import BYTES, RADIX, U, buffers, from_planes, mix, planes, powers, runs, spread, text_groups
 from .common import table
 
 LENGTH, GRAM, PERIOD = 50, 16, 17
@@ -38,26 +41,8 @@ EDGE = LENGTH - GRAM
 SPAN = 2 * EDGE + GRAM
 BLOCK = LENGTH - PERIOD
 #: Bytes of text hashed at once, anchors that a task gathers before it sends them, contexts that are sorted at once.
-GROUP, GATHER, SORTED = 1 << 19, 1 << 20, 1 << 16
+GROUP, GATHER, SORTED = 1 << 19, 1 << 18, 1 << 15
 NO_ID = (1 << 63) - 1
-U = np.uint64
-RADIX = 0x9E3779B97F4A7C15
-#: A random odd number for each byte value.
-BYTES = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, U), np.full(n, r, U)])) for r in (RADIX, pow(RADIX, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(31))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(29))
-
-
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` neighbours."""
     m, span = a, 1
@@ -85,58 +70,34 @@ def anchors(text: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     return at, gram[at], h
 
 
-def pieces(texts: list[bytes]):
+def pieces(column: pa.Array):
     """Groups of (row, offset, bytes) of some GROUP bytes; long texts in slices that overlap by a window less a byte."""
     group, held = [], 0
-    for row, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - LENGTH + 1), GROUP):
-            part = t[at : at + GROUP + LENGTH - 1]
-            group.append((row, at, part))
-            held += len(part)
-            if held >= GROUP:
-                yield group
-                group, held = [], 0
+    for first, _, texts in text_groups(column, GROUP):
+        for row, t in enumerate(texts, first):
+            for at in range(0, max(1, len(t) - LENGTH + 1), GROUP):
+                part = t[at : at + GROUP + LENGTH - 1]
+                group.append((row, at, part))
+                held += len(part)
+                if held >= GROUP:
+                    yield group
+                    group, held = [], 0
     if group:
         yield group
 
 
-def runs(*columns: np.ndarray) -> np.ndarray:
-    """Where a new combination begins in sorted columns."""
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
-
-
-def spread(begin: np.ndarray, size: int) -> np.ndarray:
-    """The run that each of `size` rows is in."""
-    out = np.zeros(size, np.int64)
-    out[begin] = 1
-    return np.cumsum(out) - 1
-
-
 OPEN, KNOWN, MARK, SETTLED = 0, 1, 2, 3
 #: Contexts of one anchor that a task may have before they are sent apart.
 COMMON = 64
 BLOCKS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("grams", pa.binary()), ("rows", pa.binary())])
-#: What a block has of each anchor: name, type, bytes sent.
-FIELDS = [("doc", np.int64, 8), ("version", np.int64, 8), ("at", np.int64, 5), ("left", np.int64, 1), ("right", np.int64, 1), ("context", U, 6)]
+#: What a block has of each anchor: name, type, bytes sent. A block's rows are sorted by document and place.
+FIELDS = [("doc", np.int64, 8), ("version", np.int64, 8), ("at", np.int64, 5), ("left", np.int64, 1), ("right", np.int64, 1), ("context", U, 8)]
+#: Bytes of an anchor's hash that are sent; the bits above choose the bucket.
+LOW = 4
 #: A place whose bytes are needed, or with a width a span that is settled.
 FOUND = "doc_id long, version long, at int, width int"
 
 
-def planes(x: np.ndarray, width: int) -> bytes:
-    """The numbers' low bytes, byte by byte, so that those that repeat compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def from_planes(data: bytes, kind, width: int, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
-    return out.view(kind).ravel()
-
-
 def ids_of(column: pa.Array) -> np.ndarray:
     return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -170,20 +131,20 @@ def located(rows: dict, mask: np.ndarray, settled: bool):
 
 
 def anchor_blocks(batches, buckets: int):
-    """BLOCKS of the texts' anchors. The low 40 bits of a gram are sent, the high ones choose the bucket."""
+    """BLOCKS of the texts' anchors. Document ids go as differences, which compress."""
     store: list[tuple] = []
     sent = {OPEN: FIELDS, KNOWN: FIELDS, MARK: [], SETTLED: FIELDS[:-1]}
 
     def block(rows: dict, mask: np.ndarray, kind: int):
         mine = np.flatnonzero(mask)
-        bucket = ((rows["gram"][mine] >> U(40)) % U(buckets)).astype(np.int32)
+        bucket = ((rows["gram"][mine] >> U(8 * LOW)) % U(buckets)).astype(np.int32)
         order = np.lexsort((rows["at"][mine], rows["doc"][mine], bucket))
         mine, bucket = mine[order], bucket[order]
         cuts = np.split(mine, runs(bucket)[1:]) if len(mine) else []
         yield pa.RecordBatch.from_arrays([
             pa.array(bucket[runs(bucket)]), pa.array([kind] * len(cuts), pa.int8()),
-            pa.array([b"" if kind == SETTLED else planes(rows["gram"][r], 5) for r in cuts], pa.binary()),
-            pa.array([b"".join(planes(rows[n][r], w) for n, _, w in sent[kind]) for r in cuts], pa.binary()),
+            pa.array([b"" if kind == SETTLED else planes(rows["gram"][r], LOW) for r in cuts], pa.binary()),
+            pa.array([b"".join(planes(np.diff(rows[n][r], prepend=0) if n == "doc" else rows[n][r], w) for n, _, w in sent[kind]) for r in cuts], pa.binary()),
         ], schema=BLOCKS)
 
     def flush():
@@ -201,8 +162,8 @@ def anchor_blocks(batches, buckets: int):
 
     held = 0
     for batch in batches:
-        ids, versions, texts = ids_of(batch.column(0)), batch.column(1).to_numpy(), [t or b"" for t in batch.column(2).to_pylist()]
-        for group in pieces(texts):
+        ids, versions = ids_of(batch.column(0)), batch.column(1).to_numpy()
+        for group in pieces(batch.column(2)):
             row, at0 = np.array([g[0] for g in group]), np.array([g[1] for g in group])
             lens = np.array([len(g[2]) for g in group])
             owner = np.repeat(np.arange(len(group), dtype=np.int32), lens)
@@ -211,7 +172,6 @@ def anchor_blocks(batches, buckets: int):
             begin = np.cumsum(lens) - lens
             left, right = np.minimum(at - begin[which], EDGE), np.minimum(begin[which] + lens[which] - at - GRAM, EDGE)
             around = mix((h[at + GRAM + right] - h[at - left]) * powers(len(h))[1][at - left] + left.astype(U) * U(RADIX) + right.astype(U))
-            around &= U((1 << 48) - 1)
             store.append((gram, ids[row[which]], versions[row[which]], at - begin[which] + at0[which], left, right, around))
             held += len(at)
             if held >= GATHER:
@@ -222,31 +182,39 @@ def anchor_blocks(batches, buckets: int):
 
 
 def shared_anchors(batches):
-    """FOUND rows of a partition's BLOCKS."""
-    grams, seen, marks = [], [], []
+    """FOUND rows of BLOCKS sorted by bucket. One bucket is held at a time."""
+    grams, seen, marks, now = [], [], [], None
+
+    def finish():
+        rows, repeat, contexts_, several = settle(np.concatenate(grams), {n: np.concatenate([s[n] for s in seen]) for n, _, _ in FIELDS})
+        yield from located(rows, repeat, True)
+        marked = np.isin(rows["gram"], np.concatenate([*marks, np.zeros(0, U)]))
+        yield from located(rows, ~repeat & (marked | (several & (contexts_ > 1))), False)
+
     for batch in batches:
-        for bucket, kind, low, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, kind, low, data in zip(*(batch.column(c).to_pylist() for c in range(2)), *(buffers(batch.column(c)) for c in (2, 3)), strict=True):
+            if bucket != now:
+                if grams:
+                    yield from finish()
+                grams, seen, marks, now = [], [], [], bucket
             fields = FIELDS[:-1] if kind == SETTLED else FIELDS
             n, at, rows = len(data) // sum(w for _, _, w in fields), 0, {}
             if kind != SETTLED:
-                gram = from_planes(low, U, 5, len(low) // 5) | U(bucket) << U(40)
+                gram = from_planes(low, LOW) | U(bucket) << U(8 * LOW)
             if kind == MARK:
                 marks.append(gram)
                 continue
             for name, type_, wide in fields:
-                rows[name] = from_planes(data[at : at + n * wide], type_, wide, n)
+                rows[name] = from_planes(data[at : at + n * wide], wide, type_)
                 at += n * wide
+            rows["doc"] = np.cumsum(rows["doc"])
             if kind == OPEN:
                 grams.append(gram)
                 seen.append(rows)
             else:
                 yield from located(rows, np.ones(n, bool), kind == SETTLED)
-    if not grams:
-        return
-    rows, repeat, contexts_, several = settle(np.concatenate(grams), {n: np.concatenate([s[n] for s in seen]) for n, _, _ in FIELDS})
-    yield from located(rows, repeat, True)
-    marked = np.isin(rows["gram"], np.concatenate([*marks, np.zeros(0, U)]))
-    yield from located(rows, ~repeat & (marked | (several & (contexts_ > 1))), False)
+    if grams:
+        yield from finish()
 
 
 #: An anchor's context with the bytes it has before and after the anchor, or, without context, a settled span from at on.
@@ -426,7 +394,7 @@ def passages(docs: DataFrame) -> DataFrame:
         version = F.when(F.col("_id").isNotNull() | F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(version)
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), version.alias("version"), body.alias("body"))
     blocks = rows.mapInArrow(lambda b: anchor_blocks(b, buckets), "bucket int, kind byte, grams binary, rows binary")
-    found = blocks.repartition(2 * parts, "bucket").mapInArrow(shared_anchors, FOUND)
+    found = blocks.repartition(2 * parts, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_anchors, FOUND)
     key = ["doc_id", "version"]
     span = F.when(F.col("width").isNotNull(), F.struct(F.col("at").alias("start"), (F.col("at") + F.col("width")).alias("stop")))
     place = F.when(F.col("width").isNull(), F.col("at"))

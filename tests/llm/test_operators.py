@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -485,7 +486,7 @@ def test_long_texts_are_cut_in_slices(monkeypatch, spark):
     whole = np.frombuffer(text, np.uint8)
     want, *_ = suffix_dedup.anchors(whole, np.zeros(len(text), np.int32))
     found = set()
-    for group in suffix_dedup.pieces([text]):
+    for group in suffix_dedup.pieces(pa.array([text])):
         for _, at, part in group:
             places, *_ = suffix_dedup.anchors(np.frombuffer(part, np.uint8), np.zeros(len(part), np.int32))
             found |= {int(p) + at for p in places}
