@@ -19,7 +19,8 @@ shingles. Sets whose rarest shingles already leave too little for the partner's
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; rows that share a
 doc_id are one node by their doc_id, with the size of one of them (the largest); a null doc_id is dropped from
-links but returned; an empty table gives an empty result; other columns are ignored.
+links but returned; an empty table gives an empty result; other columns are ignored. Memory of a task: a group of
+texts of GROUP bytes, or one longer text some 20 times over, and one hash bucket of shingles.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .arrays import U, buffers, from_planes, mix, planes, text_groups
+from .common import WORD, fresh_names, stored, table
 from .components import components
-from .shingles import U, grouped, mix, shingle_sets
+from .shingles import shingle_sets
 
 #: Similarity as percent: 100 * intersection >= LINK * union.
 LINK = 80
@@ -44,10 +46,13 @@ RANGED = U(1 << 62)
 LOW = (1 << 48) - 1
 #: Sets that one task may know to share a shingle before it sends them apart from the shingle's other sets.
 COMMON = 64
-#: Shingles that a task gathers before it sends them.
-GATHER = 1 << 21
-#: The largest light set that is considered, and how many list rows a prefix shingle is taken to cost.
-MOST_LIGHT, LIST_COST = 14, 20
+#: Bytes of text taken at once, shingles that a task gathers before it sends them, sets that it remembers as sent.
+GROUP, GATHER, SENT = 1 << 19, 1 << 19, 1 << 17
+#: How many list rows a prefix shingle is taken to cost. From MOST_LIGHT on a set has over a million subsets, so that no
+#: histogram makes enumerating them the cheaper way: the cost model alone decides below.
+LIST_COST, MOST_LIGHT = 20, 40
+#: Pairs of one set that a task verifies; a set with more is copied to several tasks.
+HUB = 256
 
 
 def spare(n):
@@ -57,9 +62,8 @@ def spare(n):
 
 def texts_of(batch, at: int = 1):
     """Ranges of a batch with their texts' sets: (first row, last row, hashes, cuts)."""
-    texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
-    for a, b in grouped([len(t) for t in texts]):
-        hashes, cuts = shingle_sets(texts[a:b])
+    for a, b, texts in text_groups(batch.column(at), GROUP):
+        hashes, cuts = shingle_sets(texts)
         yield a, b, hashes, cuts
 
 
@@ -81,20 +85,8 @@ OPEN, KNOWN, MARK = 0, 1, 2
 BLOCK = "bucket int, kind byte, tokens binary, docs binary"
 
 
-def planes(x: np.ndarray, width: int) -> bytes:
-    """The numbers' low bytes, byte by byte, so that those that repeat compress."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def from_planes(data: bytes, width: int) -> np.ndarray:
-    n = len(data) // width
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
 def token_blocks(batches, buckets: int, least: int):
-    """BLOCK rows with the indexed shingles of sets of at least `least`; of a task's equal sets one."""
+    """BLOCK rows with the indexed shingles of sets of at least `least`; of the equal sets that a task remembers one."""
     known: set[tuple[int, int]] = set()
     tokens, docs, held = [], [], 0
 
@@ -130,6 +122,8 @@ def token_blocks(batches, buckets: int, least: int):
             for k in np.flatnonzero(n >= least):
                 key = (int(n[k]), int(name[k]))
                 if key not in known:
+                    if len(known) >= SENT:  # sending equal sets twice costs time only: their rows become one later
+                        known.clear()
                     known.add(key)
                     take[k] = True
             partly = (n >= LARGE) & (ranged > spare(n))
@@ -145,10 +139,30 @@ def token_blocks(batches, buckets: int, least: int):
 
 
 def shared_tokens(batches):
-    """(doc_id, token, sets) of a partition's shingles that two sets have; sets is their number, or 2^31 - 1 if many."""
-    tokens, docs, marks = [], [], []
+    """(doc_id, token, sets) of the shingles that two sets have, from blocks sorted by bucket; sets is their number, or
+    2^31 - 1 if many. One bucket is held at a time."""
+    tokens, docs, marks, now = [], [], [], None
+
+    def finish():
+        token, doc = np.concatenate(tokens), np.concatenate(docs)
+        order = np.argsort(token)
+        token, doc = token[order], doc[order]
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        count = np.diff(np.append(begin, len(token)))
+        if marks:
+            count = np.where(np.isin(token[begin], np.concatenate(marks)), (1 << 31) - 1, count)
+        count = np.repeat(count, np.diff(np.append(begin, len(token))))
+        rows = np.flatnonzero(count > 1)
+        for a in range(0, len(rows), 1 << 17):
+            r = rows[a : a + (1 << 17)]
+            yield shared_rows(doc[r], token[r], count[r])
+
     for batch in batches:
-        for bucket, kind, raw, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, kind, raw, ids in zip(*(batch.column(c).to_pylist() for c in range(2)), *(buffers(batch.column(c)) for c in (2, 3)), strict=True):
+            if bucket != now:
+                if tokens:
+                    yield from finish()
+                tokens, docs, marks, now = [], [], [], bucket
             token = from_planes(raw, 6) | U(bucket) << U(48)
             if kind == MARK:
                 marks.append(token)
@@ -157,20 +171,8 @@ def shared_tokens(batches):
             else:
                 tokens.append(token)
                 docs.append(from_planes(ids, 8))
-    if not tokens:
-        return
-    token, doc = np.concatenate(tokens), np.concatenate(docs)
-    order = np.argsort(token)
-    token, doc = token[order], doc[order]
-    begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    count = np.diff(np.append(begin, len(token)))
-    if marks:
-        count = np.where(np.isin(token[begin], np.concatenate(marks)), (1 << 31) - 1, count)
-    count = np.repeat(count, np.diff(np.append(begin, len(token))))
-    rows = np.flatnonzero(count > 1)
-    for a in range(0, len(rows), 1 << 18):
-        r = rows[a : a + (1 << 18)]
-        yield shared_rows(doc[r], token[r], count[r])
+    if tokens:
+        yield from finish()
 
 
 def shared_rows(doc, token, count) -> pa.RecordBatch:
@@ -252,20 +254,28 @@ class Join:
     def __init__(self, docs: DataFrame, broadcast_ids: int = 1_000_000):
         self.docs, self.broadcast_ids = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), broadcast_ids
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(node, tokens) of the nodes in pairs (x, y)."""
-        nodes = stored(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "join-nodes")
-        if nodes.count() <= self.broadcast_ids:  # 16 MB at most
-            nodes = F.broadcast(nodes)
-        rows = self.docs.join(nodes, "doc_id", "left_semi").mapInArrow(whole_sets, "node long, tokens array<long>")
-        # Rows that share a doc_id: the largest set stands for them.
-        return rows
-
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) whose sets are similar enough, as edges (u, v)."""
-        sets = stored(self.sets(pairs), "join-sets")
-        x, y = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")) for c in "xy")
-        met = pairs.hint("merge").join(x.hint("merge"), "x").join(y.hint("merge"), "y")
+        """The pairs (x, y) whose sets are similar enough, as edges (u, v).
+
+        Of a pair's sets that of the node with fewer pairs goes to the other's. That one, say a group's hub, is copied
+        to a task for every HUB of its pairs, so that no task has all pairs of one set. Rows that share a doc_id are
+        each tried."""
+        ends = pairs.select(F.col("x").alias("node")).union(pairs.select("y"))
+        nodes = stored(ends.groupBy("node").agg(F.count("*").alias("pairs")), "join-nodes")
+        few = nodes.count() <= self.broadcast_ids  # 16 MB at most
+        wanted = nodes.select(F.col("node").alias("doc_id"))
+        rows = self.docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+        sets = stored(rows.mapInArrow(whole_sets, "node long, tokens array<long>"), "join-sets")
+        for c in "xy":
+            pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("pairs").alias(f"n{c}")), c)
+        swap = F.col("nx") > F.col("ny")
+        pairs = pairs.select(
+            F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), F.greatest("nx", "ny").alias("pairs")
+        )
+        pairs = pairs.select("x", "y", F.pmod(F.xxhash64("x"), F.expr(f"(pairs - 1) div {HUB} + 1")).alias("copy"))
+        x = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx"))
+        y = sets.join(nodes, "node").select(F.col("node").alias("y"), F.explode(F.expr(f"sequence(0L, (pairs - 1) div {HUB})")).alias("copy"), F.col("tokens").alias("ty"))
+        met = pairs.hint("merge").join(x.hint("merge"), "x").join(y.hint("merge"), ["y", "copy"])
         both = F.size(F.array_intersect("tx", "ty")).cast("long")
         met = met.select(F.col("x").alias("u"), F.col("y").alias("v"), both.alias("both"), (F.size("tx") + F.size("ty")).cast("long").alias("sizes"))
         return met.where(100 * F.col("both") >= LINK * (F.col("sizes") - F.col("both"))).select("u", "v")
@@ -302,10 +312,10 @@ def join_components(docs: DataFrame) -> DataFrame:
         ((100 + LINK) * F.col("size") >= LINK * (F.col("n") + F.col("lead.n"))) & (F.col("node") != F.col("lead.node"))
     ).select(F.col("node").alias("u"), F.col("lead.node").alias("v"))
 
-    buckets = min(4 * parts, 1 << 15)
+    buckets = min(16 * parts, 1 << 15)
     real_docs = docs.where("doc_id IS NOT NULL")
     blocks = real_docs.mapInArrow(lambda b: token_blocks(b, buckets, least), BLOCK)
-    shared = blocks.repartition(parts, "bucket").mapInArrow(shared_tokens, "doc_id long, token long, sets int")
+    shared = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_tokens, "doc_id long, token long, sets int")
     listed = shared.groupBy("doc_id").agg(F.collect_list(F.struct("sets", "token")).alias("tokens"))
     listed = listed.join(members, "doc_id").select("node", "n", "ranged", "tokens")
     lists = stored(listed.mapInArrow(prefixes, "token long, node long, n long, place long").distinct(), "join-lists")
@@ -349,9 +359,37 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component, the one of the smallest doc_id; all columns stay."""
-    found = join_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_id"), "left_anti")
+    """`docs` with one document of each component, the one of the smallest doc_id; all columns stay, whatever their names.
+
+    All rows of that doc_id stay, and rows without doc_id."""
+    (gone,) = fresh_names(docs, "_gone")
+    found = join_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(gone), "left_anti")
+
+
+def keep_one_row(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each component; all columns stay, whatever their names.
+
+    As keep_one where each row has a doc_id of its own. Rows without doc_id, and rows that share one, are known by their
+    doc_id and text and get numbers after the largest doc_id, so that a row with a doc_id of its own stays before them.
+    Rows without words are linked with nothing and all stay."""
+    again = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id")
+    if again.isEmpty():
+        return keep_one(docs)
+    names = fresh_names(docs, "_h", "_g", "_node", "_id", "_kh", "_kg", "_gone")
+    h, g, node, id_, kh, kg, gone = names
+    hashed = docs.withColumns({h: F.xxhash64("text"), g: F.xxhash64(F.lit(1), "text")})
+    keys = hashed.select("doc_id", h, g).join(again.withColumnRenamed("doc_id", id_), F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").distinct()
+    keys = stored(keys.withColumn(node, F.monotonically_increasing_id()), "join-rows")
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()[0]
+    keys = keys.select(F.col("doc_id").alias(id_), F.col(h).alias(kh), F.col(g).alias(kg), (F.col(node) + (top + 1)).alias(node))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(kh)) & (F.col(g) == F.col(kg))
+    rows = hashed.join(keys, same, "left")
+    found = join_components(rows.select(F.coalesce(node, "doc_id").alias("doc_id"), "text"))
+    found = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    rows = rows.join(found, F.coalesce(node, "doc_id") == F.col(gone), "left_anti")
+    one = F.col(node).isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return rows.where(~one).unionByName(rows.where(one).dropDuplicates([node])).select(*docs.columns)
 
 
 def op1_ngram_join(spark, sf_dir) -> DataFrame:
