@@ -3,11 +3,12 @@
 The benchmark's windows are normalised and their hashes go to every task as literals of an IN filter, which Spark
 keeps as one hash set in the broadcast task. Scanning is row-local: positions whose first two words start no window
 are skipped, then whole windows are looked up, and the few hits are verified by an equality join on the window's
-words. The set's size is checked: beyond `max_literals` windows, positions are matched by an ordinary join instead.
+words. The set's size is checked: beyond `max_literals` windows or `max_bytes` of their words, positions are matched
+by an ordinary join instead.
 
 Defined results: null texts have no words and no hits; an item of fewer than `n` words is one window, one without
-words none; rows that share a doc_id are judged one by one; an empty table on either side gives no hits; other
-columns pass through.
+words none; rows that share a doc_id are judged one by one; an empty table on either side gives no hits; long texts
+are scanned whole, one row at a time; other columns pass through `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_az, stored, table
+from .common import fresh_names, let, lower_az, stored, table
 
 #: A word: letters and digits of ASCII, and everything beyond ASCII.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,13 +79,14 @@ def merge_spans(hits: Column) -> Column:
     return F.aggregate(spans, F.array().cast("array<struct<pos:int,stop:int>>"), add)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_literals: int = 200_000, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_literals: int = 200_000, keys: tuple[str, ...] = ("doc_id",), max_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_words, spans, items) of each row of docs: merged hit spans, and the ids of the items that occur.
 
     keys: the columns that a row is known by, which come out in place of doc_id."""
     grams = stored(item_windows(benchmark, n), "benchmark-grams")
     lengths = [r[0] for r in grams.select("len").distinct().collect()]  # n at most
-    small = grams.limit(max_literals + 1).count() <= max_literals
+    size = grams.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0)).alias("bytes")).first()
+    small = size["rows"] <= max_literals and size["bytes"] <= max_bytes
     windows = None
     if small:
         windows = [tuple(r) for r in grams.select("len", "head", F.xxhash64("gram")).distinct().collect()]
@@ -105,29 +107,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share
 
     Each row is judged and cut by its own spans, whatever its doc_id: spans come back by doc_id and 128 bits of the text's
     hash, and rows that agree in both have the same spans."""
-    hashes = {"_h": F.xxhash64("text"), "_g": F.xxhash64(F.lit(1), "text")}
-    found = contamination(docs.select("doc_id", "text").withColumns(hashes), benchmark, n, keys=("doc_id", *hashes)).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_fh"), F.col("_g").alias("_fg")).agg(
-        F.first("n_words").alias("_n"), F.first("spans").alias("_spans")
-    )
-    hit_words = F.aggregate("_spans", F.lit(0), lambda a, s: a + s["stop"] - s["pos"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_fh")) & (F.col("_g") == F.col("_fg"))
+    h, g, id_, fh, fg, total, spans = fresh_names(docs, "_h", "_g", "_id", "_fh", "_fg", "_n", "_spans")
+    hashes = {h: F.xxhash64("text"), g: F.xxhash64(F.lit(1), "text")}
+    found = contamination(docs.select("doc_id", "text").withColumns(hashes), benchmark, n, keys=("doc_id", h, g)).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("doc_id").alias(id_), F.col(h).alias(fh), F.col(g).alias(fg)).agg(F.first("n_words").alias(total), F.first("spans").alias(spans))
+    hit_words = F.aggregate(spans, F.lit(0), lambda a, s: a + s["stop"] - s["pos"])
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(fh)) & (F.col(g) == F.col(fg))
     joined = docs.withColumns(hashes).join(found, same, "left")
-    joined = joined.where(F.col("_spans").isNull() | (hit_words < F.col("_n") * drop_share))
+    joined = joined.where(F.col(spans).isNull() | (hit_words < F.col(total) * drop_share))
     words = F.regexp_extract_all("text", F.lit(f"({TOKEN_ANY_CASE})"), F.lit(1))
     gaps = F.split("text", TOKEN_ANY_CASE, -1)
 
     def rebuilt(v: Column) -> Column:
-        hit = lambda i: F.exists("_spans", lambda s: (s["pos"] <= i) & (i < s["stop"]))
+        hit = lambda i: F.exists(spans, lambda s: (s["pos"] <= i) & (i < s["stop"]))
         piece = lambda g, i: F.concat(
             F.when(hit(i) & hit(i + 1), "").otherwise(g), F.when(hit(i + 1), "").otherwise(F.coalesce(F.get(v["words"], i), F.lit("")))
         )
         return F.array_join(F.transform(v["gaps"], piece), "")
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(
         let(F.struct(words.alias("words"), gaps.alias("gaps")), rebuilt)
     )
-    return joined.withColumn("text", text).drop("_id", "_n", "_spans", "_h", "_g", "_fh", "_fg")
+    return joined.withColumn("text", text).drop(id_, total, spans, h, g, fh, fg)
 
 
 def op6_decontamination(spark, sf_dir) -> DataFrame:
