@@ -1,14 +1,17 @@
 """Operator 4, mixing sources to target weights, with DataFrame functions only.
 
-Each source's words are packed into blocks of `block_tokens` (the last may be shorter). Every output slot draws its
-shard by a hash, so that a shard's counts by source are multinomial given the sources' totals; slot j of a source
-reads block perm(j mod blocks), where perm is a swap-or-not shuffle of the source's block numbers, and blocks are
-joined by number. Slots beyond the number of blocks start another pass, so no block is read more often than
-ceil(target / size) times.
-
-Defined results: a null text has size 0; a null source is a source of its own and comes last; rows that share doc_id
-and source are one document whose sizes add up (the text form keeps their rows apart); sources of size 0 get the
-target 0; an empty table gives an empty result; other columns are ignored.
+Each source's words are packed into blocks of `block_tokens` (the last may be shorter). The output is shards of
+`shard_blocks` slots each (the last may have fewer). Every shard draws its counts by source from the multinomial
+distribution whose weights are the sources' wanted slots: each of its slots draws one of all wanted slots by a hash, and
+the draws are counted. So that targets hold exactly, the draws of a source beyond its wanted slots, which stand in the
+last shards that drew it, are given to sources that drew too few. Draw j of a source reads block perm(j mod blocks), where
+perm is a swap-or-not shuffle of the source's block numbers, and blocks are joined by number. Draws beyond the number of
+blocks start another pass, so no block is read more often than ceil(target / size) times.
+
+Defined results: a null text has size 0; a null source is a source of its own and comes last; a null doc_id is a document
+of its source like any other; rows that share doc_id and source are one document whose sizes add up (the text form
+keeps their rows apart); sources of size 0 get the target 0; an empty table gives an empty result; long texts are taken
+whole, one row at a time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored, table
 
-#: Slots that one row of the slot plan unfolds to.
-CHUNK = 1 << 14
+#: Shards whose counts one window sums up.
+RANGE = 1 << 12
 
 
 def size_of(text: Column) -> Column:
@@ -61,26 +64,72 @@ def shuffled_index(x: Column, n: Column, key: Column, seed: int, rounds: int = 2
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, step)
 
 
+def running(rows: DataFrame, value: str, key: str, order: str, out: str) -> DataFrame:
+    """`rows` with out, the sum of `value` over the rows of the same key before in `order`; no window holds a whole key.
+
+    Order numbers are dealt into ranges of RANGE; windows run over the ranges' sums and within a range."""
+    rows = rows.withColumn("_range", F.expr(f"{order} div {RANGE}"))
+    sums = rows.groupBy(key, "_range").agg(F.sum(value).alias("_n"))
+    ranges = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(key, "_range", F.coalesce(F.sum("_n").over(ranges), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(starts, [key, "_range"]).withColumn(out, F.col("_start") + F.col("_before")).drop("_range", "_start", "_before")
+
+
+def drawn_counts(src: DataFrame, total: int, shard_blocks: int, seed: int) -> DataFrame:
+    """(shard, rank, n): how many slots each shard draws from each source (rank, wanted, low), wanted slots low to low + wanted - 1.
+
+    A draw finds its source by an equality join on a cell of CELL-th parts of all slots, and its place in the cell."""
+    spark, cells = src.sparkSession, 4 * max(1, src.count())
+    cell = lambda x: f"CAST(({x}) * {cells}D / {total} AS bigint)"
+    known = src.select("rank", "low", (F.col("low") + F.col("wanted")).alias("high"))
+    known = known.withColumn("cell", F.explode(F.expr(f"sequence({cell('low')}, {cell('high - 1')})")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    draws = spark.range(0, total, 1, parts).select(
+        F.expr(f"id div {shard_blocks}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(total)).alias("draw")
+    )
+    met = draws.withColumn("cell", F.expr(cell("draw"))).join(known, "cell").where("low <= draw AND draw < high")
+    return met.groupBy("shard", "rank").agg(F.count("*").alias("n"))
+
+
 def draw_slots(sources: DataFrame, block_tokens: int, shard_blocks: int, seed: int) -> DataFrame:
     """(shard, slot, rank, pass, block): every block read of the mix."""
+    spark = sources.sparkSession
     blocks = F.ceil(F.col("source_size") / block_tokens).cast("long")
     src = sources.where(F.col("source_size") > 0).withColumn("blocks", blocks)
-    src = src.withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
-    total = F.sum("slots").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    src = src.withColumn("shards", F.greatest(F.ceil(total / shard_blocks), F.lit(1)).cast("long")).where("slots > 0")
-    parts = src.select(
-        "rank", "blocks", "slots", "shards", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {CHUNK}"))).alias("part")
-    ).repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "part")
-    first = F.col("part") * CHUNK
-    slots = parts.select(
-        "rank", "blocks", "shards", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1)).alias("slot")
-    )
+    src = src.withColumn("wanted", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")).where("wanted > 0")
+    by_rank = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # over sources, not over rows
+    src = stored(src.select("rank", "blocks", "wanted", F.coalesce(F.sum("wanted").over(by_rank), F.lit(0)).alias("low")), "mix-wanted")
+    total = src.agg(F.coalesce(F.sum("wanted"), F.lit(0))).first()[0]
+    if not total:
+        empty = "shard long, slot long, rank long, pass long, block long"
+        return spark.createDataFrame([], empty)
+    counts = stored(drawn_counts(src, total, shard_blocks, seed), "mix-counts")
+    counts = running(counts, "n", "rank", "shard", "first").join(src.select("rank", "wanted"), "rank")
+
+    # What was drawn too often and too seldom, unit by unit in the order of the sources: the k-th of the one becomes the k-th of the other.
+    drawn = src.join(counts.groupBy("rank").agg(F.sum("n").alias("drawn")), "rank", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    drawn = stored(drawn, "mix-drawn")
+
+    def units(first: str, stop: str, names: tuple[str, str]) -> DataFrame:
+        over = drawn.where(f"{first} < {stop}").withColumn("_n", F.expr(f"{stop} - {first}"))
+        over = over.withColumn("_low", F.coalesce(F.sum("_n").over(by_rank), F.lit(0)))
+        return over.select(F.col("rank").alias(names[0]), F.posexplode(F.expr(f"sequence({first}, {stop} - 1)")).alias("_k", names[1]), "_low").select(
+            *names, (F.col("_low") + F.col("_k")).alias("unit")
+        )
+
+    moved = units("wanted", "drawn", ("rank", "draw")).join(units("drawn", "wanted", ("to_rank", "to_draw")), "unit").drop("unit")
+    inside = counts.where("first < wanted").select("shard", "rank", "first", F.expr("least(first + n, wanted) - 1").alias("last"))
+    beyond = counts.where("first + n > wanted").select("shard", "rank", F.explode(F.expr("sequence(greatest(first, wanted), first + n - 1)")).alias("draw"))
+    settled = beyond.join(moved, ["rank", "draw"]).select("shard", F.col("to_rank").alias("rank"), F.col("to_draw").alias("first"), F.col("to_draw").alias("last"))
+    slots = inside.unionByName(settled).select("shard", "rank", F.explode(F.sequence("first", "last")).alias("draw")).join(src.select("rank", "blocks"), "rank")
     return slots.select(
-        F.pmod(F.xxhash64(F.lit(seed + 2), "rank", "slot"), F.col("shards")).alias("shard"),
-        "slot",
+        "shard",
+        F.col("draw").alias("slot"),
         "rank",
-        F.expr("slot div blocks").alias("pass"),
-        shuffled_index(F.pmod("slot", "blocks"), F.col("blocks"), F.col("rank"), seed).alias("block"),
+        F.expr("draw div blocks").alias("pass"),
+        shuffled_index(F.pmod("draw", "blocks"), F.col("blocks"), F.col("rank"), seed).alias("block"),
     )
 
 
