@@ -1,30 +1,40 @@
 """Operator 10, language ID: interpolated Kneser-Ney character models, one for each language.
 
-The models learn from a bounded sample of the labelled training rows: some `sample_docs` documents a language, whole
-texts, chosen by a hash (a documented bound; every document is scored). Spark counts the sample's character 4-grams by
-language; the counts fit in one table that is bounded with the sample, from which the interpolated probabilities are
-computed. They are kept as sorted arrays of 64-bit n-gram keys (16 bits a character) with one column a language, over
-the n-grams of all languages, and are looked up by binary search; an n-gram of no language backs off to the next
-order with its context's weights. A text gets the language of least cross-entropy a character. It is rejected if
-that exceeds the most that any held-back calibration document of the language needed, plus a margin.
+The models learn from a bounded sample of the labelled training rows: per language some `sample_docs` documents or
+`sample_chars` characters, whichever is less, and `most_docs` over all languages, whole texts, chosen by a hash of doc_id and
+text (a documented bound; every document is scored). Spark counts the sample's character 4-grams by language; the counts
+fit in one table that is bounded with the sample, from which the interpolated probabilities are computed. They are kept
+as sorted arrays of 64-bit n-gram keys (16 bits a character) with one column a language, over the n-grams of all
+languages, and are looked up by binary search; an n-gram of no language backs off to the next order with its context's
+weights. A text gets the language of least cross-entropy a character.
+
+Rejection is calibrated for each language on the third of its sample that is held back from learning. How far a document's
+cross-entropy exceeds the language's mean is measured in standard deviations for its length (a part that all documents
+have, and a part that falls with the number of characters). The limit is what a share `false_rejection` of such
+documents exceeds: their upper tenth's tail is taken as exponential, and the limit is no less than the quantile
+of the calibration documents themselves. Beyond the limit a text is rejected.
 
 Defined results: a null text, or one without letters, is `und` with score 0 and is rejected; without any training row
-every text is `und`; ties go to the language that comes first; repeated rows get equal values; an empty table gives
-an empty result; other columns are ignored. lang, source and doc_id are never inputs of a prediction.
+every text is `und`; a null doc_id isn't held out; ties go to the language that comes first; repeated rows get equal
+values; an empty table gives an empty result; long texts are taken whole, one by one; other columns are ignored, and pass
+through `keep_identified`, whatever their names. lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import byte_sizes, grouped
 from .common import stored, table
 
 ORDER = 4
 SPACE = 32
-#: Characters of one group that a task scores at once.
+#: Bytes of text that a task scores at once.
 GROUP = 1 << 20
 
 
@@ -131,7 +141,8 @@ class Models:
             if n > 1:
                 self.heads[n], self.back[n] = heads, np.log(back).astype(np.float32)
             below = prob
-        self.limits = np.full(size, np.inf)
+        # Of the standard for rejection: mean, variance of all lengths, variance of one character, standard deviations allowed.
+        self.standard = np.tile(np.array([0.0, 0.0, 1.0, np.inf]), (size, 1))
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log p of the last character of each 4-gram key given the others, by language."""
@@ -166,34 +177,58 @@ class Models:
         return -sums / np.maximum(1, chars)[:, None], kinds
 
 
-def grouped(texts: list[str]) -> list[tuple[int, int]]:
-    cuts, held = [0], 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > GROUP:
-            cuts.append(i)
-            held = 0
-        held += len(t)
-    return list(zip(cuts, [*cuts[1:], len(texts)], strict=True)) if texts else []
-
-
-def train(rows: DataFrame, sample_docs: int = 2000, calibration: float = 0.2, margin: float = 1.5) -> Models | None:
+    def calibrate(self, language: int, nats: np.ndarray, letters: np.ndarray, false_rejection: float) -> None:
+        """Set the limit of a language from documents of it."""
+        if not len(nats):
+            return
+        mean = nats.mean()
+        square, short = (nats - mean) ** 2, 1 / np.maximum(letters, 1)
+        order = np.argsort(short)
+        long, brief = order[: (len(order) + 1) // 2], order[len(order) // 2 :]
+        gap = short[brief].mean() - short[long].mean()
+        single = max(0.0, (square[brief].mean() - square[long].mean()) / gap) if gap > 0 else 0.0
+        common = max(square[long].mean() - single * short[long].mean(), 1e-4)
+        away = np.sort((nats - mean) / np.sqrt(common + single * short))
+        tenth = max(1, len(away) // 10)
+        base = away[-tenth - 1] if len(away) > tenth else away[0]
+        tail = base + max((away[-tenth:] - base).mean(), 0.1) * np.log(max(1.0, tenth / len(away) / false_rejection))
+        rank = int(np.ceil((len(away) + 1) * (1 - false_rejection)))
+        self.standard[language] = mean, common, single, max(tail, away[min(rank, len(away)) - 1])
+
+    def rejected(self, language: np.ndarray, nats: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        mean, common, single, most = self.standard[language].T
+        return (letters == 0) | (nats > mean + most * np.sqrt(common + single / np.maximum(letters, 1)))
+
+
+def char_groups(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, last row, texts) of a column, some GROUP bytes at a time; null is empty."""
+    for a, b in grouped(byte_sizes(column).tolist(), GROUP):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
+def train(
+    rows: DataFrame, sample_docs: int = 3000, sample_chars: int = 20_000_000, most_docs: int = 300_000, calibration: float = 1 / 3, false_rejection: float = 1e-4
+) -> Models | None:
     """The models from labelled rows (doc_id, text, lang); None if there are none."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    sizes = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars")).collect()}  # one row a language
     if not sizes:
         return None
     languages = sorted(sizes)
     span = 1 << 30
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(span))
-    limit = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(span * min(1.0, sample_docs / n))))])
-    sample = stored(rows.where(pick < F.element_at(limit, F.col("lang"))).select("doc_id", "lang", "text"), "language-sample")
-    held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(1000)) < int(1000 * calibration)
+    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(span))
+    docs = min(sample_docs, -(-most_docs // len(languages)))
+    share = lambda r: min(1.0, docs / r.docs, sample_chars / max(1, r.chars))
+    limit = F.create_map(*[x for k, r in sizes.items() for x in (F.lit(k), F.lit(int(span * share(r))))])
+    sample = rows.where(pick < F.element_at(limit, F.col("lang"))).select("doc_id", "lang", "text").dropDuplicates()  # rows may repeat
+    sample = stored(sample, "language-sample")
+    held = F.pmod(F.xxhash64("doc_id", "text", F.lit("calibration")), F.lit(1000)) < int(1000 * calibration)
 
     def count(batches):
         for batch in batches:
-            lang, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in grouped(texts):
-                sym, owner = symbols(texts[a:b])
+            lang = batch.column(0).to_pylist()
+            for a, b, texts in char_groups(batch.column(1)):
+                sym, owner = symbols(texts)
                 at, keys = scored(owner), contexts(sym, owner)
                 for name in sorted(set(lang[a:b])):
                     mine = np.array([x == name for x in lang[a:b]])
@@ -208,18 +243,20 @@ def train(rows: DataFrame, sample_docs: int = 2000, calibration: float = 0.2, ma
     models = Models(languages, counts)
     sent = sample.sparkSession.sparkContext.broadcast(models)
 
-    def most(batches):
+    def measured(batches):
         index = {x: i for i, x in enumerate(sent.value.languages)}
         for batch in batches:
-            lang, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in grouped(texts):
-                nats, kinds = sent.value.entropies(texts[a:b])
+            lang = batch.column(0).to_pylist()
+            for a, b, texts in char_groups(batch.column(1)):
+                nats, kinds = sent.value.entropies(texts)
                 own = nats[np.arange(b - a), [index[x] for x in lang[a:b]]]
-                yield pa.RecordBatch.from_arrays([pa.array(lang[a:b]), pa.array(np.where(kinds > 0, own, 0.0))], ["lang", "nats"])
+                yield pa.RecordBatch.from_arrays([pa.array(lang[a:b]), pa.array(own), pa.array(kinds)], ["lang", "nats", "letters"])
 
-    worst = sample.where(held).select("lang", "text").mapInArrow(most, "lang string, nats double")
-    for r in worst.groupBy("lang").agg(F.max("nats").alias("nats")).collect():
-        models.limits[languages.index(r.lang)] = r.nats + margin
+    rest = sample.where(held).select("lang", "text").mapInArrow(measured, "lang string, nats double, letters long")
+    rest = rest.where("letters > 0").toPandas()  # a row for each calibration document, bounded with the sample
+    for i, name in enumerate(languages):
+        own = rest[rest.lang == name].sort_values(["letters", "nats"])
+        models.calibrate(i, own["nats"].to_numpy(float), own["letters"].to_numpy(float), false_rejection)
     return models
 
 
@@ -233,27 +270,27 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
 
     def predict(batches):
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in grouped(texts):
+            ids = batch.column(0)
+            for a, b, texts in char_groups(batch.column(1)):
                 n, model = b - a, sent.value
                 if model is None:
                     lang, score, best, bad = ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
                 else:
-                    nats, kinds = model.entropies(texts[a:b])
+                    nats, kinds = model.entropies(texts)
                     pick, rows = nats.argmin(1), np.arange(n)
                     best = nats[rows, pick]
                     # The posterior of a text of at most 50 characters; longer ones aren't surer than that here.
                     edge = np.exp((best[:, None] - nats) * np.clip(kinds, 1, 50)[:, None]).sum(1)
                     score = np.where(kinds > 0, 1 / edge, 0.0)
                     lang = [model.languages[p] if k else "und" for p, k in zip(pick, kinds, strict=True)]
-                    bad = (kinds == 0) | (best > model.limits[pick])
+                    bad = model.rejected(pick, best, kinds)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(lang, pa.string()), pa.array(score), pa.array(best), pa.array(bad)], names)
 
     return docs.select("doc_id", "text").mapInArrow(predict, PREDICTED)
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def learned(docs: DataFrame, **options) -> Models | None:
@@ -269,13 +306,12 @@ def keep_identified(docs: DataFrame, models: Models | None) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(where).to_pylist()]
-            for a, b in grouped(texts):
+            for a, b, texts in char_groups(batch.column(where)):
                 if sent.value is None:
                     continue
-                nats, kinds = sent.value.entropies(texts[a:b])
+                nats, kinds = sent.value.entropies(texts)
                 pick = nats.argmin(1)
-                good = (kinds > 0) & (nats[np.arange(b - a), pick] <= sent.value.limits[pick])
+                good = ~sent.value.rejected(pick, nats[np.arange(b - a), pick], kinds)
                 yield batch.slice(a, b - a).filter(pa.array(good))
 
     return docs.mapInArrow(keep, docs.schema)
