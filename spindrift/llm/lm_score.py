@@ -7,10 +7,11 @@ sum over its lattice of pieces; pieces don't cross white space, so a text's prob
 words, each drawn against the end of the text. Characters without a piece are spelled by the byte pieces.
 
 Documents meet their words' scores without a big join: words above a count that keeps them under `broadcast_words`
-are broadcast, and only the rest, a small part of the tokens, is joined by word.
+and `broadcast_bytes` are broadcast, and only the rest, a small part of the tokens, is joined by word.
 
 Defined results: a null or empty text is the end token alone; rows that share a doc_id are scored one by one; a null
-doc_id counts as a training row; an empty table gives an empty result; other columns are ignored.
+doc_id counts as a training row; an empty table gives an empty result; other columns are ignored. Long texts are taken
+whole; a word of any length is one lattice, of which a task holds some 200 bytes a character.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import grouped, mix, powers
 from .common import WORD, lower_az, stored, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of words that a task lays out at once.
 GROUP = 1 << 19
 LN10 = math.log(10)
-RADIX = 0x9E3779B97F4A7C15 | 1
 BEGIN = "▁"
 
 
@@ -80,27 +81,14 @@ class Pieces:
 def prefix_hashes(codes: np.ndarray) -> np.ndarray:
     """h[i] = sum of codes[j] * RADIX^j over j < i, modulo 2^64."""
     h = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(len(codes)), out=h[1:])
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(len(codes))[0][: len(codes)], out=h[1:])
     return h
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> np.ndarray:
-    if len(_POWERS[0]) < n:
-        for k, r in ((0, RADIX), (1, pow(RADIX, -1, 1 << 64))):
-            _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, r, np.uint64)]))
-    return _POWERS[0][:n]
-
-
 def sub_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """The hash of each substring of n codes, mixed."""
     size = len(h) - n
-    powers(size + n)
-    x = (h[n:] - h[:-n]) * _POWERS[1][:size]
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+    return mix((h[n:] - h[:-n]) * powers(size)[1][:size])
 
 
 class Lattice:
@@ -183,20 +171,14 @@ def log_sums(value: np.ndarray, new: np.ndarray) -> np.ndarray:
     return top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), new))
 
 
-def grouped(words: list[str]) -> list[tuple[int, int]]:
-    cuts, held = [0], 0
-    for i, w in enumerate(words):
-        if held and held + len(w) + 1 > GROUP:
-            cuts.append(i)
-            held = 0
-        held += len(w) + 1
-    return list(zip(cuts, [*cuts[1:], len(words)], strict=True)) if words else []
+def word_groups(words: list[str]) -> list[tuple[int, int]]:
+    return grouped([len(w) + 1 for w in words], GROUP)
 
 
 def word_scores(words: list[str], pieces: Pieces) -> np.ndarray:
     """Natural log of the marginal probability of each word."""
     out = np.zeros(len(words))
-    for a, b in grouped(words):
+    for a, b in word_groups(words):
         lattice = Lattice(words[a:b], pieces)
         out[a:b] = lattice.forward(lattice.weights(pieces))[lattice.stop]
     return out
@@ -205,7 +187,7 @@ def word_scores(words: list[str], pieces: Pieces) -> np.ndarray:
 def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces) -> np.ndarray:
     """How often each piece is expected in the words, each of which occurs counts times."""
     out = np.zeros(pieces.size)
-    for a, b in grouped(words):
+    for a, b in word_groups(words):
         lattice = Lattice(words[a:b], pieces)
         weight = lattice.weights(pieces)
         alpha, beta = lattice.forward(weight), lattice.backward(weight)
@@ -239,7 +221,7 @@ def learned(words: DataFrame, pieces: Pieces, rounds: int) -> Pieces:
 
 
 def score_texts(
-    docs: DataFrame, training: Column, model_file: str = VOCABULARY, rounds: int = 1, broadcast_words: int = 200_000
+    docs: DataFrame, training: Column, model_file: str = VOCABULARY, rounds: int = 1, broadcast_words: int = 200_000, broadcast_bytes: int = 16 << 20
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of docs, learned from the `training` rows."""
     spark = docs.sparkSession
@@ -269,10 +251,12 @@ def score_texts(
             "word", "lm", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("base"), (F.col("c") > 0).cast("long").alias("known")
         )
 
-    # The least power of two over which at most broadcast_words words stand: a few rows of a histogram.
-    sizes = {r.k: r["count"] for r in words.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()}
-    power = max(sizes, default=0) + 1
-    while power > 0 and sum(x for k, x in sizes.items() if k >= power - 1) <= broadcast_words:
+    # The least power of two over which few enough words stand: some rows of a histogram. A row of a broadcast table
+    # takes its word and some 64 bytes.
+    sizes = words.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("word") + 64).alias("bytes")).collect()
+    power = max((r.k for r in sizes), default=0) + 1
+    above = lambda p: [sum(r[c] for r in sizes if r.k >= p) for c in ("rows", "bytes")]
+    while power > 0 and above(power - 1)[0] <= broadcast_words and above(power - 1)[1] <= broadcast_bytes:
         power -= 1
     often = F.col("n") >= 2**power
     top = scored(words.where(often)).withColumnRenamed("word", "top")

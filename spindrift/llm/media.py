@@ -7,7 +7,8 @@ decodes the scan's intervals side by side in numpy, skips AC coefficients and re
 thumbnail (one sample a block).
 
 Defined results: a null or empty text is a payload of 192 spaces; payloads over `FRAME` bytes become several images
-one after another; repeated rows get equal values; an empty table gives an empty result; other columns are ignored.
+one after another, whose heights add up and whose thumbnails all go into the hash; repeated rows get equal values,
+whatever their doc_id, which may be null; an empty table gives an empty result; other columns are ignored.
 A task holds one group of texts of some `GROUP` bytes, or one longer text.
 """
 
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .arrays import text_groups
 from .common import table
 
 UNIT = 192
@@ -308,15 +310,10 @@ def thumbnail_hash(grid: np.ndarray) -> str:
     return np.packbits(means[:, 1:] > means[:, :-1]).tobytes().hex()
 
 
-def grouped(sizes: list[int]) -> list[tuple[int, int]]:
-    """Ranges of rows of some GROUP bytes each."""
-    cuts, held = [0], 0
-    for i, n in enumerate(sizes):
-        if held and held + n > GROUP:
-            cuts.append(i)
-            held = 0
-        held += n
-    return list(zip(cuts, [*cuts[1:], len(sizes)], strict=True))
+def thumbnails_hash(grids: list[np.ndarray]) -> str:
+    """The hash of an image; of several images that hold one payload a digest of all their hashes."""
+    hashes = [thumbnail_hash(g) for g in grids]
+    return hashes[0] if len(hashes) == 1 else hashlib.sha256("".join(hashes).encode()).hexdigest()[:16]
 
 
 MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
@@ -332,10 +329,8 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
     def encode(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            sizes = [len(t or "") for t in texts.to_pylist()]
-            for a, b in grouped(sizes):
-                raw = [(t or "").encode() for t in texts.slice(a, b - a).to_pylist()]
+            ids = batch.column(0)
+            for a, b, raw in text_groups(batch.column(1), GROUP):
                 padded = [t.ljust(max(1, -(-len(t) // UNIT)) * UNIT) for t in raw]
                 small = [i for i, p in enumerate(padded) if len(p) <= WIDE * MOST_ROWS]
                 media = dict(zip(small, encode_images([padded[i] for i in small]), strict=True)) if small else {}
@@ -353,17 +348,16 @@ def media_features(media: DataFrame) -> DataFrame:
 
     def features(batches):
         for batch in batches:
-            ids, lengths, stored = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            sizes = [len(x.as_buffer()) for x in stored]
-            for a, b in grouped(sizes):
-                values, rows = stored.slice(a, b - a).to_pylist(), []
+            ids, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, _, values in text_groups(batch.column(2), GROUP):
+                rows = []
                 for k, found in enumerate(decode_all(values)):
                     payload = b"".join(grid.tobytes()[: image.length] for image, grid in found)
-                    image, grid = found[0]
-                    dhash, tail = thumbnail_hash(grid), zlib.crc32(payload[-16:])
+                    width, height = max(image.width for image, _ in found), sum(image.height for image, _ in found)
+                    dhash, tail = thumbnails_hash([grid for _, grid in found]), zlib.crc32(payload[-16:])
                     rows.append((
-                        ids[a + k], lengths[a + k], image.width, image.height, dhash, len(payload), hashlib.sha256(payload).hexdigest(), tail,
-                        len(values[k]), hashlib.sha256(values[k]).hexdigest(), f"{image.width}x{image.height}:{dhash}",
+                        ids[a + k], lengths[a + k], width, height, dhash, len(payload), hashlib.sha256(payload).hexdigest(), tail,
+                        len(values[k]), hashlib.sha256(values[k]).hexdigest(), f"{width}x{height}:{dhash}",
                     ))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FEATURES, strict=True)], schema=FEATURES)
 

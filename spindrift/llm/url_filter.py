@@ -4,7 +4,8 @@ The key universe is every distinct host of the table. It is dealt by hash into s
 shard's cascade is built in one task: level 0 encodes the listed keys, level 1 those unlisted keys of the shard that
 pass level 0, level 2 the listed keys that pass level 1, and so on until no key passes wrongly. Membership of any key
 of the universe is then exact and takes a few bit tests, without a join. Cascades are sent to the tasks in groups of
-at most `broadcast_bytes`; beyond that the table is probed in several passes, each over its own shards.
+at most `broadcast_bytes`; beyond that the table is probed in several passes, each over its own shards and written
+before the next group is sent.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is never listed;
 repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
@@ -144,6 +145,9 @@ def probe(df: DataFrame, key: str, cascades: DataFrame, shards: int, broadcast_b
         sent = spark.sparkContext.broadcast(levels)
 
         part = known.where(F.col("shard").isin(group)).withColumn("listed", membership(sent)("shard", "a", "b"))
+        if len(groups) > 1:  # written before the next group goes out, so that one group's levels are held at a time
+            part = stored(part, "probed")
+            sent.destroy()
         out = out.unionByName(part)
     return out.drop("shard", "a", "b")
 
