@@ -2,6 +2,11 @@
 
 Each stage works on all that its predecessor kept. All but the last return the columns of documents; the last gives
 the mixed blocks. Documents that a stage doesn't judge against stay as they are.
+
+Defined results of every stage but the first for rows that are out of the ordinary: a null or empty text has no lines to
+lose, no copies and no benchmark words, so its row stays as it is; rows without doc_id, and rows that share one, are
+judged one by one by their texts; an empty table gives an empty table; columns beside doc_id, text, lang, source and
+n_chars pass through, whatever their names. Each stage says what it does else.
 """
 
 from __future__ import annotations
@@ -21,27 +26,31 @@ def _as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the models know; what they reject goes (no letters, or no such language)."""
+    """Documents in a language that the models know. What they reject goes: null and empty texts, texts without letters, and
+    texts like none that the models were fitted on; without any labelled row all go."""
     return language_id.keep_identified(docs, language_id.learned(docs))
 
 
 def drop_common_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten or more of them share."""
+    """All rows, without the lines that ten or more documents share. Rows of one doc_id, or of none, count as one document.
+    A text of such lines only becomes empty, one that was null too."""
     return _as_before(line_dedup.line_dedup(docs), docs)
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return ngram_join.keep_one(docs)
+    """One row of each group of near copies, the one of the smallest doc_id; exact copies are near copies, also where they
+    share a doc_id or have none. Rows without words all stay."""
+    return ngram_join.keep_one_row(docs)
 
 
 def drop_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of the table benchmark; those that are little else go."""
+    """Rows without the passages of the table benchmark; those of which these are four fifths of the words or more go."""
     return _as_before(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The blocks of the mix: (shard, slot, source, pass, block, n_words, doc_ids, text)."""
+    """The blocks of the mix: (shard, slot, source, pass, block, n_words, doc_ids, text). Texts without words fill none; no
+    rows, no blocks."""
     return mixing.mixed_blocks(docs)
 
 
