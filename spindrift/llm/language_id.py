@@ -10,9 +10,9 @@ weights. A text gets the language of least cross-entropy a character.
 
 Rejection is calibrated for each language on the third of its sample that is held back from learning. How far a document's
 cross-entropy exceeds the language's mean is measured in standard deviations for its length (a part that all documents
-have, and a part that falls with the number of characters). The limit is what a share `false_rejection` of such
-documents exceeds: their upper tenth's tail is taken as exponential, and the limit is no less than the quantile
-of the calibration documents themselves. Beyond the limit a text is rejected.
+have, and a part that falls with the number of characters). The limit is what at most a share `false_rejection` of such
+documents exceeds, by the largest of three counts: with their upper tenth's tail taken as exponential, by Student's t for
+as many calibration documents, and the quantile of the documents themselves. Beyond the limit a text is rejected.
 
 Defined results: a null text, or one without letters, is `und` with score 0 and is rejected; without any training row
 every text is `und`; a null doc_id isn't held out; ties go to the language that comes first; repeated rows get equal
@@ -95,6 +95,20 @@ def low(keys: np.ndarray, n: int) -> np.ndarray:
     return keys & np.uint64((1 << 16 * n) - 1)
 
 
+#: Calibration documents from which on the spread is told by length.
+FEW = 30
+
+
+def student_quantile(freedom: int, tail: float) -> float:
+    """What a Student-t variable exceeds with probability `tail`; without a degree of freedom, infinity."""
+    if freedom < 1:
+        return np.inf
+    angle = np.linspace(0, np.pi / 2, 1 << 18, endpoint=False)
+    above = np.cumsum(np.cos(angle[::-1]) ** (freedom - 1))[::-1]
+    at = np.searchsorted(-above, -tail * 2 * above[0])
+    return np.sqrt(freedom) * np.tan(angle[min(at, len(angle) - 1)])
+
+
 class Models:
     """Interpolated Kneser-Ney probabilities of all languages. For n = 1..4: grams[n] (sorted keys) with logp[n]
     (gram, language); for n = 2..4: heads[n] (sorted keys of n-1 characters) with back[n] (context, language)."""
@@ -181,19 +195,21 @@ class Models:
         """Set the limit of a language from documents of it."""
         if not len(nats):
             return
-        mean = nats.mean()
-        square, short = (nats - mean) ** 2, 1 / np.maximum(letters, 1)
-        order = np.argsort(short)
-        long, brief = order[: (len(order) + 1) // 2], order[len(order) // 2 :]
-        gap = short[brief].mean() - short[long].mean()
-        single = max(0.0, (square[brief].mean() - square[long].mean()) / gap) if gap > 0 else 0.0
-        common = max(square[long].mean() - single * short[long].mean(), 1e-4)
-        away = np.sort((nats - mean) / np.sqrt(common + single * short))
+        mean, common, single = nats.mean(), max(nats.var(ddof=min(1, len(nats) - 1)), 1e-4), 0.0
+        if len(nats) >= FEW:
+            square, short = (nats - mean) ** 2, 1 / np.maximum(letters, 1)
+            order = np.argsort(short)
+            long, brief = order[: (len(order) + 1) // 2], order[len(order) // 2 :]
+            gap = short[brief].mean() - short[long].mean()
+            single = max(0.0, (square[brief].mean() - square[long].mean()) / gap) if gap > 0 else 0.0
+            common = max(square[long].mean() - single * short[long].mean(), 1e-4)
+        away = np.sort((nats - mean) / np.sqrt(common + single / np.maximum(letters, 1)))
         tenth = max(1, len(away) // 10)
         base = away[-tenth - 1] if len(away) > tenth else away[0]
-        tail = base + max((away[-tenth:] - base).mean(), 0.1) * np.log(max(1.0, tenth / len(away) / false_rejection))
+        tail = base + (away[-tenth:] - base).mean() * np.log(max(1.0, tenth / len(away) / false_rejection))
         rank = int(np.ceil((len(away) + 1) * (1 - false_rejection)))
-        self.standard[language] = mean, common, single, max(tail, away[min(rank, len(away)) - 1])
+        normal = student_quantile(len(away) - 1, false_rejection) * np.sqrt(1 + 1 / len(away))
+        self.standard[language] = mean, common, single, max(tail, away[min(rank, len(away)) - 1], normal)
 
     def rejected(self, language: np.ndarray, nats: np.ndarray, letters: np.ndarray) -> np.ndarray:
         mean, common, single, most = self.standard[language].T
