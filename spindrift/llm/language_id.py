@@ -223,7 +223,7 @@ def char_groups(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def train(
-    rows: DataFrame, sample_docs: int = 3000, sample_chars: int = 20_000_000, most_docs: int = 300_000, calibration: float = 1 / 3, false_rejection: float = 1e-4
+    rows: DataFrame, sample_docs: int = 3000, sample_chars: int = 20_000_000, most_docs: int = 300_000, calibration: float = 1 / 3, false_rejection: float = 1e-6
 ) -> Models | None:
     """The models from labelled rows (doc_id, text, lang); None if there are none."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
