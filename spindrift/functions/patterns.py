@@ -22,6 +22,9 @@ BROWSER_GENDERS = "pria wanita perempuan laki-laki lakilaki male female".split()
 #: Fixed patterns of the rule classifier.
 DATE = rf"\b\d{{1,2}}\s+(?:{'|'.join(MONTHS)})(?:\s+\d{{4}})?\b|\b\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}\b"
 WORD = r"\b[\w.\-]+\b"
+#: The same words, but only those that begin with a capital or are of the lists. A word is what lies between the first and
+#: the last letter, digit or underscore of a run of these, dots and dashes; the run's first signs are the first group.
+MARKED_WORD = rf"(?<![\w.\-])([.\-]*+)((?:\p{{Lu}}[\w.\-]*|(?i:{'|'.join(PLACES + GENDERS)})(?=[.\-]*+(?![\w.\-])))\b)"
 #: Fixed: characters cut from both ends of a span.
 TRIM = " \t\n\r.,;:!?()[]{}\"'"
 #: White space, with the four separators that Java's class leaves out.
@@ -34,13 +37,13 @@ def unicode_pattern(pattern: str, ignore_case: bool = False, profile: str = "ser
     return f"(?{'i' if ignore_case else ''}{'U' if profile == 'server' else ''})" * (ignore_case or profile == "server") + pattern
 
 
-def find_all(text: Column, pattern: str, keep=None) -> Column:
+def find_all(text: Column, pattern: str, keep=None, fence: str = f"{MARK}$0{MARK}") -> Column:
     """array<struct<start, end, text>> of the matches from left to right; offsets count code points.
 
     Matches are fenced by a mark and split off, so every second part is a match and offsets are sums of lengths.
-    `keep(text, start)` leaves matches out before they are gathered."""
+    `keep(text, start)` leaves matches out before they are gathered; `fence` puts the marks around a part of the match."""
     plain = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "�")).otherwise(text)
-    fenced = F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}")
+    fenced = F.regexp_replace(plain, pattern, fence)
     start = row(at=F.lit(0), odd=F.lit(False), out=empty("struct<start:int,end:int,text:string>"))
 
     def add(a: Column, part: Column) -> Column:

@@ -11,22 +11,28 @@ from ..functions.patterns import PATTERNS, TRIM, all_space, find_all, unicode_pa
 
 RULE_SCORE = 0.99
 ISLAND = "struct<start:int,end:int,label:string,score:double,pos:int>"
+#: The same for collections, whose numbers go beyond an int.
+ISLAND_ROW = "struct<start:int,end:int,label:string,score:double,pos:bigint>"
 
 
 def normalise(text: Column, spans: Column) -> Column:
     """Clamp to the text, cut the trim set off both ends, drop what is empty, split BIO prefixes off."""
 
-    def one(s: Column) -> Column:
-        a, b = F.greatest(s["start"], F.lit(0)), F.least(s["end"], F.length(text))
-        piece = text.substr(a + 1, F.greatest(b - a, F.lit(0)))
-        left = F.ltrim(piece, F.lit(TRIM))
-        start = a + F.length(piece) - F.length(left)
-        return row(
-            start=start.cast("int"), end=(start + F.length(F.rtrim(left, F.lit(TRIM)))).cast("int"), label=strip_bio(s["label"]),
-            score=s["score"], seq=s["seq"], continued=F.startswith(s["label"], F.lit("I-")),
-        )
+    def one(s: Column, n: Column) -> Column:
+        a, b = F.greatest(s["start"], F.lit(0)), F.least(s["end"], n)
+
+        def cut(piece: Column) -> Column:
+            return let(F.ltrim(piece, F.lit(TRIM)), lambda left: bounds(a + F.length(piece) - F.length(left), F.length(F.rtrim(left, F.lit(TRIM)))))
+
+        def bounds(start: Column, n: Column) -> Column:
+            return row(
+                start=start.cast("int"), end=(start + n).cast("int"), label=strip_bio(s["label"]), score=s["score"], seq=s["seq"],
+                continued=F.startswith(s["label"], F.lit("I-")),
+            )
+
+        return let(text.substr(a + 1, F.greatest(b - a, F.lit(0))), cut)
 
-    return F.filter(F.transform(spans, one), lambda s: s["end"] > s["start"])
+    return let(F.length(text), lambda n: F.filter(F.transform(spans, lambda s: one(s, n)), lambda s: s["end"] > s["start"]))
 
 
 def by_start(spans: Column) -> Column:
@@ -39,32 +45,47 @@ def merge_islands(text: Column, spans: Column, max_gap: int = 1) -> Column:
     """Unite spans with the last island of their label if they touch it, or if only white space lies between, of at
     most `max_gap` characters unless the span is a continuation. Score and end become the largest."""
 
-    def add(islands: Column, s: Column) -> Column:
-        last = F.coalesce(F.array_max(F.transform(islands, lambda x, i: F.when(x["label"] == s["label"], i).otherwise(-1))), F.lit(-1))
-
-        def put(k: Column) -> Column:
-            before = F.get(islands, k)
-            gap = text.substr(before["end"] + 1, s["start"] - before["end"])
-            close = (s["start"] <= before["end"]) | (all_space(gap) & (s["continued"] | (s["start"] - before["end"] <= max_gap)))
-            joined = F.transform(islands, lambda x, i: F.when(
-                i == k, row(start=x["start"], end=F.greatest(x["end"], s["end"]), label=x["label"], score=F.greatest(x["score"], s["score"]), pos=x["pos"])
-            ).otherwise(x))
-            fresh = row(start=s["start"], end=s["end"], label=s["label"], score=s["score"], pos=F.size(islands))
-            return F.when((k >= 0) & close, joined).otherwise(F.concat(islands, F.array(fresh)))
+    # Only the last island of a label is open; what it is closed by, it leaves for `done`.
+    def add(state: Column, s: Column) -> Column:
+        def put(before: Column) -> Column:
+            gap = s["start"] - before["end"]
+            between = text.substr(before["end"] + 1, gap)
+            close = (gap <= 0) | ((s["continued"] | (gap <= max_gap)) & all_space(between))
+            joined = row(start=before["start"], end=F.greatest(before["end"], s["end"]), label=before["label"], score=F.greatest(before["score"], s["score"]), pos=before["pos"])
+            fresh = row(start=s["start"], end=s["end"], label=s["label"], score=s["score"], pos=state["n"])
+            others = F.filter(state["open"], lambda x: x["label"] != s["label"])
+            grown = row(open=F.concat(others, F.array(joined)), done=state["done"], n=state["n"])
+            closed = F.when(before.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(before)))
+            return F.when(before.isNotNull() & close, grown).otherwise(row(open=F.concat(others, F.array(fresh)), done=closed, n=state["n"] + 1))
+
+        return let(F.get(F.filter(state["open"], lambda x: x["label"] == s["label"]), F.lit(0)), put)
+
+    def finish(state: Column) -> Column:
+        keyed = F.array_sort(F.transform(F.concat(state["done"], state["open"]), lambda x: row(pos=x["pos"], x=x)))
+        return F.transform(keyed, lambda k: k["x"])
+
+    return F.aggregate(by_start(spans), row(open=empty(ISLAND), done=empty(ISLAND), n=F.lit(0)), add, finish)
+
+
+def resolve(islands: Column, kind: str = ISLAND) -> Column:
+    """Greedy by score: the better span stays, what overlaps it goes; then by start. Spans that overlap no one, directly
+    or by others, are no one's concern: the greedy choice is made within each cluster of spans that do."""
+
+    def best(cluster: Column) -> Column:
+        keyed = F.array_sort(F.transform(cluster, lambda x: row(less=-x["score"], start=x["start"], pos=x["pos"], x=x)))
+        return F.aggregate(
+            F.transform(keyed, lambda k: k["x"]), empty(kind),
+            lambda done, x: F.when(any_of(done, lambda o: overlaps(x, o)), done).otherwise(F.concat(done, F.array(x))),
+        )
 
-        return let(last, put)
+    def settled(state: Column) -> Column:
+        return F.concat(state["done"], F.when(F.size(state["cluster"]) < 2, state["cluster"]).otherwise(best(state["cluster"])))
 
-    return F.aggregate(by_start(spans), empty(ISLAND), add)
+    def add(state: Column, x: Column) -> Column:
+        inside = row(done=state["done"], cluster=F.concat(state["cluster"], F.array(x)), reach=F.greatest(state["reach"], x["end"]))
+        return F.when(x["start"] < state["reach"], inside).otherwise(row(done=settled(state), cluster=F.array(x), reach=x["end"]))
 
-
-def resolve(islands: Column) -> Column:
-    """Greedy by score: the better span stays, what overlaps it goes; then by start."""
-    keyed = F.array_sort(F.transform(islands, lambda x: row(less=-x["score"], start=x["start"], pos=x["pos"], x=x)))
-    kept = F.aggregate(
-        F.transform(keyed, lambda k: k["x"]), empty(ISLAND),
-        lambda done, x: F.when(any_of(done, lambda o: overlaps(x, o)), done).otherwise(F.concat(done, F.array(x))),
-    )
-    return F.array_sort(kept)
+    return F.array_sort(F.aggregate(F.array_sort(islands), row(done=empty(kind), cluster=empty(kind), reach=F.lit(-(1 << 31)).cast("int")), add, settled))
 
 
 def hydrate(text: Column, spans: Column) -> Column:
@@ -91,7 +112,11 @@ def dedupe_best(entities: Column) -> Column:
         better = F.transform(done, lambda o: F.when(same(o, x) & (x["score"] > o["score"]), x).otherwise(o))
         return F.when(any_of(done, lambda o: same(o, x)), better).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(entities, empty(ENTITY), add)
+    def one(all_: Column) -> Column:
+        places = F.transform(all_, lambda x: F.shiftleft(x["start"].cast("long"), 32) + x["end"])
+        return F.when(F.size(F.array_distinct(places)) == F.size(all_), all_).otherwise(F.aggregate(all_, empty(ENTITY), add))
+
+    return let(entities, one)
 
 
 def by_place(entities: Column) -> Column:
@@ -101,11 +126,18 @@ def by_place(entities: Column) -> Column:
 
 
 def drop_contained(entities: Column) -> Column:
-    """Without entities that lie within an earlier one of their label."""
-    inside = lambda x, o: (o["label"] == x["label"]) & (o["start"] <= x["start"]) & (x["end"] <= o["end"])
-    return F.aggregate(
-        entities, empty(ENTITY), lambda done, x: F.when(any_of(done, lambda o: inside(x, o)), done).otherwise(F.concat(done, F.array(x)))
-    )
+    """Without entities that lie within an earlier one of their label; sorted by place, that is one that reaches as far."""
+    reach = "struct<label:string,end:int>"
+
+    def add(state: Column, x: Column) -> Column:
+        def put(end: Column) -> Column:
+            others = F.filter(state["reach"], lambda r: r["label"] != x["label"])
+            kept = row(out=F.concat(state["out"], F.array(x)), reach=F.concat(others, F.array(row(label=x["label"], end=x["end"]))))
+            return F.when(x["end"] <= end, state).otherwise(kept)
+
+        return let(F.get(F.filter(state["reach"], lambda r: r["label"] == x["label"]), F.lit(0))["end"], put)
+
+    return F.aggregate(entities, row(out=empty(ENTITY), reach=empty(reach)), add, lambda s: s["out"])
 
 
 def repair(entities: Column, matches: Column) -> Column:
@@ -159,7 +191,7 @@ def merge_island_rows(spans: DataFrame, max_gap: int = 1) -> DataFrame:
 def resolve_rows(spans: DataFrame) -> DataFrame:
     """Greedy resolution of (doc_id, start, end, label, score, seq); a document's spans are gathered in its row."""
     items = F.collect_list(row(start=F.col("start"), end=F.col("end"), label=F.col("label"), score=F.col("score"), pos=F.col("seq")))
-    return spans.groupBy("doc_id").agg(items.alias("s")).select("doc_id", F.inline(resolve(F.col("s").cast(f"array<{ISLAND}>"))))
+    return spans.groupBy("doc_id").agg(items.alias("s")).select("doc_id", F.inline(resolve(F.col("s").cast(f"array<{ISLAND_ROW}>"), ISLAND_ROW)))
 
 
 def unmatched_rows(spans: DataFrame, matches: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def clip(docs: DataFrame, options: Options, text: str = "text") -> DataFrame:
     return docs.withColumns({"truncated": F.length(whole) > options.max_characters, text: F.substring(whole, 1, options.max_characters)})
 
 
-def entities_of(text: Column, raw: Column, options: Options) -> Column:
-    """Entities of raw spans: clean, filter, merge, resolve, hydrate and verify, in this order."""
-    clean = F.filter(spans.normalise(text, raw), lambda s: s["score"] >= options.min_score)
+def entities_of(text: Column, clean: Column, options: Options) -> Column:
+    """Entities of normalised spans: filter, merge, resolve, hydrate and verify, in this order."""
+    clean = F.filter(clean, lambda s: s["score"] >= options.min_score)
     resolved = spans.resolve(spans.merge_islands(text, clean, options.max_word_gap))
     return spans.verify(text, spans.hydrate(text, resolved))
 
@@ -33,10 +33,10 @@ def analyze(docs: DataFrame, options: Options = Options(), classifier: Classifie
     out = clip(docs, options, text)
     chunks = F.when(not_blank(F.col(text)), windows(F.col(text), options.window, options.overlap)).otherwise(empty("struct<offset:int,text:string>"))
     out = out.withColumn("_chunks", chunks)
-    out = out.withColumn("_raw", classify_windows(F.col("_chunks"), classifier))
-    found = F.when(F.size("_chunks") > 0, entities_of(F.col(text), F.col("_raw"), options)).otherwise(empty(ENTITY))
+    out = out.withColumn("_clean", classify_windows(F.col("_chunks"), classifier))
+    found = F.when(F.size("_chunks") > 0, entities_of(F.col(text), F.col("_clean"), options)).otherwise(empty(ENTITY))
     out = out.withColumn("entities", found)
-    return out.withColumn("stats", stats.stats(F.col(text), F.col("entities"), F.size("_chunks"))).drop("_chunks", "_raw")
+    return out.withColumn("stats", stats.stats(F.col(text), F.col("entities"), F.size("_chunks"))).drop("_chunks", "_clean")
 
 
 def analyze_distinct(docs: DataFrame, options: Options = Options(), classifier: Classifier = rule_classifier, text: str = "text") -> DataFrame:
