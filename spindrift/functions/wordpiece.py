@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import checkpointed
 from .patterns import find_all
 
 #: Fixed pattern of a word or a single sign.
@@ -41,19 +40,6 @@ def longest_pieces(word: str, vocab: dict[str, int], unknown: int, first: tuple[
     return out
 
 
-def numbered(pieces: DataFrame, first: int) -> DataFrame:
-    """(piece, id) of distinct pieces: numbers from first on in the order of the pieces.
-
-    A number is the place within a range of sorted pieces and the sizes of the ranges before, so no task sorts them all."""
-    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pieces.select("piece").repartitionByRange(parts, "piece").sortWithinPartitions("piece")
-    rows = checkpointed(rows.withColumn("_at", F.monotonically_increasing_id()))  # the range in the upper 31 bits, the place in the others
-    rows = rows.select("piece", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_place"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = rows.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_start"))
-    return rows.join(F.broadcast(starts), "_range").select("piece", (F.col("_start") + F.col("_place") + first).cast("int").alias("id"))
-
-
 def longest_first(words: DataFrame, pieces: DataFrame) -> DataFrame:
     """(word, first): the longest of pieces (piece, id) that the plain word begins with, as (n, id); null if there is none.
 

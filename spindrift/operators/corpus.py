@@ -60,10 +60,25 @@ def gold_sentences(keys: DataFrame, key: str) -> DataFrame:
     return rows.select("doc_id", F.array_join("p.text", "").alias("text"), F.aggregate("p", start, add, lambda a: a["out"]).alias("entities"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows` with place, their number from 0 on in the order of the given columns.
+
+    A place is one within a range of sorted rows and the sizes of the ranges before, so no task sorts all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id()))  # the range in the upper 31 bits, the place in the others
+    ranged = ranged.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over ranges, not rows
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_start"))
+    return ranged.join(F.broadcast(starts), "_range").withColumn("place", F.col("_start") + F.col("_place")).drop("_at", "_range", "_place", "_start")
+
+
 def split_rows(rows: DataFrame, key: str, fraction: float, seed: int = 11) -> DataFrame:
-    """`rows` with is_dev: a hash of key and seed puts some `fraction` of the rows aside, the same ones each time."""
-    share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) / float(1 << 20)
-    return rows.withColumn("is_dev", share < fraction)
+    """`rows` with is_dev: `fraction` of the rows, rounded down but one at least, the same ones each time: those that come
+    first by a digest of seed and key."""
+    wanted = max(1, int(rows.count() * fraction))
+    placed = numbered(rows.withColumn("_digest", F.md5(F.concat_ws("|", F.lit(seed), F.col(key)).cast("binary"))), "_digest", key)
+    return placed.withColumn("is_dev", F.col("place") < wanted).drop("_digest", "place")
 
 
 def unique_lines(lines: DataFrame, text: str = "text") -> DataFrame:
@@ -97,17 +112,11 @@ def keep_set(vocab: DataFrame, special: list[str], mode: str, used: DataFrame |
 
 
 def renumber(vocab: DataFrame, keep: DataFrame, unknown: str | None = None) -> DataFrame:
-    """(piece, old_id, new_id): kept pieces numbered from 0 in the order of their ids.
-
-    Numbers are a prefix sum over ranges of ids, so no task sorts the whole vocabulary."""
-    kept = vocab.join(keep.select("piece"), "piece", "left_semi").select("piece", F.col("id").alias("old_id"), F.expr("id div 4096").alias("_range"))
+    """(piece, old_id, new_id): kept pieces numbered from 0 in the order of their ids."""
+    kept = vocab.join(keep.select("piece"), "piece", "left_semi").select("piece", F.col("id").alias("old_id"))
     if unknown is not None and kept.where(F.col("piece") == unknown).isEmpty():
         raise ValueError("the unknown piece was pruned")
-    sums = kept.groupBy("_range").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("_range", before.alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("old_id")) - 1
-    return kept.withColumn("_place", place).join(starts, "_range").select("piece", "old_id", (F.col("_start") + F.col("_place")).alias("new_id"))
+    return numbered(kept, "old_id").select("piece", "old_id", F.col("place").alias("new_id"))
 
 
 def translate_ids(ids: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -128,7 +137,7 @@ def resolve_aliases(aliases: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         onward = now.select(F.col("alias").alias("_a"), F.col("target").alias("_t"))
         ahead = now.join(onward, F.col("target") == F.col("_a"), "left")
-        ahead = ahead.select("alias", F.coalesce("_t", "target").alias("target"), F.col("_t").isNotNull().alias("_moved")).checkpoint()
+        ahead = checkpointed(ahead.select("alias", F.coalesce("_t", "target").alias("target"), F.col("_t").isNotNull().alias("_moved")))
         if ahead.where("_moved").isEmpty():
             return ahead.select("alias", "target")
         now = ahead.select("alias", "target")
@@ -137,13 +146,14 @@ def resolve_aliases(aliases: DataFrame, rounds: int = 40) -> DataFrame:
 
 def used_names(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
     """(name) of all that the roots reach over edges (source, target), a step at a time."""
-    found = roots.select("name").distinct().checkpoint()
+    found = checkpointed(roots.select("name").distinct())
     front = found
     for _ in range(rounds):
-        front = edges.join(front, edges["source"] == front["name"], "left_semi").select(F.col("target").alias("name")).distinct().join(found, "name", "left_anti").checkpoint()
+        reached = edges.join(front, edges["source"] == front["name"], "left_semi").select(F.col("target").alias("name")).distinct()
+        front = checkpointed(reached.join(found, "name", "left_anti"))
         if front.isEmpty():
             return found
-        found = found.union(front).checkpoint()
+        found = checkpointed(found.union(front))
     raise ValueError("too many steps")
 
 

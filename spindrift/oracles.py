@@ -24,7 +24,6 @@ WITH docs AS ({docs}), parts AS ({parts}), places AS (
 
 
 DOCS = scan("SELECT doc_id, coalesce(text, '') AS text FROM documents")
-CLIPPED = scan("SELECT doc_id, substr(coalesce(text, ''), 1, 50000) AS text FROM documents")
 SENSITIVITY = "CASE label WHEN 'SSN' THEN 5 ELSE 4 END"
 TOKENS = {
     "label": "'[' || label || ']'",
@@ -36,7 +35,7 @@ TOKENS = {
 
 
 def redacted(strategy: str, least: int = 0) -> str:
-    return CLIPPED + f""", tokens AS (
+    return DOCS + f""", tokens AS (
   SELECT *, {TOKENS[strategy]} AS token FROM scan WHERE {SENSITIVITY} >= {least}
 ), lists AS (
   SELECT doc_id, count(*) AS n, list({{'s': start, 'e': "end", 't': token}} ORDER BY start DESC, "end" DESC, rank) AS l FROM tokens GROUP BY doc_id
@@ -75,14 +74,16 @@ WITH RECURSIVE w(doc_id, text, n, chunk_no, start, stop) AS (
 )
 SELECT doc_id, chunk_no::INT AS chunk_no, start::INT AS start, (stop - start)::INT AS characters FROM w"""
 
-ORDERED = CLIPPED + """, ordered AS (
+ORDERED = DOCS + """, ordered AS (
   SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, rank) - 1)::INT AS index FROM scan
 )"""
 
 
-def exported(line: str, head: str, between: str, tail: str) -> str:
-    return ORDERED + f"""
-SELECT doc_id, {head} || string_agg({line}, {between} ORDER BY index) || {tail} AS export FROM ordered GROUP BY doc_id"""
+def exported(line: str, head: str, before: str, between: str, after: str) -> str:
+    return ORDERED + f""", lines AS (
+  SELECT doc_id, {before} || string_agg({line}, {between} ORDER BY index) || {after} AS body FROM ordered GROUP BY doc_id
+)
+SELECT d.doc_id, {head} || coalesce(body, '') AS export FROM docs d LEFT JOIN lines l ON d.doc_id = l.doc_id"""
 
 
 SIDES = LINES + """, pred AS (
@@ -122,7 +123,7 @@ VOCABULARY = """
 WITH words AS (
   SELECT doc_id, unnest(string_split(text, ' ')) AS piece, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents
 ), vocab AS (
-  SELECT piece, min(doc_id * 1000000 + pos)::BIGINT AS id, ltrim(piece, '▁') AS body FROM words GROUP BY piece
+  SELECT piece, row_number() OVER (ORDER BY min({'d': doc_id, 'p': pos})) - 1 AS id, ltrim(piece, '▁') AS body FROM words GROUP BY piece
 ), used AS (
   SELECT DISTINCT unnest(string_split(text, ' ')) AS piece FROM benchmark
 ), flagged AS (
@@ -140,7 +141,7 @@ SELECT label, CASE label WHEN 'EMAIL' THEN 'Email' WHEN 'PHONE' THEN 'Phone' ELS
        count(DISTINCT doc_id) AS documents, count(*) AS entities FROM scan GROUP BY label""",
     "pii_by_source": DOCS + """
 SELECT source, lang, label, count(*) AS entities FROM scan JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id) GROUP BY ALL""",
-    "doc_risk": CLIPPED + f""", per_doc AS (
+    "doc_risk": DOCS + f""", per_doc AS (
   SELECT d.doc_id, count(label)::INT AS total, max({SENSITIVITY}) AS peak FROM docs d LEFT JOIN scan s ON d.doc_id = s.doc_id GROUP BY d.doc_id
 ), risks AS (
   SELECT doc_id, total, (CASE WHEN total = 0 THEN 0 ELSE least(100, peak * 15 + least(25, total * 2)) END)::INT AS risk FROM per_doc
@@ -148,17 +149,17 @@ SELECT source, lang, label, count(*) AS entities FROM scan JOIN (SELECT doc_id,
 SELECT *, CASE WHEN risk >= 60 THEN 'High' WHEN risk >= 30 THEN 'Medium' WHEN risk > 0 THEN 'Low' ELSE 'None' END AS band FROM risks""",
     **{f"redact_{s}": redacted(s) for s in TOKENS},
     "redact_min_sensitivity": redacted("label", 5),
-    "redact_mapping": CLIPPED + " SELECT DISTINCT doc_id, text AS value, arg_min('[' || label || ']', start * 10 - rank) OVER (PARTITION BY doc_id, text) AS token FROM scan",
+    "redact_mapping": DOCS + " SELECT DISTINCT doc_id, text AS value, arg_min('[' || label || ']', start * 10 - rank) OVER (PARTITION BY doc_id, text) AS token FROM scan",
     "clip_flags": f"""
 SELECT doc_id, least(length(coalesce(text, '')), 2000)::INT AS characters, length(coalesce(text, '')) > 2000 AS truncated,
        NOT regexp_matches(substr(coalesce(text, ''), 1, 2000), '[^{BLANK}]') AS blank FROM documents""",
     "chunk_windows": WINDOWS,
-    "batch_totals": scan("SELECT page_id, substr(coalesce(html, ''), 1, 50000) AS text FROM pages", "page_id") + """
+    "batch_totals": scan("SELECT page_id, coalesce(html, '') AS text FROM pages", "page_id") + """
 SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM scan) AS entities""",
-    "analyze_distinct_texts": CLIPPED + f""", per_doc AS (
+    "analyze_distinct_texts": DOCS + f""", per_doc AS (
   SELECT d.doc_id, count(label)::INT AS total, max({SENSITIVITY}) AS peak FROM docs d LEFT JOIN scan s ON d.doc_id = s.doc_id GROUP BY d.doc_id
 )
-SELECT p.doc_id, total, (CASE WHEN total = 0 THEN 0 ELSE least(100, peak * 15 + least(25, total * 2)) END)::INT AS risk, length(coalesce(text, '')) > 50000 AS truncated
+SELECT p.doc_id, total, (CASE WHEN total = 0 THEN 0 ELSE least(100, peak * 15 + least(25, total * 2)) END)::INT AS risk, false AS truncated
 FROM per_doc p JOIN documents USING (doc_id)""",
     "gold_sentences": f"""
 WITH sentences AS (
@@ -189,7 +190,7 @@ SELECT doc_id, label, min(start) AS start, max("end") AS "end", max(score) AS sc
   SELECT doc_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a.k, lambda o: o.s < x.k[1].e AND x.k[1].s < o.e)) > 0 THEN a
     ELSE {'k': list_concat(a.k, x.k)} END).k) AS r FROM lists
 )
-SELECT doc_id, r.s AS start, r.e AS "end", r.l AS label, r.c AS score, r.q::INT AS pos FROM kept""",
+SELECT doc_id, r.s AS start, r.e AS "end", r.l AS label, r.c AS score, r.q AS pos FROM kept""",
     "unmatched_spans": LINES + """
 SELECT doc_id, start, "end", label, seq FROM lines a WHERE status = 'O' AND NOT EXISTS (
   SELECT 1 FROM lines b WHERE b.status = 'F' AND a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end")""",
@@ -213,9 +214,18 @@ dim(code, display, sensitivity, color, structured) AS (VALUES ('PER', 'Person',
 SELECT c.code, coalesce(display, 'Misc') AS display, coalesce(sensitivity, 2)::INT AS sensitivity, coalesce(color, '#94a3b8') AS color, coalesce(structured, false) AS structured, lines
 FROM codes c LEFT JOIN dim d ON c.code = d.code""",
     "export_rows": ORDERED + ' SELECT doc_id, index, label, text, start, "end", 0.99::DOUBLE AS score, true AS verified FROM ordered',
-    "export_jsonl": exported("to_json({'index': index, 'label': label, 'text': text, 'start': start, 'end': \"end\", 'score': 0.99::DOUBLE, 'verified': true})::VARCHAR", "''", "chr(10)", "''"),
-    "export_csv": exported("concat_ws(',', index, label, text, start, \"end\", '0.99', 'True')", "'index,label,text,start,end,score,verified' || chr(13) || chr(10)", "chr(13) || chr(10)", "chr(13) || chr(10)"),
-    "export_csv_browser": exported("concat_ws(',', index, label, '\"' || text || '\"', start, \"end\", '0.99', 'true')", "'index,label,text,start,end,score,verified' || chr(10)", "chr(10)", "''"),
+    "export_jsonl": exported("to_json({'index': index, 'label': label, 'text': text, 'start': start, 'end': \"end\", 'score': 0.99::DOUBLE, 'verified': true})::VARCHAR", "''", "''", "chr(10)", "''"),
+    "export_csv": exported("concat_ws(',', index, label, text, start, \"end\", '0.99', 'True')", "'index,label,text,start,end,score,verified' || chr(13) || chr(10)", "''", "chr(13) || chr(10)", "chr(13) || chr(10)"),
+    "export_csv_browser": exported("concat_ws(',', index, label, '\"' || text || '\"', start, \"end\", '0.99', 'true')", "'index,label,text,start,end,score,verified'", "chr(10)", "chr(10)", "''"),
+    "export_json": ORDERED + f""", per_doc AS (
+  SELECT d.doc_id, length(d.text)::INT AS characters, count(label)::INT AS total, max({SENSITIVITY}) AS peak,
+         coalesce(string_agg(start || ':' || label || ':' || o.text, ' ' ORDER BY index), '') AS labels
+  FROM docs d LEFT JOIN ordered o ON d.doc_id = o.doc_id GROUP BY d.doc_id, d.text
+)
+SELECT doc_id, characters, total, (CASE WHEN total = 0 THEN 0 ELSE least(100, peak * 15 + least(25, total * 2)) END)::INT AS risk, sha256(labels) AS entities_sha256
+FROM per_doc""",
+    "dev_split": """
+SELECT doc_id, row_number() OVER (ORDER BY md5('11|' || doc_id), doc_id) <= (SELECT greatest(1, floor(count(*) * 0.05)::BIGINT) FROM documents) AS is_dev FROM documents""",
     "span_scores": SIDES + " SELECT hit, extra, miss, precision, recall, f1 FROM scored",
     "span_fidelity": SIDES + """, docs AS (SELECT DISTINCT o_orderkey // 8 AS doc_id FROM orders), bad AS (SELECT DISTINCT doc_id FROM pairs WHERE p <> g)
 SELECT f1 AS span_agreement, (SELECT avg((b.doc_id IS NULL)::INT)::DOUBLE FROM docs d LEFT JOIN bad b ON d.doc_id = b.doc_id) AS exact_documents FROM scored""",
@@ -248,13 +258,13 @@ FROM t LEFT JOIN s ON t.doc_id = s.doc_id AND start >= a AND start + 5 <= b""",
   UNION ALL SELECT doc_id, 1000000000, NULL, n - last FROM ends WHERE last < n
 )
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pos, label, characters::INT AS characters FROM pieces""",
-    "distinct_texts": "SELECT count(*) AS documents, count(DISTINCT substr(coalesce(text, ''), 1, 50000)) AS texts FROM documents",
+    "distinct_texts": "SELECT count(*) AS documents, count(DISTINCT coalesce(text, '')) AS texts FROM documents",
     "upload_lines": rf"""
 WITH lines AS (
   SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no
   FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS parts FROM documents)
 )
-SELECT doc_id, line_no::INT AS line_no, length(line)::INT AS characters FROM lines WHERE line_no <= 50 AND regexp_matches(line, '[^{BLANK}]')""",
+SELECT doc_id, line_no::INT AS line_no, length(line)::INT AS characters FROM lines WHERE regexp_matches(line, '[^{BLANK}]')""",
     "pasted_lines": """
 WITH lines AS (
   SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13), chr(160)))), lambda x: x <> '')) AS line FROM documents
@@ -280,5 +290,5 @@ SELECT count(*) AS ids, count(*) FILTER (new_id IS NULL) AS pruned, max(new_id)
     "reached_names": """
 WITH RECURSIVE r(name) AS (SELECT c_custkey FROM customer WHERE c_custkey % 100 = 1 UNION SELECT c_custkey * 2 FROM r JOIN customer ON name = c_custkey)
 SELECT c_custkey AS name, c_mktsegment FROM customer WHERE c_custkey IN (SELECT name FROM r)""",
-    "streamed_entities": CLIPPED + ' SELECT doc_id, label, start, "end", text FROM scan',
+    "streamed_entities": DOCS + ' SELECT doc_id, label, start, "end", text FROM scan',
 }

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer partitions than cores is dealt out before row-local work; a larger one stays where it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark, sf_dir) -> DataFrame:
@@ -158,8 +158,7 @@ def merge_islands(spark, sf_dir) -> DataFrame:
 
 
 def resolve_overlaps(spark, sf_dir) -> DataFrame:
-    rows = line_spans(spark, sf_dir).withColumn("seq", F.col("seq").cast("int"))
-    return spans.resolve_rows(rows).select("doc_id", "start", "end", "label", "score", "pos")
+    return spans.resolve_rows(line_spans(spark, sf_dir)).select("doc_id", "start", "end", "label", "score", "pos")
 
 
 def unmatched_spans(spark, sf_dir) -> DataFrame:
@@ -198,15 +197,18 @@ def export_rows(spark, sf_dir) -> DataFrame:
 
 def _exported(fmt: str, profile: str = "server"):
     def query(spark, sf_dir) -> DataFrame:
-        out = found(documents(spark, sf_dir)).where(F.size("entities") > 0)
-        return sinks.export(out, fmt, profile).select("doc_id", "export")
+        return sinks.export(found(documents(spark, sf_dir)), fmt, profile).select("doc_id", "export")
 
     return query
 
 
 def export_json(spark, sf_dir) -> DataFrame:
-    out = pipeline.analyze(documents(spark, sf_dir), WHOLE, structured_classifier).where(F.size("entities") > 0)
-    return sinks.export(out, "json").select("doc_id", F.length("export").alias("characters"), F.get_json_object("export", "$.stats.total").cast("int").alias("total"))
+    """What the exported JSON says, read back."""
+    out = sinks.export(pipeline.analyze(documents(spark, sf_dir), WHOLE, structured_classifier), "json")
+    read = F.from_json("export", "text string, stats struct<total:int,risk:int,characters:int>, entities array<struct<index:int,label:string,text:string,start:int>>")
+    rows = out.select("doc_id", read.alias("j"))
+    labels = F.array_join(F.transform("j.entities", lambda e: F.concat_ws(":", e["start"], e["label"], e["text"])), " ")
+    return rows.select("doc_id", F.length("j.text").alias("characters"), "j.stats.total", "j.stats.risk", F.sha2(labels, 256).alias("entities_sha256"))
 
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +271,7 @@ def distinct_texts(spark, sf_dir) -> DataFrame:
 
 def upload_lines(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.posexplode(readers.split_lines(F.col("text"))).alias("pos", "line"))
-    docs = docs.where((F.col("pos") < 50) & F.col("line").rlike(r"(?U)[^\s\x1c-\x1f]"))
+    docs = docs.where(F.col("line").rlike(r"(?U)[^\s\x1c-\x1f]"))
     return docs.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.length("line").alias("characters"))
 
 
@@ -290,9 +292,10 @@ def corpus_lines(spark, sf_dir) -> DataFrame:
 
 
 def piece_vocabulary(spark, sf_dir) -> DataFrame:
-    """(piece, id): the distinct words of the documents, an id being the place of the first."""
+    """(piece, id): the distinct words of the documents, numbered in the order of their first places."""
     words = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "piece"))
-    return words.groupBy("piece").agg(F.min(F.col("doc_id") * 1_000_000 + F.col("pos")).alias("id"))
+    first = words.groupBy("piece").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("piece", "at.doc_id", "at.pos")
+    return corpus.numbered(first, "doc_id", "pos").select("piece", F.col("place").alias("id"))
 
 
 def vocabulary_trim(spark, sf_dir) -> DataFrame:
@@ -333,7 +336,8 @@ def wordpiece_ids(spark, sf_dir) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.explode(wordpiece.words_of(F.lower("text"))).alias("w")).select(F.col("w.text").alias("piece")).distinct()
     letters = [f"{p}{c}" for p in ("", "##") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
     vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters])}
-    known = wordpiece.numbered(words.where(~F.col("piece").isin(letters)), len(vocab))
+    known = corpus.numbered(words.where(~F.col("piece").isin(letters)), "piece")
+    known = known.select("piece", (F.col("place") + len(vocab)).cast("int").alias("id"))
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     return wordpiece.encode(turns, vocab, more=known)
 

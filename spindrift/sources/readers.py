@@ -85,7 +85,9 @@ def read_corpus(spark: SparkSession, paths: list[str], limit: int | None = None)
 def corpus_lines(lines: DataFrame, limit: int | None = None, text: str = "value") -> DataFrame:
     stripped = F.regexp_replace(F.make_valid_utf8(F.col(text)), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
     out = lines.select(stripped.alias("text")).where((F.length("text") > 15) & (F.length("text") < 600))
-    return out if limit is None else out.limit(limit)
+    if limit is None:
+        return out
+    return out.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(limit).drop("_at")  # the first ones as they lie
 
 
 def vocabulary(files: DataFrame, text: str = "value") -> DataFrame:
