@@ -5,10 +5,10 @@ with its prefix, many times the text; so suffixes whose prefix can't recur in an
 
 1. Anchors: a window of LENGTH bytes is represented by its least `GRAM`-byte string (by hash). Equal windows have
    equal anchors at equal places, so only windows around an anchor that two documents share can be equal. A task
-   sends its anchors in packed blocks, each with a 64-bit hash of its context, the bytes of all windows over it. Of
+   sends its anchors in packed blocks, each with a 56-bit hash of its context, the bytes of all windows over it. Of
    equal contexts the smallest document's is left, the others are settled on the spot: all their windows go. Contexts
-   are compared only within one anchor, so N contexts of an anchor are mistaken with a chance of N * N / 2^65 (for ten
-   million of them one in 350,000). Anchors with many contexts in one task are sent apart with one marker, so that no
+   are compared only within one anchor, so N contexts of an anchor are mistaken with a chance of N * N / 2^57 (for a
+   million of them one in 140,000). Anchors with many contexts in one task are sent apart with one marker, so that no
    anchor gathers too many rows.
 2. Contexts: where a shared anchor has several contexts, windows may still agree in part. Their bytes (SPAN) are
    taken from the texts.
@@ -91,7 +91,7 @@ OPEN, KNOWN, MARK, SETTLED = 0, 1, 2, 3
 COMMON = 64
 BLOCKS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("grams", pa.binary()), ("rows", pa.binary())])
 #: What a block has of each anchor: name, type, bytes sent. A block's rows are sorted by document and place.
-FIELDS = [("doc", np.int64, 8), ("version", np.int64, 8), ("at", np.int64, 5), ("left", np.int64, 1), ("right", np.int64, 1), ("context", U, 8)]
+FIELDS = [("doc", np.int64, 8), ("version", np.int64, 8), ("at", np.int64, 5), ("left", np.int64, 1), ("right", np.int64, 1), ("context", U, 7)]
 #: Bytes of an anchor's hash that are sent; the bits above choose the bucket.
 LOW = 4
 #: A place whose bytes are needed, or with a width a span that is settled.
