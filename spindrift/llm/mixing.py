@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, let, stored, table
 
 #: Shards whose counts one window sums up.
 RANGE = 1 << 12
@@ -179,18 +179,17 @@ def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
     texts = docs.select("doc_id", "source", "text")
     if not docs.groupBy("doc_id", "source").count().where("count > 1").isEmpty():  # one document each
         texts = texts.groupBy("doc_id", "source").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
-    words = texts.select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("_words")
-    )
+    # Texts move as they are; their words are told apart where they meet their parts.
+    words = texts.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text").alias("_text"))
     per_doc = spans.groupBy("doc_id", "source").agg(F.collect_list(F.struct("rank", "block", "position", "from_word", "n_words")).alias("parts"))
     pieces = per_doc.join(words, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    cut = F.transform(
+    cut = let(F.regexp_extract_all("_text", F.lit(f"({WORD})"), F.lit(1)), lambda w: F.transform(
         "parts",
         lambda p: F.struct(
             p["rank"].alias("rank"), p["block"].alias("block"), p["position"].alias("position"), p["n_words"].alias("n_words"),
-            F.array_join(F.slice("_words", (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), " ").alias("text"),
+            F.array_join(F.slice(w, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), " ").alias("text"),
         ),
-    )
+    ))
     pieces = pieces.select("doc_id", "source", F.inline(cut))
     # Grouped by the key of the join below, so that the blocks' text moves once.
     blocks = pieces.groupBy("rank", "block").agg(
