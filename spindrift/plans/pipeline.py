@@ -9,7 +9,7 @@ from ..functions.expr import ENTITY, empty
 from ..functions.patterns import not_blank
 from ..operators import redaction, spans, stats
 from ..operators.chunking import windows
-from ..operators.classify import Classifier, classify_windows, rule_classifier
+from ..operators.classify import Classifier, ModelClassifier, classify_windows, place_windows, rule_classifier
 from .options import Options
 
 
@@ -28,15 +28,23 @@ def entities_of(text: Column, clean: Column, options: Options) -> Column:
     return spans.verify(text, spans.hydrate(text, resolved))
 
 
-def analyze(docs: DataFrame, options: Options = Options(), classifier: Classifier = rule_classifier, text: str = "text") -> DataFrame:
-    """`docs` with text clipped, and truncated, entities and stats. A blank text has no entities and no chunks."""
+def analyze(docs: DataFrame, options: Options = Options(), classifier: Classifier = rule_classifier, text: str = "text", error: str | None = None) -> DataFrame:
+    """`docs` with text clipped, and truncated, entities and stats. A blank text has no entities and no chunks.
+
+    A document on which a model raises has no entities; the column named by `error`, if any, gets what it raised."""
     out = clip(docs, options, text)
     chunks = F.when(not_blank(F.col(text)), windows(F.col(text), options.window, options.overlap)).otherwise(empty("struct<offset:int,text:string>"))
     out = out.withColumn("_chunks", chunks)
-    out = out.withColumn("_clean", classify_windows(F.col("_chunks"), classifier))
+    failed = F.lit(None).cast("string")
+    if isinstance(classifier, ModelClassifier):
+        out = out.withColumn("_found", classifier.windows(F.transform("_chunks", lambda c: c["text"])))
+        clean, failed = place_windows(F.col("_chunks"), F.col("_found.spans")), F.col("_found.error")
+    else:
+        clean = classify_windows(F.col("_chunks"), classifier)
+    out = out.withColumns({"_clean": clean} | ({error: F.coalesce(error, failed) if error in out.columns else failed} if error else {}))
     found = F.when(F.size("_chunks") > 0, entities_of(F.col(text), F.col("_clean"), options)).otherwise(empty(ENTITY))
     out = out.withColumn("entities", found)
-    return out.withColumn("stats", stats.stats(F.col(text), F.col("entities"), F.size("_chunks"))).drop("_chunks", "_clean")
+    return out.withColumn("stats", stats.stats(F.col(text), F.col("entities"), F.size("_chunks"))).drop("_chunks", "_clean", "_found")
 
 
 def analyze_distinct(docs: DataFrame, options: Options = Options(), classifier: Classifier = rule_classifier, text: str = "text") -> DataFrame:
@@ -60,12 +68,13 @@ def redact(
 
 
 def batch(docs: DataFrame, options: Options = Options(), classifier: Classifier = rule_classifier, check_size: bool = False) -> DataFrame:
-    """(id, text, truncated, entities, stats, error) for documents (id, text). A null text is an error of its row only.
+    """(id, text, truncated, entities, stats, error) for documents (id, text). A null text, or one on which a model raises,
+    is an error of its row only.
 
     `check_size` counts the rows and refuses more than max_batch."""
     if check_size and docs.limit(options.max_batch + 1).count() > options.max_batch:
         raise ValueError(f"at most {options.max_batch} documents")
-    out = analyze(docs.withColumn("error", F.when(F.col("text").isNull(), "text is null")), options, classifier)
+    out = analyze(docs.withColumn("error", F.when(F.col("text").isNull(), "text is null")), options, classifier, error="error")
     blank = F.col("error").isNull()
     return out.withColumns({c: F.when(blank, F.col(c)) for c in ("entities", "stats")})
 
