@@ -1,6 +1,8 @@
 """Redaction, exports, readers, evaluation, the browser profile, corpora and streams."""
 
+import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,9 +16,17 @@ from spindrift.plans import browser, pipeline
 from spindrift.sources import readers, sinks
 from spindrift.streaming import stream
 
-TEXT = "Joko lahir di Bandung, HP 081234567890, email joko@mail.co"
-ENTITIES = [(0, 4, "PER", "Joko", 0.99, False), (14, 21, "LOC", "Bandung", 0.95, False), (26, 38, "PHONE", "081234567890", 0.99, True),
-            (46, 58, "EMAIL", "joko@mail.co", 0.99, True)]
+TEXT = "Pesan Tika dari kota Depok: hubungi 085711223344 / tika.k@pos.example"
+WORDS = [("Tika", "PER", 0.9, False), ("Depok", "LOC", 0.95, False), ("085711223344", "PHONE", 0.99, True), ("tika.k@pos.example", "EMAIL", 0.99, True)]
+ENTITIES = [(TEXT.index(w), TEXT.index(w) + len(w), label, w, score, ok) for w, label, score, ok in WORDS]
+
+
+def replaced(*tokens):
+    """TEXT with the entities' words replaced, those with None left."""
+    out = TEXT
+    for (word, *_), token in zip(WORDS, tokens, strict=True):
+        out = out.replace(word, word if token is None else token)
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -25,20 +35,37 @@ def sample(spark):
     return df.withColumn("stats", stats.stats(F.col("text"), F.col("entities"), F.lit(1)))
 
 
-@pytest.mark.parametrize("strategy, wanted", [
-    ("mask", "•••• lahir di •••••••, HP ••••••••••••, email ••••••••••••"),
-    ("label", "[PER] lahir di [LOC], HP [PHONE], email [EMAIL]"),
-    ("partial", "•••• lahir di •••••••, HP ••••••••7890, email j•••@mail.co"),
-    ("remove", " lahir di , HP , email "),
+@pytest.mark.parametrize("strategy, tokens", [
+    ("mask", ["•" * len(w) for w, *_ in WORDS]), ("label", [f"[{label}]" for _, label, *_ in WORDS]),
+    ("partial", ["••••", "•••••", "••••••••3344", "t•••••@pos.example"]), ("remove", [""] * 4),
 ])
-def test_strategies(sample, strategy, wanted):
+def test_strategies(sample, strategy, tokens):
     row = redact(sample, strategy).first().redaction
-    assert (row.text, row.replaced, row.mapping) == (wanted, 4, {})
+    assert (row.text, row.replaced, row.mapping) == (replaced(*tokens), 4, {})
+
+
+@pytest.mark.parametrize("salt", ["", "x"])
+def test_pseudonyms(sample, salt):
+    mapping = redact(sample, "pseudonym", include_mapping=True, salt=salt).first().redaction.mapping
+    name = lambda word, label: f"{label}_{hashlib.blake2s((salt + label + word.lower()).encode(), digest_size=3).hexdigest()}"
+    assert mapping == {w: name(w, label) for w, label, *_ in WORDS}
+
 
+def test_pseudonyms_of_the_whole_table(spark):
+    """The registered query: texts with every match of a pattern replaced from right to left."""
+    from spindrift.functions.patterns import PATTERNS
+    from spindrift.queries import QUERIES
 
-def test_pseudonyms(sample):
-    plain, salted = (redact(sample, "pseudonym", include_mapping=True, salt=s).first().redaction.mapping for s in ("", "x"))
-    assert plain["Joko"] == "PER_4bd51e" and salted["Joko"] != plain["Joko"]
+    data = "/root/testdata/sf0.01"
+    got = {r.doc_id: (r.redacted_sha256, r.replaced) for r in QUERIES["redact_pseudonym"](spark, data).collect()}
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        text = d.text or ""
+        found = [(m.start(), m.end(), label, i, m[0]) for i, (label, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, text)]
+        for a, b, label, _, word in sorted(found, key=lambda x: (-x[0], -x[1], x[3])):
+            text = text[:a] + f"{label}_{hashlib.blake2s((label + word.lower()).encode(), digest_size=3).hexdigest()}" + text[b:]
+        assert got[d.doc_id] == (hashlib.sha256(text.encode()).hexdigest(), len(found))
 
 
 def test_browser_pseudonym(spark):
@@ -47,7 +74,7 @@ def test_browser_pseudonym(spark):
 
 
 def test_sensitivity_and_unknown_names(sample):
-    assert redact(sample, "label", 4).first().redaction.text == "[PER] lahir di Bandung, HP [PHONE], email [EMAIL]"
+    assert redact(sample, "label", 4).first().redaction.text == replaced("[PER]", None, "[PHONE]", "[EMAIL]")
     with pytest.raises(ValueError):
         redact(sample, "other")
     with pytest.raises(ValueError):
@@ -66,12 +93,12 @@ def test_overlapping_entities_are_spliced_in_turn(spark, text, wanted, n):
 
 def test_exports(sample):
     row = sinks.export(sample, "csv").first().export
-    assert row.split("\r\n")[:2] == [sinks.HEADER, "0,PER,Joko,0,4,0.99,False"] and row.endswith("True\r\n")
+    assert row.split("\r\n")[:2] == [sinks.HEADER, "0,PER,Tika,6,10,0.9,False"] and row.endswith("True\r\n")
     lines = sinks.export(sample, "jsonl").first().export.split("\n")
-    assert json.loads(lines[1]) == {"index": 1, "label": "LOC", "text": "Bandung", "start": 14, "end": 21, "score": 0.95, "verified": False}
+    assert json.loads(lines[1]) == {"index": 1, "label": "LOC", "text": "Depok", "start": 21, "end": 26, "score": 0.95, "verified": False}
     doc = json.loads(sinks.export(sample, "json").first().export)
     assert doc["stats"]["total"] == 4 and doc["text"] == TEXT and len(doc["entities"]) == 4 and "chunks" not in doc["stats"]
-    assert '"Joko"' in sinks.export(sample, "csv", "browser").first().export
+    assert '"Tika"' in sinks.export(sample, "csv", "browser").first().export
     assert sinks.file_name("csv") == "entities.csv"
 
 
