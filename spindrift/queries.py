@@ -9,8 +9,8 @@ from .functions import wordpiece
 from .functions.expr import ENTITY, empty
 from .functions.labels import BIO, label_table, title
 from .operators import chunking, corpus, evaluation, spans, stats
-from .operators.classify import marker_classifier, structured_classifier
-from .plans import browser, pipeline, scratch
+from .operators.classify import marker_classifier, rule_classifier, structured_classifier
+from .plans import browser, pipeline, scratch, variants
 from .plans.options import Options
 from .sources import readers, sinks
 from .streaming import stream
@@ -133,6 +133,12 @@ def gold_scores(spark, sf_dir) -> DataFrame:
     return evaluation.scores(evaluation.span_keys(found_), evaluation.span_keys(gold))
 
 
+def variant_scores(spark, sf_dir) -> DataFrame:
+    gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
+    docs, known = gold.select("doc_id", "text"), evaluation.span_keys(gold)
+    return variants.compare_variants(docs, known, {"rules": rule_classifier, "structured": structured_classifier}, "rules", WHOLE)
+
+
 def gold_sentences(spark, sf_dir) -> DataFrame:
     gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
     return gold.select("doc_id", F.inline("entities"))
@@ -358,7 +364,7 @@ QUERIES = {
     "redact_pseudonym": _redacted("pseudonym"), "redact_min_sensitivity": _redacted("label", 5), "redact_mapping": redact_mapping,
     "clip_flags": clip_flags, "chunk_windows": chunk_windows, "batch_totals": batch_totals, "analyze_documents": analyze_documents,
     "analyze_conversations": analyze_conversations, "analyze_distinct_texts": analyze_distinct_texts, "analyze_browser": analyze_browser,
-    "analyze_gold": analyze_gold, "gold_scores": gold_scores, "gold_sentences": gold_sentences, "markers": markers, "merge_islands": merge_islands,
+    "analyze_gold": analyze_gold, "gold_scores": gold_scores, "variant_scores": variant_scores, "gold_sentences": gold_sentences, "markers": markers, "merge_islands": merge_islands,
     "resolve_overlaps": resolve_overlaps, "unmatched_spans": unmatched_spans, "repaired_spans": repaired_spans, "contained_spans": contained_spans,
     "deduped_spans": deduped_spans, "label_join": label_join, "export_rows": export_rows, "export_jsonl": _exported("jsonl"), "export_csv": _exported("csv"),
     "export_csv_browser": _exported("csv", "browser"), "export_json": export_json, "span_scores": span_scores, "span_fidelity": span_fidelity,

@@ -15,6 +15,7 @@ from spindrift.queries import QUERIES
 from .test_spans import loop
 
 DATA = "/root/testdata/sf0.001"
+CUT = " \t\n\r.,;:!?()[]{}\"'"
 WEIGHT = {code: sensitivity for code, _, _, sensitivity, _ in LABELS}
 
 
@@ -98,6 +99,28 @@ def test_gold(spark):
     assert (r.hit, r.extra, r.miss) == (hit, len(pred - true), len(true - pred)) and r.precision == pytest.approx(hit / len(pred)) and r.recall == pytest.approx(hit / len(true))
 
 
+def test_variants(spark):
+    from spindrift.operators import corpus
+
+    gold = corpus.gold_sentences(spark.read.parquet(f"{DATA}/customer.parquet"), "c_custkey").collect()
+    true = {(g.doc_id, e.start, e.end, e.label) for g in gold for e in g.entities}
+    fixed = lambda text: sorted((m.start(), m.end(), label) for label, p in PATTERNS.items() for m in re.finditer(p, text))
+    trimmed = lambda text, a, b: (a + len(text[a:b]) - len(text[a:b].lstrip(CUT)), a + len(text[a:b].rstrip(CUT)))
+    keys = {
+        ("rules", "production"): {(g.doc_id, *x[:3]) for g in gold for x in entities(g.text)},
+        ("rules", "raw"): {(g.doc_id, *trimmed(g.text, *x[:2]), x[2]) for g in gold for x in rules(g.text)},
+        ("structured", "production"): {(g.doc_id, *x) for g in gold for x in fixed(g.text)}, ("structured", "raw"): {(g.doc_id, *x) for g in gold for x in fixed(g.text)},
+    }
+    got = {(r.variant, r.mode): r for r in QUERIES["variant_scores"](spark, DATA).collect()}
+    assert set(got) == set(keys)
+    for (name, mode), pred in keys.items():
+        r, base = got[name, mode], keys["rules", mode]
+        p, q = len(pred & base) / len(pred), len(pred & base) / len(base)
+        same = sum({x for x in pred if x[0] == g.doc_id} == {x for x in base if x[0] == g.doc_id} for g in gold)
+        assert (r.hit, r.extra, r.miss) == (len(pred & true), len(pred - true), len(true - pred))
+        assert r.span_agreement == pytest.approx(2 * p * q / (p + q) if p + q else 0) and r.exact_documents == pytest.approx(same / len(gold))
+
+
 @pytest.mark.parametrize("text", [
     "x Adi Pratama.., --Bandung.. JAKARTA-x jAKARTA a.B -.Nia_k Été 5 Mei 1988 NIK Wanita/pria", "kata " * 300 + "Nia Kurnia di Medan " * 80, " ..-Kota --. -Adi ", "A B C D"])
 def test_odd_words(spark, text):
