@@ -6,8 +6,9 @@ over the threshold, since those need no more counting. When a level holds `fanou
 the next level. At the end the runs are merged once more, and keys over the threshold lose their lines.
 
 A run is a bucketed table: its rows are dealt by key hash into as many buckets as a shuffle has partitions, and sorted
-within each. So runs meet each other, and the counts of a batch, bucket by bucket: neither the anti-join nor a
-compaction moves a run's rows. A batch has some `batch_docs` documents, and there are four at least.
+within each. So the counts of a batch meet each run bucket by bucket, and no anti-join moves a run's rows. A compaction
+reads its runs' files as they are and sums them up by an ordinary aggregate, with an exchange. A batch has some
+`batch_docs` documents, and there are four at least.
 
 Defined results: a null or empty text is one empty line; keys shorter than `min_chars` are never dropped; a row
 without doc_id counts as the one document null; rows that share a doc_id count as one document but are each returned;
@@ -17,8 +18,6 @@ added, or replaced if docs has them; all other columns pass through, whatever th
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +45,13 @@ class LineRuns:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.names: list[str] = []
-
-    def _read(self, names: list[str]) -> DataFrame:
-        return reduce(DataFrame.unionAll, [self.spark.table(n).select("a", "b", "n") for n in names])
+        self.paths: dict[str, str] = {}
 
     def _write(self, run: DataFrame, level: int) -> None:
         path = scratch(self.spark, f"lines-{level}")
         name = path.rsplit("/", 1)[1].replace("-", "_")
         run.select("a", "b", "n").write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", path).saveAsTable(name)
-        self.names.append(name)
+        self.paths[name] = path
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -65,14 +61,15 @@ class LineRuns:
 
     def merged(self, names: list[str] | None = None) -> DataFrame:
         names = [n for level in self.levels for n in level] if names is None else names
-        return self._read(names).groupBy("a", "b").agg(F.sum("n").alias("n"))
+        # By path: a union of bucketed scans counts as dealt by key, but its groups came out in pieces (Spark 4.1.2).
+        rows = self.spark.read.schema("a bigint, b bigint, n bigint").parquet(*(self.paths[n] for n in names))
+        return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
     def add(self, counts: DataFrame) -> None:
         """Take in one batch of (key, n), each key once."""
         counts = counts.select("key.a", "key.b", "n")
-        names = [n for level in self.levels for n in level]
-        if names:
-            closed = self._read(names).where(F.col("n") >= self.min_docs).select("a", "b")
+        for name in (n for level in self.levels for n in level):
+            closed = self.spark.table(name).where(F.col("n") >= self.min_docs).select("a", "b")
             counts = counts.join(closed.hint("merge"), ["a", "b"], "left_anti")
         self._write(counts, 0)
 
@@ -82,7 +79,7 @@ class LineRuns:
 
     def forget(self) -> None:
         """Take the runs out of the catalog."""
-        for name in self.names:
+        for name in self.paths:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 

@@ -289,6 +289,19 @@ def test_line_runs_compact(spark):
     assert sum(map(len, runs.levels)) == 2 and [tuple(r.key) for r in runs.frequent().collect()] == [(1, 1)]
 
 
+@pytest.mark.parametrize("fanout", [2, 3, 9])
+def test_line_runs_of_many_keys(spark, fanout):
+    """Sums over many runs and levels; a key that a run shows over the threshold needs no more counting."""
+    rng, runs, total = random.Random(fanout), line_dedup.LineRuns(spark, min_docs=6, fanout=fanout), Counter()
+    for _ in range(7):
+        batch = Counter(rng.randrange(3000) for _ in range(4000))
+        runs.add(frame(spark, [((k * 7919, -k), n) for k, n in batch.items()], "key struct<a:bigint,b:bigint>, n bigint"))
+        total.update(batch)
+    got = runs.frequent().collect()
+    assert {r.key.a // 7919 for r in got} == {k for k, n in total.items() if n >= 6} and len(got) == len({r.key for r in got})
+    runs.forget()
+
+
 # 6
 
 
