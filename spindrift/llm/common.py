@@ -55,11 +55,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spindrift/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: cuts the lineage and outlives lost executors."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """`df` written as Parquet, with the writer's options, in the shared folder and read back: cuts the lineage and
+    outlives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import text_groups
-from .common import table
+from .common import stored, table
 
 UNIT = 192
 #: Blocks a row of the image; a wider image is used where more than 8191 rows would be needed.
@@ -366,7 +366,8 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op3_media(spark, sf_dir) -> DataFrame:
-    features = media_features(encode_media(table(spark, sf_dir, "documents")))
+    media = stored(encode_media(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    features = media_features(media)
     return features.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
     )
