@@ -9,7 +9,8 @@ thumbnail (one sample a block).
 Defined results: a null or empty text is a payload of 192 spaces; payloads over `FRAME` bytes become several images
 one after another, whose heights add up and whose thumbnails all go into the hash; repeated rows get equal values,
 whatever their doc_id, which may be null; an empty table gives an empty result; other columns are ignored.
-A task holds one group of texts of some `GROUP` bytes, or one longer text.
+A task holds one group of texts of some `GROUP` bytes, or one longer text. The registered query writes the media column
+and reads it back before it computes features.
 """
 
 from __future__ import annotations
