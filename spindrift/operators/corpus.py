@@ -1,65 +1,12 @@
-"""Corpora and vocabularies: generated sentences, splits, keep sets, renumbering and alias chains."""
+"""Corpora and vocabularies: splits, keep sets, renumbering and alias chains."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import row
 from ..plans.scratch import checkpointed
 
-#: Pools and sentences of our own for generated text; a slot is a label in braces.
-NAMES = ["Adi Pratama", "Maya Sari", "Hasan Basri", "Nia Kurnia", "Rudi Tan", "Tika"]
-TOWNS = ["Jakarta", "Bandung", "Medan", "Bekasi", "Depok"]
-SEXES = ["pria", "wanita"]
-DATES = ["5 Mei 1988", "17/8/1990", "3 Oktober", "21-4-2001"]
-SENTENCES = [
-    "Atas nama {PER}, {GENDER}, kota {LOC}, NIK {SSN}.",
-    "Telepon {PHONE} milik {PER} sejak {DATE_TIME}.",
-    "Tulis ke {EMAIL}; alamat {PER} di {LOC}.",
-    "Rapat {DATE_TIME} di {LOC} bersama {PER}, HP {PHONE}.",
-]
-
-
-def slot_value(label: str, key: Column) -> Column:
-    """The value of a slot, a function of the row's key."""
-    pick = lambda pool: F.get(F.array(*[F.lit(x) for x in pool]), F.pmod(key, F.lit(len(pool))).cast("int"))
-    digits = lambda n: F.lpad(key.cast("string"), n, "0")
-    return {
-        "PER": pick(NAMES), "LOC": pick(TOWNS), "GENDER": pick(SEXES), "DATE_TIME": pick(DATES),
-        "SSN": F.concat(F.lit("31"), digits(14)), "PHONE": F.concat(F.lit("0812"), digits(8)),
-        "EMAIL": F.concat(F.lit("surat"), key.cast("string"), F.lit("@pos.example.id")),
-    }[label]
-
-
-def pieces_of(sentence: str, key: Column) -> Column:
-    """array<struct<text, label>>: the sentence with its slots filled, cut at them."""
-    out, rest = [], sentence
-    while rest:
-        head, brace, rest = rest.partition("{")
-        if head:
-            out.append(row(text=F.lit(head), label=F.lit(None).cast("string")))
-        if brace:
-            label, _, rest = rest.partition("}")
-            out.append(row(text=slot_value(label, key), label=F.lit(label)))
-    return F.array(*out)
-
-
-def gold_sentences(keys: DataFrame, key: str) -> DataFrame:
-    """(doc_id, text, entities) with exact offsets, one sentence a key; templates go round by key."""
-    k = F.col(key)
-    chosen = F.get(F.array(*[pieces_of(s, k) for s in SENTENCES]), F.pmod(k, F.lit(len(SENTENCES))).cast("int"))
-    rows = keys.select(k.alias("doc_id"), chosen.alias("p"))
-    start = row(at=F.lit(0), out=F.array().cast("array<struct<start:int,end:int,label:string,text:string>>"))
-
-    def add(a: Column, x: Column) -> Column:
-        end = a["at"] + F.length(x["text"])
-        own = F.array(row(start=a["at"], end=end, label=x["label"], text=x["text"]))
-        return row(at=end, out=F.when(x["label"].isNull(), a["out"]).otherwise(F.concat(a["out"], own)))
-
-    return rows.select("doc_id", F.array_join("p.text", "").alias("text"), F.aggregate("p", start, add, lambda a: a["out"]).alias("entities"))
-
-
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """`rows` with place, their number from 0 on in the order of the given columns.
 
@@ -119,6 +66,21 @@ def renumber(vocab: DataFrame, keep: DataFrame, unknown: str | None = None) -> D
     return numbered(kept, "old_id").select("piece", "old_id", F.col("place").alias("new_id"))
 
 
+def renumber_added(added: DataFrame, mapping: DataFrame, keep: DataFrame) -> DataFrame:
+    """The added tokens (id, content) that are kept, with new_id: that of their piece in mapping, or their own where they
+    number a place outside the vocabulary."""
+    stay = added.join(keep.select(F.col("piece").alias("content")), "content", "left_semi")
+    return stay.join(mapping.select(F.col("old_id").alias("id"), "new_id"), "id", "left").select("content", "id", F.coalesce("new_id", "id").alias("new_id"))
+
+
+def sampled_lines(files: DataFrame, file: str, text: str, first: int = 500, shorter: int = 20) -> DataFrame:
+    """(file, line_no, line): of each file's first lines, stripped, those of more than `shorter` characters. A sample for
+    a quick look at a pruned vocabulary; whole corpora go through corpus_lines."""
+    lines = files.select(file, F.posexplode(F.slice(F.split(text, "\n", -1), 1, first)).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.regexp_replace("line", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""))
+    return lines.where(F.length("line") > shorter)
+
+
 def translate_ids(ids: DataFrame, mapping: DataFrame) -> DataFrame:
     """`ids` (column id) with new_id, -1 where the piece was pruned."""
     m = mapping.select(F.col("old_id").alias("id"), "new_id")

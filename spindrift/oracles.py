@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.patterns import EMAIL, PHONE, SSN
-from .operators.corpus import DATES, NAMES, SENTENCES, SEXES, TOWNS
+from .operators.generator import FORMS, POOLS, RANGES, SENTENCES, SHARES, parts_of
 
 MARK = "chr(65535)"
 
@@ -102,21 +102,26 @@ SIDES = LINES + """, pred AS (
 )"""
 
 
-def gold_pieces() -> str:
-    pick = lambda pool: f"(['{chr(39) + ', ' + chr(39)}'])".replace("', '", "', '".join(pool)) + f"[(k % {len(pool)} + 1)::INT]"
-    digits = lambda n: f"lpad(k::VARCHAR, {n}, '0')"
-    slots = {"PER": pick(NAMES), "LOC": pick(TOWNS), "GENDER": pick(SEXES), "DATE_TIME": pick(DATES), "SSN": f"'31' || {digits(14)}",
-             "PHONE": f"'0812' || {digits(8)}", "EMAIL": "'surat' || k::VARCHAR || '@pos.example.id'"}
+def gold_ctes() -> str:
+    """CTEs up to `sentences`: (doc_id, p), p being the list of texts and labels of a customer's sentence."""
+    draw = lambda name, n: f"(('0x' || substr(md5(concat_ws('|', c_custkey, '{name}')), 1, 8))::BIGINT % {n})"
+    fields = [f"{pool}[({draw(name, len(pool))} + 1)::INT] AS {name}" for name, pool in POOLS.items()]
+    for name, (low, high, digits) in RANGES.items():
+        number = f"({draw(name, high - low + 1)} + {low})::VARCHAR"
+        fields.append(f"{number if digits == 1 else f"lpad({number}, {digits}, '0')"} AS {name}")
+    fields += [f'{draw(label + "?", SHARES)} AS "{label}?"' for label in FORMS]
+    joined = lambda form: " || ".join(x for literal, name in parts_of(form) for x in ([f"'{literal}'"] if literal else []) + ([name] if name else []))
+    values = [f'CASE {" ".join(f"""WHEN "{label}?" < {below} THEN {joined(form)}""" for below, form in forms)} END AS {label}' for label, forms in FORMS.items()]
     cases = []
     for i, sentence in enumerate(SENTENCES):
         items = []
-        for part in sentence.replace("{", "\0{").replace("}", "}\0").split("\0"):
-            if part.startswith("{"):
-                items.append(f"{{'t': {slots[part[1:-1]]}, 'l': '{part[1:-1]}'}}")
-            elif part:
-                items.append(f"{{'t': '{part}', 'l': NULL::VARCHAR}}")
+        for literal, label in parts_of(sentence):
+            items += [f"{{'t': '{literal}', 'l': NULL::VARCHAR}}"] if literal else []
+            items += [f"{{'t': {label}, 'l': '{label}'}}"] if label else []
         cases.append(f"WHEN {i} THEN [{', '.join(items)}]")
-    return f"CASE (k % {len(SENTENCES)})::INT {' '.join(cases)} END"
+    return f"""
+WITH drawn AS (SELECT c_custkey AS doc_id, {', '.join(fields)} FROM customer), filled AS (SELECT doc_id, {', '.join(values)} FROM drawn),
+sentences AS (SELECT doc_id, CASE (doc_id % {len(SENTENCES)})::INT {' '.join(cases)} END AS p FROM filled)"""
 
 
 VOCABULARY = """
@@ -161,10 +166,7 @@ SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM scan) AS
 )
 SELECT p.doc_id, total, (CASE WHEN total = 0 THEN 0 ELSE least(100, peak * 15 + least(25, total * 2)) END)::INT AS risk, false AS truncated
 FROM per_doc p JOIN documents USING (doc_id)""",
-    "gold_sentences": f"""
-WITH sentences AS (
-  SELECT c_custkey AS doc_id, {gold_pieces().replace("k %", "c_custkey %").replace("k::VARCHAR", "c_custkey::VARCHAR")} AS p FROM customer
-), pieces AS (
+    "gold_sentences": f"""{gold_ctes()}, pieces AS (
   SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM sentences
 )
 SELECT doc_id, coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x.t))), 0)::INT AS start,
@@ -286,6 +288,23 @@ SELECT count(*) AS lines, count(DISTINCT line) AS unique_lines FROM lines WHERE
     "vocabulary_latin": VOCABULARY + " SELECT count(*) AS pieces, sum(length(piece))::BIGINT AS characters FROM flagged WHERE safe OR latin",
     "translated_ids": VOCABULARY + """
 SELECT count(*) AS ids, count(*) FILTER (new_id IS NULL) AS pruned, max(new_id) AS last FROM vocab LEFT JOIN kept ON vocab.id = kept.old_id""",
+    "added_tokens": VOCABULARY + """, every AS (
+  SELECT piece, ltrim(piece, '▁') AS body FROM (SELECT piece FROM vocab UNION SELECT piece FROM used)
+), keep AS (
+  SELECT piece FROM every WHERE piece = 'the' OR body = '' OR regexp_matches(body, '^\\p{Nd}+\\z') OR regexp_matches(body, '^[\\x00-\\x7f\\p{Latin}]*\\z')
+), renumbered AS (
+  SELECT piece, id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM vocab WHERE piece IN (SELECT piece FROM keep)
+)
+SELECT u.piece AS content, coalesce(id, 1099511627776 + length(u.piece)) AS id, coalesce(new_id, 1099511627776 + length(u.piece)) AS new_id
+FROM used u LEFT JOIN renumbered r ON u.piece = r.piece WHERE u.piece IN (SELECT piece FROM keep)""",
+    "divergence_sample": VOCABULARY + """, lines AS (
+  SELECT trim(unnest(string_split(text, chr(10))[1:500]), concat(' ', chr(9), chr(11), chr(12), chr(13), chr(160))) AS line FROM documents
+), long AS (
+  SELECT row_number() OVER () AS n, line FROM lines WHERE length(line) > 20
+), marked AS (
+  SELECT n, bool_or(k.piece IS NULL) AS changed FROM (SELECT n, unnest(string_split(line, ' ')) AS piece FROM long) w LEFT JOIN kept k ON w.piece = k.piece GROUP BY n
+)
+SELECT coalesce(avg(changed::INT), 0)::DOUBLE AS divergence, count(*) AS lines FROM marked""",
     "alias_chains": "SELECT c_custkey AS alias, (c_custkey - 1) // 10 * 10 + 1 AS target FROM customer WHERE c_custkey > 0 AND c_custkey % 10 <> 1",
     "reached_names": """
 WITH RECURSIVE r(name) AS (SELECT c_custkey FROM customer WHERE c_custkey % 100 = 1 UNION SELECT c_custkey * 2 FROM r JOIN customer ON name = c_custkey)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import wordpiece
 from .functions.expr import ENTITY, empty
 from .functions.labels import BIO, label_table, title
-from .operators import chunking, corpus, evaluation, spans, stats
+from .operators import chunking, corpus, evaluation, generator, spans, stats
 from .operators.classify import marker_classifier, rule_classifier, structured_classifier
 from .plans import browser, pipeline, scratch, variants
 from .plans.options import Options
@@ -121,26 +121,31 @@ def analyze_browser(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "stats.total", "stats.risk", "stats.characters", "stats.chunks")
 
 
+def gold_documents(spark, sf_dir) -> DataFrame:
+    """A sentence for each customer, written: what reads its text does not draw it anew each time."""
+    return scratch.checkpointed(generator.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey"))
+
+
 def analyze_gold(spark, sf_dir) -> DataFrame:
-    gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
+    gold = gold_documents(spark, sf_dir)
     out = pipeline.analyze(gold.select("doc_id", "text"), WHOLE)
     return pipeline.entity_rows(out, "doc_id")
 
 
 def gold_scores(spark, sf_dir) -> DataFrame:
-    gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
+    gold = gold_documents(spark, sf_dir)
     found_ = pipeline.analyze(gold.select("doc_id", "text"), WHOLE)
     return evaluation.scores(evaluation.span_keys(found_), evaluation.span_keys(gold))
 
 
 def variant_scores(spark, sf_dir) -> DataFrame:
-    gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
+    gold = gold_documents(spark, sf_dir)
     docs, known = gold.select("doc_id", "text"), evaluation.span_keys(gold)
     return variants.compare_variants(docs, known, {"rules": rule_classifier, "structured": structured_classifier}, "rules", WHOLE)
 
 
 def gold_sentences(spark, sf_dir) -> DataFrame:
-    gold = corpus.gold_sentences(spread(table(spark, sf_dir, "customer")), "c_custkey")
+    gold = gold_documents(spark, sf_dir)
     return gold.select("doc_id", F.inline("entities"))
 
 
@@ -322,6 +327,27 @@ def translated_ids(spark, sf_dir) -> DataFrame:
     return ids.agg(F.count("*").alias("ids"), F.count_if(F.col("new_id") < 0).alias("pruned"), F.max("new_id").alias("last"))
 
 
+def added_tokens(spark, sf_dir) -> DataFrame:
+    """Added tokens are the words of benchmark; those that the vocabulary lacks have numbers beyond it."""
+    vocab = piece_vocabulary(spark, sf_dir)
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("content")).distinct()
+    beyond = vocab.select("piece").union(words.select("content")).distinct()  # what the tokenizer keeps may be an added token only
+    own = F.length("content") + F.lit(1 << 40)
+    added = words.join(vocab.select(F.col("piece").alias("content"), "id"), "content", "left").withColumn("id", F.coalesce("id", own))
+    keep = corpus.keep_set(beyond, ["the"], "latin")
+    return corpus.renumber_added(added, corpus.renumber(vocab, keep), keep)
+
+
+def divergence_sample(spark, sf_dir) -> DataFrame:
+    """How many sampled lines lose a word to the pruned vocabulary; a document is a corpus file."""
+    lines = corpus.sampled_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("pos", "piece"))
+    kept = vocabulary_trim(spark, sf_dir).select("piece", "new_id")
+    new = words.join(kept, "piece", "left").groupBy("doc_id", "line_no").agg(F.count_if(F.col("new_id").isNull()).alias("lost"))
+    pairs = new.select(F.lit(0).alias("old"), F.col("lost").alias("new"))
+    return evaluation.divergence(pairs).crossJoin(pairs.agg(F.count("*").alias("lines")))  # one row each
+
+
 def alias_chains(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "customer").where("c_custkey > 0 AND c_custkey % 10 <> 1").select(F.col("c_custkey").alias("alias"), (F.col("c_custkey") - 1).alias("target"))
     return corpus.resolve_aliases(rows)
@@ -370,6 +396,6 @@ QUERIES = {
     "export_csv_browser": _exported("csv", "browser"), "export_json": export_json, "span_scores": span_scores, "span_fidelity": span_fidelity,
     "bio_decode": bio_decode, "bio_decode_arrays": bio_decode_arrays, "bio_encode": bio_encode, "highlight_segments": highlight_segments,
     "distinct_texts": distinct_texts, "upload_lines": upload_lines, "pasted_lines": pasted_lines, "pasted_csv": pasted_csv, "corpus_lines": corpus_lines,
-    "vocabulary_trim": vocabulary_trim, "vocabulary_latin": vocabulary_latin, "translated_ids": translated_ids, "alias_chains": alias_chains,
+    "vocabulary_trim": vocabulary_trim, "vocabulary_latin": vocabulary_latin, "translated_ids": translated_ids, "added_tokens": added_tokens, "divergence_sample": divergence_sample, "alias_chains": alias_chains,
     "reached_names": reached_names, "dev_split": dev_split, "wordpiece_ids": wordpiece_ids, "streamed_entities": streamed_entities,
 }

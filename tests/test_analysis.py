@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrift import Options, analyze
 from spindrift.functions.labels import LABELS
 from spindrift.functions.patterns import DATE, GENDERS, MONTHS, PATTERNS, PLACES, STOPWORDS, WORD
+from spindrift.operators import generator
 from spindrift.operators.classify import model_classifier, rule_classifier
 from spindrift.plans import pipeline
 from spindrift.queries import QUERIES
@@ -90,7 +91,7 @@ def test_conversations(spark):
 def test_gold(spark):
     from spindrift.operators import corpus
 
-    gold = corpus.gold_sentences(spark.read.parquet(f"{DATA}/customer.parquet"), "c_custkey").collect()
+    gold = generator.gold_sentences(spark.read.parquet(f"{DATA}/customer.parquet"), "c_custkey").collect()
     got = sorted((r.doc_id, r["index"], r.start, r.end, r.label, r.text, r.score, r.verified) for r in QUERIES["analyze_gold"](spark, DATA).collect())
     want = [(g.doc_id, i, a, b, label, g.text[a:b], score, ok) for g in gold for i, (a, b, label, score, ok) in enumerate(entities(g.text))]
     assert got == sorted(want)
@@ -102,7 +103,7 @@ def test_gold(spark):
 def test_variants(spark):
     from spindrift.operators import corpus
 
-    gold = corpus.gold_sentences(spark.read.parquet(f"{DATA}/customer.parquet"), "c_custkey").collect()
+    gold = generator.gold_sentences(spark.read.parquet(f"{DATA}/customer.parquet"), "c_custkey").collect()
     true = {(g.doc_id, e.start, e.end, e.label) for g in gold for e in g.entities}
     fixed = lambda text: sorted((m.start(), m.end(), label) for label, p in PATTERNS.items() for m in re.finditer(p, text))
     trimmed = lambda text, a, b: (a + len(text[a:b]) - len(text[a:b].lstrip(CUT)), a + len(text[a:b].rstrip(CUT)))

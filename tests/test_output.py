@@ -11,7 +11,7 @@ from spindrift import analyze, redact
 from spindrift.functions import wordpiece
 from spindrift.functions.expr import ENTITY
 from spindrift.functions.labels import BIO, display, sensitivity, title
-from spindrift.operators import corpus, evaluation, redaction, stats
+from spindrift.operators import corpus, evaluation, generator, redaction, stats
 from spindrift.plans import browser, pipeline
 from spindrift.sources import readers, sinks
 from spindrift.streaming import stream
@@ -173,13 +173,18 @@ def test_browser_profile(spark):
 
 
 def test_corpus(spark):
-    gold = corpus.gold_sentences(spark.range(8).withColumnRenamed("id", "k"), "k")
+    gold = generator.gold_sentences(spark.range(8).withColumnRenamed("id", "k"), "k")
     assert all(r.text[e.start : e.end] == e.text for r in gold.collect() for e in r.entities)
     vocab = spark.createDataFrame([("<unk>", 0), ("▁", 5), ("▁ab", 7), ("▁длин", 9), ("▁longword", 11), ("42", 10000)], "piece string, id long")
     kept = corpus.renumber(vocab, corpus.keep_set(vocab, ["<unk>"], "latin"), "<unk>")
     assert {r.piece: r.new_id for r in kept.collect()} == {"<unk>": 0, "▁": 1, "▁ab": 2, "▁longword": 3, "42": 4}
     with pytest.raises(ValueError):
         corpus.renumber(vocab, vocab.limit(0), "<unk>")
+    added = spark.createDataFrame([("<unk>", 0), ("▁ab", 7), ("<extra>", 90), ("▁длин", 9)], "content string, id long")
+    keep = corpus.keep_set(vocab, ["<unk>"], "latin").union(spark.createDataFrame([("<extra>",)], "piece string"))
+    assert {r.content: r.new_id for r in corpus.renumber_added(added, kept, keep).collect()} == {"<unk>": 0, "▁ab": 2, "<extra>": 90}
+    files = spark.createDataFrame([("f", f"  {'x' * 21}\nshort\n{'y' * 21}"), ("g", None), ("h", "")], "f string, t string")
+    assert [(r.f, r.line_no, r.line) for r in corpus.sampled_lines(files, "f", "t", 2).collect()] == [("f", 0, "x" * 21)]
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "alias string, target string")
     assert {r.alias: r.target for r in corpus.resolve_aliases(pairs).collect()} == {"a": "d", "b": "d", "c": "d", "x": "y"}
     edges = pairs.select(F.col("alias").alias("source"), "target")
@@ -187,6 +192,20 @@ def test_corpus(spark):
     assert {r.name for r in used.collect()} == {"b", "c", "d"}
 
 
+def test_generated_values(spark):
+    """Each form comes at its stated share, and drawn values don't move together."""
+    rows = generator.gold_sentences(spark.range(20_000).withColumnRenamed("id", "k"), "k").collect()
+    values = {label: [e.text for r in rows for e in r.entities if e.label == label] for label in generator.FORMS}
+    share = lambda label, pattern: sum(bool(re.fullmatch(pattern, v)) for v in values[label]) / len(values[label])
+    for label, pattern, want in [
+        ("PER", r"\w+", 0.25), ("PER", r"\w+ \w+ \w+", 0.09), ("LOC", r".* No\. \d+, \w+", 0.2), ("DATE_TIME", r"\d+ [A-Z]\w+ \d{4}", 0.45),
+        ("DATE_TIME", r"\d+-\d+-\d{4}", 0.2), ("PHONE", r"0\d{10}", 0.35), ("SSN", r"\d{4}( \d{4}){3}", 0.4), ("EMAIL", r"\w+\.\w+@.*", 0.3),
+    ]:
+        assert share(label, pattern) == pytest.approx(want, abs=0.02), (label, pattern)
+    assert len({r.text.split("{")[0] for r in rows}) > 19_000 and set(values["GENDER"]) == set(generator.POOLS["sex"])
+    assert generator.gold_sentences(spark.createDataFrame([(None,)], "k long"), "k").first().text is None
+
+
 def test_wordpiece(spark):
     vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "joko", "##wi", "jo", "cafe", "."])}
     docs = spark.createDataFrame([(1, "Jokowi Café. zzz")], "doc_id int, text string")
