@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import centroids, decontam, language_id, line_dedup, lm_score, media, mixing, ngram_join, packing, suffix_dedup, url_filter, warc
+from . import centroids, collocations, decontam, language_id, line_dedup, lm_score, media, mixing, ngram_join, packing, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_language_id": language_id.op10_language_id,
     "op11_packing": packing.op11_packing,
+    "op12_collocations": collocations.op12_collocations,
     "op13_centroids": centroids.op13_centroids,
 }
 ORACLES = {
@@ -23,5 +24,6 @@ ORACLES = {
     "op6_decontamination": decontam.ORACLE,
     "op8_url_filters": url_filter.ORACLE,
     "op9_suffix_dedup": suffix_dedup.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op13_centroids": centroids.ORACLE,
 }
