@@ -14,49 +14,50 @@ from ..functions.expr import row
 
 FIRST = "Adi Maya Hasan Nia Rudi Tika Bagus Citra Galih Intan".split()
 LAST = "Pratama Sari Basri Kurnia Tan Wijaya Halim Utami Nasution Siregar".split()
-#: Pools and number ranges (lowest, highest, digits) of our own; what a form names in braces is drawn from these.
+#: What a form names in braces is drawn from these pools and number ranges (lowest, highest, digits).
 POOLS = {
-    "first": FIRST, "last": LAST, "last_two": LAST, "street": ["Jl. Melati", "Jl. Kenanga", "Jalan Cemara", "Gang Mawar"],
-    "town": "Jakarta Bandung Medan Bekasi Depok Semarang Palembang".split(), "sex": "pria wanita perempuan laki-laki".split(),
-    "month": "Januari Februari Maret April Mei Juni Juli Agustus September Oktober November Desember".split(),
+    "first": FIRST, "second": FIRST, "last": LAST, "street": ["Jl. Melati", "Jl. Kenanga", "Jalan Cemara", "Gang Mawar"],
+    "village": "Sukamaju Karangsari Mekarwangi Tanjungrejo".split(), "town": "Jakarta Bandung Medan Bekasi Depok Semarang Palembang".split(),
+    "sex": "pria wanita perempuan laki-laki".split(), "month": "Januari Februari Maret April Mei Juni Juli Agustus September Oktober November Desember".split(),
     "given": [x.lower() for x in FIRST], "family": [x.lower() for x in LAST], "tag": "toko arsip tim".split(),
     "host": "pos.example.id surat.example.com kantor.example.org".split(),
 }
 RANGES = {
-    "house": (1, 199, 1), "day": (1, 28, 1), "month_no": (1, 12, 1), "year": (1940, 2026, 4), "years": (1, 99, 1), "carrier": (811, 899, 3),
-    "block": (1000, 9999, 4), "rest": (0, 999, 3), "id_a": (0, 9999, 4), "id_b": (0, 9999, 4), "id_c": (0, 9999, 4), "id_d": (0, 9999, 4),
+    "house": (2, 640, 1), "day": (2, 27, 1), "month_no": (1, 12, 1), "year": (1955, 2019, 4), "short_year": (0, 99, 2), "number": (100, 999, 3),
+    "carrier": (813, 858, 3), "block": (0, 9999, 4), "rest": (0, 999, 3), "area": (1101, 9471, 4), "born": (101, 7112, 4), "since": (0, 9999, 4), "serial": (1, 9999, 4),
 }
-#: Fixed shares: of 10,000 values of a label, so many are below the number and take the form beside it, the first that fits.
+#: Fixed, as the generated values' shares must be: of 10,000 values of a label, so many are below the number and take the
+#: form beside it, the first that fits. The forms themselves are ours; each is one that the label's pattern or list finds.
 FORMS = {
-    "PER": [(2500, "{first}"), (3400, "{first} {last} {last_two}"), (10000, "{first} {last}")],
-    "LOC": [(2000, "{street} No. {house}, {town}"), (3000, "{street}, {town}"), (10000, "{town}")],
-    "DATE_TIME": [(4500, "{day} {month} {year}"), (6500, "{day}/{month_no}/{year}"), (8000, "{day} {month}"), (10000, "{day}-{month_no}-{year}")],
+    "PER": [(2500, "{first}"), (3400, "{first} {second} {last}"), (10000, "{first} {last}")],
+    "LOC": [(2000, "{street} No. {house}, {town}"), (3000, "Kelurahan {village}, {town}"), (10000, "{town}")],
+    "DATE_TIME": [(4500, "{day} {month} {year}"), (6500, "{day}/{month_no}/{short_year}"), (8000, "{day} {month}"), (10000, "{day}-{month_no}-{year}")],
     "GENDER": [(10000, "{sex}")],
-    "PHONE": [(3500, "0{carrier}{block}{rest}"), (6000, "+62 {carrier}-{block}-{rest}"), (8000, "0{carrier} {block} {rest}"), (10000, "+62{carrier}{block}{rest}")],
-    "SSN": [(4000, "{id_a} {id_b} {id_c} {id_d}"), (10000, "{id_a}{id_b}{id_c}{id_d}")],
-    "EMAIL": [(3000, "{given}.{family}@{host}"), (4500, "{given}{years}@{host}"), (5500, "{given}+{tag}@{host}"), (10000, "{given}@{host}")],
+    "PHONE": [(3500, "0{carrier}{block}{rest}"), (6000, "+62 {carrier}.{block}.{rest}"), (8000, "62 {carrier} {block} {rest}"), (10000, "0{carrier}-{block}-{rest}")],
+    "SSN": [(4000, "{area} {born} {since} {serial}"), (10000, "{area}{born}{since}{serial}")],
+    "EMAIL": [(3000, "{given}.{family}@{host}"), (4500, "{family}_{number}@{host}"), (5500, "{tag}-{given}@{host}"), (10000, "{given}{number}@{host}")],
 }
 SENTENCES = [
-    "Atas nama {PER}, {GENDER}, kota {LOC}, NIK {SSN}.",
-    "Telepon {PHONE} milik {PER} sejak {DATE_TIME}.",
-    "Tulis ke {EMAIL}; alamat {PER} di {LOC}.",
-    "Rapat {DATE_TIME} di {LOC} bersama {PER}, HP {PHONE}.",
-    "Paket untuk {PER} dikirim ke {LOC} pada {DATE_TIME}.",
-    "Pasien {GENDER} bernama {PER} lahir {DATE_TIME}.",
-    "Kirim salinan kartu {SSN} melalui {EMAIL}.",
-    "Sejak {DATE_TIME} nomor {PHONE} tidak aktif.",
-    "Di {LOC} seorang {GENDER} kehilangan kartu {SSN}.",
-    "Pembeli {PER} membayar dari {LOC}, kontak {EMAIL}.",
-    "Surat {PER} dengan nomor {SSN} terbit {DATE_TIME}.",
-    "Hubungi {PHONE} atau {EMAIL} untuk jadwal.",
-    "Peserta {GENDER} dari {LOC} mendaftar lewat {EMAIL}.",
-    "Kontrak {PER} mulai {DATE_TIME}, telepon {PHONE}.",
-    "Saksi {PER} tinggal di {LOC} dan memakai nomor {PHONE}.",
-    "Data {SSN} atas nama {PER} sudah diperiksa.",
-    "Kantor di {LOC} tutup {DATE_TIME}.",
-    "Balas {EMAIL} sebelum {DATE_TIME}.",
-    "Penyewa {PER}, {GENDER}, telepon {PHONE}, surat {EMAIL}.",
-    "Nomor {PHONE} terdaftar dengan kartu {SSN} di {LOC}.",
+    "Tiket kereta {DATE_TIME} dipesan {PER}, kursi dekat jendela {SSN}.",
+    "Ojek menunggu di {LOC}; pengemudinya {PER}, seorang {GENDER}, {PHONE}.",
+    "Catatan kasir: {PER}, bon lunas {DATE_TIME}, struk ke {EMAIL}.",
+    "Bila hujan, acara pindah ke {LOC} dan {PHONE} tetap aktif.",
+    "Formulir lama memakai {SSN}, yang baru memakai {EMAIL}.",
+    "Juara lari {GENDER} ialah {PER}, hadiah diambil {DATE_TIME} dengan kupon {SSN}.",
+    "Gudang {LOC} menitipkan kunci kepada {PER}, {PHONE}.",
+    "Kode anggota {SSN} berlaku sampai {DATE_TIME}.",
+    "Guru piano, {PER}, mengajar {DATE_TIME}; sewa ruang lewat {PHONE}.",
+    "Ruang ganti {GENDER} di {LOC} dibuka dengan kode {SSN}.",
+    "Ketua kelas {PER} menyimpan arsip {SSN}.",
+    "Jangan jawab {EMAIL}, itu palsu; tanya {PER} di {PHONE}.",
+    "Panggilan masuk {PHONE} pukul tujuh, {DATE_TIME}.",
+    "Koper {GENDER} tertinggal di {LOC}, lapor {PHONE}.",
+    "Pustakawan {PER} mengganti {EMAIL} sejak {DATE_TIME}.",
+    "Denda atas {SSN} dibayar di {LOC}.",
+    "Dua tamu, {PER} serta sepupunya yang {GENDER}, memakai kartu {SSN}.",
+    "Grup {EMAIL} membahas banjir {LOC} sampai {PHONE} sibuk.",
+    "Meja {PHONE} dan loker {SSN} milik toko yang sama.",
+    "Arisan {DATE_TIME}: tuan rumah {PER}, {LOC}, kabari {PHONE} atau {EMAIL}.",
 ]
 SHARES = 10_000
 
