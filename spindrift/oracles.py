@@ -138,6 +138,7 @@ WITH words AS (
   WHERE safe OR (length(body) <= 3 AND latin) OR piece IN (SELECT piece FROM used)
 )"""
 
+BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 ORACLES = {
     "pii_scan": DOCS + ' SELECT doc_id, label, start, "end", text FROM scan',
     "pii_scan_pages": scan("SELECT page_id, coalesce(html, '') AS text FROM pages", "page_id") + ' SELECT page_id, label, start, "end", text FROM scan',
@@ -284,6 +285,22 @@ SELECT doc_id, count(*) AS rows, sum(length(line))::BIGINT AS characters FROM tr
     "corpus_lines": """
 WITH lines AS (SELECT trim(unnest(string_split(text, chr(10))), concat(' ', chr(9), chr(11), chr(12), chr(13), chr(160))) AS line FROM documents)
 SELECT count(*) AS lines, count(DISTINCT line) AS unique_lines FROM lines WHERE length(line) > 15 AND length(line) < 600""",
+    "file_lines": rf"""
+WITH ordered AS (
+  SELECT lang, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+  FROM (SELECT coalesce(lang, '-') AS lang, doc_id, string_split_regex(coalesce(text, ''), '{BREAKS}') AS parts FROM documents)
+), numbered AS (
+  SELECT dense_rank() OVER (ORDER BY lang) - 1 AS path_no, row_number() OVER (PARTITION BY lang ORDER BY doc_id, pos) AS line_no, line FROM ordered
+)
+SELECT path_no::INT AS path_no, line_no, length(line)::INT AS characters FROM numbered WHERE regexp_matches(line, '[^{BLANK}]')""",
+    "corpus_head": rf"""
+WITH ordered AS (
+  SELECT lang, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+  FROM (SELECT coalesce(lang, '-') AS lang, doc_id, string_split_regex(coalesce(text, ''), '{BREAKS}') AS parts FROM documents)
+), fitting AS (
+  SELECT lang, doc_id, pos, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13), chr(160))) AS line FROM ordered
+)
+SELECT sha256(line) AS line_sha256 FROM fitting WHERE length(line) > 15 AND length(line) < 600 ORDER BY lang, doc_id, pos LIMIT 3000""",
     "vocabulary_trim": VOCABULARY + " SELECT piece, old_id, new_id FROM kept",
     "vocabulary_latin": VOCABULARY + " SELECT count(*) AS pieces, sum(length(piece))::BIGINT AS characters FROM flagged WHERE safe OR latin",
     "translated_ids": VOCABULARY + """

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .functions import wordpiece
 from .functions.expr import ENTITY, empty
 from .functions.labels import BIO, label_table, title
+from .functions.patterns import not_blank
 from .operators import chunking, corpus, evaluation, generator, spans, stats
 from .operators.classify import marker_classifier, rule_classifier, structured_classifier
 from .plans import browser, pipeline, scratch, variants
 from .plans.options import Options
-from .sources import readers, sinks
+from .sources import lines, readers, sinks
 from .streaming import stream
 
 #: The registered queries work on whole texts; only clip_flags clips.
@@ -83,8 +84,6 @@ def redact_mapping(spark, sf_dir) -> DataFrame:
 
 
 def clip_flags(spark, sf_dir) -> DataFrame:
-    from .functions.patterns import not_blank
-
     out = pipeline.clip(documents(spark, sf_dir), Options(max_characters=2000))
     return out.select("doc_id", F.length("text").alias("characters"), "truncated", (~not_blank(F.col("text"))).alias("blank"))
 
@@ -297,9 +296,27 @@ def pasted_csv(spark, sf_dir) -> DataFrame:
 
 
 def corpus_lines(spark, sf_dir) -> DataFrame:
-    lines = documents(spark, sf_dir).select(F.explode(F.split("text", "\n", -1)).alias("value"))
-    out = readers.corpus_lines(lines)
-    return corpus.unique_lines(out)
+    rows = documents(spark, sf_dir).select(F.explode(F.split("text", "\n", -1)).alias("value"))
+    return corpus.unique_lines(readers.corpus_lines(rows))
+
+
+def _files(spark, sf_dir, name: str) -> list[str]:
+    """The documents' texts as text files, a folder a language, written in the order of doc_id; the folders by language."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"), F.coalesce("lang", F.lit("-")).alias("lang"))
+    path = scratch.new_path(spark, name)
+    rows.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
+    return [f"{path}/lang={r.lang}" for r in rows.select("lang").distinct().orderBy("lang").collect()]  # a path a language
+
+
+def file_lines(spark, sf_dir) -> DataFrame:
+    """All lines of the files, with their physical numbers."""
+    rows = lines.physical_lines(spark, _files(spark, sf_dir, "lines"))
+    return rows.where(not_blank(F.col("value"))).select("path_no", "line_no", F.length("value").alias("characters"))
+
+
+def corpus_head(spark, sf_dir) -> DataFrame:
+    """The first 3,000 fitting lines of the files, taken one after another: the limit is the feature."""
+    return readers.read_corpus(spark, _files(spark, sf_dir, "corpus"), 3000).select(F.sha2("text", 256).alias("line_sha256"))
 
 
 def piece_vocabulary(spark, sf_dir) -> DataFrame:
@@ -340,8 +357,8 @@ def added_tokens(spark, sf_dir) -> DataFrame:
 
 def divergence_sample(spark, sf_dir) -> DataFrame:
     """How many sampled lines lose a word to the pruned vocabulary; a document is a corpus file."""
-    lines = corpus.sampled_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("pos", "piece"))
+    sample = corpus.sampled_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    words = sample.select("doc_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("pos", "piece"))
     kept = vocabulary_trim(spark, sf_dir).select("piece", "new_id")
     new = words.join(kept, "piece", "left").groupBy("doc_id", "line_no").agg(F.count_if(F.col("new_id").isNull()).alias("lost"))
     pairs = new.select(F.lit(0).alias("old"), F.col("lost").alias("new"))
@@ -395,7 +412,7 @@ QUERIES = {
     "deduped_spans": deduped_spans, "label_join": label_join, "export_rows": export_rows, "export_jsonl": _exported("jsonl"), "export_csv": _exported("csv"),
     "export_csv_browser": _exported("csv", "browser"), "export_json": export_json, "span_scores": span_scores, "span_fidelity": span_fidelity,
     "bio_decode": bio_decode, "bio_decode_arrays": bio_decode_arrays, "bio_encode": bio_encode, "highlight_segments": highlight_segments,
-    "distinct_texts": distinct_texts, "upload_lines": upload_lines, "pasted_lines": pasted_lines, "pasted_csv": pasted_csv, "corpus_lines": corpus_lines,
+    "distinct_texts": distinct_texts, "upload_lines": upload_lines, "pasted_lines": pasted_lines, "pasted_csv": pasted_csv, "corpus_lines": corpus_lines, "file_lines": file_lines, "corpus_head": corpus_head,
     "vocabulary_trim": vocabulary_trim, "vocabulary_latin": vocabulary_latin, "translated_ids": translated_ids, "added_tokens": added_tokens, "divergence_sample": divergence_sample, "alias_chains": alias_chains,
     "reached_names": reached_names, "dev_split": dev_split, "wordpiece_ids": wordpiece_ids, "streamed_entities": streamed_entities,
 }

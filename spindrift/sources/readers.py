@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import not_blank
+from .lines import first_rows, line_rows, physical_lines
 
 #: Fixed: column names that hold the text, tried in the order of the header.
 TEXT_COLUMNS = {"text", "teks", "content", "isi"}
@@ -31,8 +32,11 @@ def numbered_lines(files: DataFrame, limit: int | None = None, text: str = "valu
 
 
 def read_txt(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(id, text) of one uploaded text file, one document a line. Use read_corpus for large collections."""
-    return some(numbered_lines(spark.read.text(path, wholetext=True), limit))
+    """(id, text) of one uploaded text file, one document a line; numbers and limit as in numbered_lines, at any size."""
+    lines = physical_lines(spark, [path])
+    if limit is not None:
+        lines = lines.where(F.col("line_no") <= limit)
+    return some(lines.where(not_blank(F.col("value"))).select(F.col("line_no").cast("string").alias("id"), F.col("value").alias("text")))
 
 
 def text_column(names: list[str]) -> str:
@@ -77,17 +81,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = GOLD) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def corpus_text(text: Column) -> Column:
+    return F.regexp_replace(F.make_valid_utf8(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def fits_corpus(text: Column) -> Column:
+    return (F.length(text) > 15) & (F.length(text) < 600)
+
+
 def read_corpus(spark: SparkSession, paths: list[str], limit: int | None = None) -> DataFrame:
-    """(text) lines of many files, stripped, of 16 to 599 characters."""
-    return corpus_lines(spark.read.text(paths), limit)
+    """(text) lines of many files, stripped, of 16 to 599 characters; with a limit the first of these, path after path."""
+    rows = line_rows(spark, paths).withColumn("value", corpus_text(F.col("value"))).where(fits_corpus(F.col("value")))
+    return (rows if limit is None else first_rows(rows, limit)).select(F.col("value").alias("text"))
 
 
-def corpus_lines(lines: DataFrame, limit: int | None = None, text: str = "value") -> DataFrame:
-    stripped = F.regexp_replace(F.make_valid_utf8(F.col(text)), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
-    out = lines.select(stripped.alias("text")).where((F.length("text") > 15) & (F.length("text") < 600))
-    if limit is None:
-        return out
-    return out.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(limit).drop("_at")  # the first ones as they lie
+def corpus_lines(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(text) of rows that are lines already."""
+    return lines.select(corpus_text(F.col(text)).alias("text")).where(fits_corpus(F.col("text")))
 
 
 def vocabulary(files: DataFrame, text: str = "value") -> DataFrame:
@@ -98,6 +108,13 @@ def vocabulary(files: DataFrame, text: str = "value") -> DataFrame:
     return rows.groupBy("token").agg(F.max("id").alias("id"))
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a file, of whose lines none but single ones are held."""
+    rows = physical_lines(spark, [path], feeds_only=True)
+    rows = rows.select(F.regexp_replace("value", r"\r\z", "").alias("token"), (F.col("line_no") - 1).alias("id")).where("token <> ''")
+    return rows.groupBy("token").agg(F.max("id").alias("id"))
+
+
 def read_tokenizer(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece, score) of a tokenizer's JSON file."""
     rows = spark.read.schema("model struct<vocab:array<array<string>>>").json(path, multiLine=True)
