@@ -33,7 +33,7 @@ from .common import stored, table
 #: Words of an edge; a node has one less.
 LONGEST = 5
 #: Bytes of text that a task lays out at once, and distinct keys that it holds before it sends them.
-GROUP, HELD = 3 << 20, 3_000_000
+GROUP, HELD = 1 << 20, 1_500_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: 1: between words, 2: between pieces.
@@ -65,7 +65,7 @@ class Words:
         kept = kind == 0
         kept[stop[stop < len(text)]] = True
         self.text = np.where(kind == 0, text, 0x20).astype(np.uint8)[kept]
-        place = np.cumsum(kept) - kept
+        place = np.cumsum(kept, dtype=np.int32) - kept
         self.start, self.stop = place[start], place[start] + (stop - start)
 
     def keys(self, at: np.ndarray, many: int) -> np.ndarray:
