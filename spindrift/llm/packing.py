@@ -5,8 +5,8 @@ partitions' tokens. The prefix sums of these totals, one number a partition, giv
 tokens; the second pass then works row by row: a document's tokens are cut where fixed windows end, and each piece is
 one record. Only the last sequence isn't full. No token moves through a shuffle.
 
-Texts are tokenised by distinct chunk: a cut before a single blank or line feed between two visible characters never
-lies within a pre-token of a byte-level vocabulary, so a chunk's ids don't depend on its neighbours, and each distinct
+Texts are tokenised by distinct chunk: a cut before a single blank or line feed between two visible characters, or
+between a Latin letter and a stop, never lies within a pre-token of a byte-level vocabulary, so a chunk's ids don't depend on its neighbours, and each distinct
 chunk of a group of texts goes through the tokenizer once.
 
 Defined results: a null or empty text is the end token alone; rows that share a doc_id, or have none, are documents of
@@ -45,16 +45,22 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[0x21:0x7F] = 1
 _KIND[0xC3:0xE0] = 1
 _KIND[0x80:0xC0] = 2
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_STOP = np.zeros(256, bool)
+_STOP[[*b".,;:!?"]] = True
 
 
 def chunk_starts(text: np.ndarray) -> np.ndarray:
-    """Where a text in UTF-8 may be cut without a change of its ids."""
+    """Where a text in UTF-8 may be cut without a change of its ids, in no order."""
     at = np.flatnonzero((text == 0x20) | (text == 0x0A))
     at = at[(at > 1) & (at + 1 < len(text))]
     kind, before = _KIND[text], _KIND[text[at - 1]]
     two_bytes = (before == 2) & (text[at - 2] >= 0xC3) & (text[at - 2] < 0xE0)
     left = ((before == 1) & (text[at - 1] < 0x80)) | two_bytes
-    return at[left & (kind[at + 1] == 1)]
+    stop = np.flatnonzero(_STOP[text])
+    stop = stop[stop > 0]
+    return np.concatenate([at[left & (kind[at + 1] == 1)], stop[_LETTER[text[stop - 1]]]])
 
 
 class Encoder:
@@ -80,7 +86,7 @@ class Encoder:
         chunks = coded.dictionary.to_pylist()
         lists = [self.known.get(c) for c in chunks]
         new = [i for i, x in enumerate(lists) if x is None]
-        found = self.tokenizer.encode_batch([chunks[i].decode("utf-8", "surrogatepass") for i in new], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([chunks[i].decode("utf-8", "surrogatepass") for i in new], add_special_tokens=False)
         for i, e in zip(new, found, strict=True):
             lists[i] = e.ids
             if len(self.known) < KNOWN:
