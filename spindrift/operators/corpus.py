@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import characters
+from ..functions.unigram import WORD_BEGIN
 from ..plans.scratch import checkpointed
 
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """`rows` with place, their number from 0 on in the order of the given columns.
 
@@ -32,14 +35,9 @@ def unique_lines(lines: DataFrame, text: str = "text") -> DataFrame:
     return lines.agg(F.count("*").alias("lines"), F.count_distinct(text).alias("unique_lines"))
 
 
-#: Fixed: the mark of a piece that begins a word.
-WORD_BEGIN = "▁"
-
-
 def is_latin(piece: Column) -> Column:
-    """Latin letters, digits and punctuation only, after the mark."""
-    body = F.ltrim(piece, F.lit(WORD_BEGIN))
-    return body.rlike(r"^[\x00-\x7f\p{IsLatin}]*\z")
+    """ASCII and Latin characters only, after the mark, by category and name."""
+    return F.ltrim(piece, F.lit(WORD_BEGIN)).rlike(rf"^{characters.latin()}*\z")
 
 
 def keep_set(vocab: DataFrame, special: list[str], mode: str, used: DataFrame | None = None, floor: int = 3) -> DataFrame:
@@ -51,7 +49,7 @@ def keep_set(vocab: DataFrame, special: list[str], mode: str, used: DataFrame |
         raise ValueError("corpus mode needs a corpus")
     piece = F.col("piece")
     body = F.ltrim(piece, F.lit(WORD_BEGIN))
-    safe = (body == "") | body.rlike(r"(?U)^\d+\z") | ((F.length(body) <= floor) & is_latin(piece))
+    safe = (body == "") | body.rlike(rf"^{characters.digit()}+\z") | ((F.length(body) <= floor) & is_latin(piece))
     kept = vocab.where(piece.isin(special) | safe | (is_latin(piece) if mode == "latin" else F.lit(False))).select("piece")
     if mode == "corpus":
         kept = kept.union(vocab.join(used.select("piece").distinct(), "piece", "left_semi").select("piece"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .functions import wordpiece
 from .functions.expr import ENTITY, empty
 from .functions.labels import BIO, label_table, title
 from .functions.patterns import not_blank
-from .operators import chunking, corpus, evaluation, generator, spans, stats
+from .operators import chunking, corpus, evaluation, generator, segmentation, spans, stats
 from .operators.classify import marker_classifier, rule_classifier, structured_classifier
 from .plans import browser, pipeline, scratch, variants
 from .plans.options import Options
@@ -365,6 +367,51 @@ def divergence_sample(spark, sf_dir) -> DataFrame:
     return evaluation.divergence(pairs).crossJoin(pairs.agg(F.count("*").alias("lines")))  # one row each
 
 
+#: Pieces and ranks of a public vocabulary, which stand for a Unigram model's: the weight of a rank is 1 / (rank + 10).
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def tokenizer_file(spark) -> str:
+    """The vocabulary as a tokenizer's JSON file."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_unknown(i))]
+    special = [model.id_to_piece(i) for i in ids if model.is_control(i)]
+    scores = [0.0] + [-math.log(10 - model.get_score(i)) for i in ids]
+    text = segmentation.unigram_json(["<unk>"] + [model.id_to_piece(i) for i in ids], scores, 0, ["<unk>", *special])
+    path = scratch.new_path(spark, "tokenizer")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def unigram_pieces(spark, sf_dir) -> DataFrame:
+    """The pieces that the tokenizer emits over all documents."""
+    return segmentation.emitted_pieces(documents(spark, sf_dir), readers.read_tokenizer(spark, tokenizer_file(spark)), 0)
+
+
+def _pruned(spark, sf_dir) -> tuple[str, str, DataFrame]:
+    """(tokenizer's path, pruned tokenizer's path, mapping): pieces that the tokenizer emits over benchmark stay, and the safe ones."""
+    source, out = tokenizer_file(spark), scratch.new_path(spark, "pruned")
+    vocab = readers.read_tokenizer(spark, source)
+    used = segmentation.emitted_pieces(table(spark, sf_dir, "benchmark"), vocab, 0)
+    return source, out, segmentation.rewrite_tokenizer(spark, source, out, corpus.keep_set(vocab, ["<unk>", "<s>", "</s>"], "corpus", used))
+
+
+def pruned_tokenizer(spark, sf_dir) -> DataFrame:
+    """The pruned tokenizer's file, read back, with the ids that its pieces had before."""
+    _, out, mapping = _pruned(spark, sf_dir)
+    return readers.read_tokenizer(spark, out).join(mapping.select("piece", "old_id"), "piece").select("id", "piece", "score", "old_id")
+
+
+def unigram_divergence(spark, sf_dir) -> DataFrame:
+    """How many of all lines of more than 20 characters the pruned tokenizer segments in another way."""
+    source, out, mapping = _pruned(spark, sf_dir)
+    rows = documents(spark, sf_dir).select(F.explode(F.split("text", "\n", -1)).alias("text")).where(F.length(F.trim("text")) > 20)
+    unknown = mapping.where("old_id = 0").first().new_id
+    return segmentation.divergence(rows, readers.read_tokenizer(spark, source), readers.read_tokenizer(spark, out), mapping, (0, unknown))
+
+
 def alias_chains(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "customer").where("c_custkey > 0 AND c_custkey % 10 <> 1").select(F.col("c_custkey").alias("alias"), (F.col("c_custkey") - 1).alias("target"))
     return corpus.resolve_aliases(rows)
@@ -413,6 +460,7 @@ QUERIES = {
     "export_csv_browser": _exported("csv", "browser"), "export_json": export_json, "span_scores": span_scores, "span_fidelity": span_fidelity,
     "bio_decode": bio_decode, "bio_decode_arrays": bio_decode_arrays, "bio_encode": bio_encode, "highlight_segments": highlight_segments,
     "distinct_texts": distinct_texts, "upload_lines": upload_lines, "pasted_lines": pasted_lines, "pasted_csv": pasted_csv, "corpus_lines": corpus_lines, "file_lines": file_lines, "corpus_head": corpus_head,
-    "vocabulary_trim": vocabulary_trim, "vocabulary_latin": vocabulary_latin, "translated_ids": translated_ids, "added_tokens": added_tokens, "divergence_sample": divergence_sample, "alias_chains": alias_chains,
+    "vocabulary_trim": vocabulary_trim, "vocabulary_latin": vocabulary_latin, "translated_ids": translated_ids, "added_tokens": added_tokens, "divergence_sample": divergence_sample, "unigram_pieces": unigram_pieces,
+    "pruned_tokenizer": pruned_tokenizer, "unigram_divergence": unigram_divergence, "alias_chains": alias_chains,
     "reached_names": reached_names, "dev_split": dev_split, "wordpiece_ids": wordpiece_ids, "streamed_entities": streamed_entities,
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,9 +119,16 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tokenizer(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece, score) of a tokenizer's JSON file."""
-    rows = spark.read.schema("model struct<vocab:array<array<string>>>").json(path, multiLine=True)
-    return rows.select(F.posexplode("model.vocab").alias("id", "entry")).select("id", F.col("entry")[0].alias("piece"), F.col("entry")[1].cast("double").alias("score"))
+    """(id, piece, score) of a tokenizer's JSON file; a task reads it, as one value."""
+
+    def entries(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                pieces, scores = zip(*json.loads(text)["model"]["vocab"], strict=True)
+                ids = pa.array(range(len(pieces)), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(pieces), pa.array(map(float, scores), pa.float64())], ["id", "piece", "score"])
+
+    return spark.read.text(path, wholetext=True).mapInArrow(entries, "id int, piece string, score double")
 
 
 def folder_mb(spark: SparkSession, path: str) -> DataFrame:
