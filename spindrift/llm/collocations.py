@@ -6,9 +6,10 @@ what pieces end with. Chains of edges that carry all the flow of the nodes betwe
 count of a shorter phrase is then the flow that leaves its nodes plus the piece ends that begin with it, that is the sum
 of all paths' places and of all ends of which it is a prefix.
 
-Before edges are counted, pieces are cut between words whose pair is too rare: a phrase that occurs `min_count` times has
-only pairs that do, so no count that matters changes. The pairs stand in a bitmap of fixed size, made by Spark; its false
-hits only keep more of the text, and all counts are of the words themselves.
+Before edges are counted, rare words are told, then rare pairs of other words, then rare triples of other pairs, and a run
+ends where it would take one in: a phrase that occurs `min_count` times has only words, pairs and triples that do, so no count
+that matters changes. The others stand in bitmaps of fixed size, made by Spark; their false hits only keep more of the text,
+and all counts are of the words themselves.
 
 Scores are exact: decimals of 38 digits hold 1000 * a * n for counts up to 10^17. A longer candidate with the same count
 implies one that is a single word longer, so only those are looked up.
@@ -32,6 +33,8 @@ from .common import stored, table
 
 #: Words of an edge; a node has one less.
 LONGEST = 5
+#: Up to so many words, rare runs are told before edges are counted.
+PRUNED = 3
 #: Bytes of text that a task lays out at once, and distinct keys that it holds before it sends them.
 GROUP, HELD = 1 << 20, 1_500_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -75,6 +78,22 @@ class Words:
             total += self.hash[at + j] * factors[j + 1]
         return mix(total + U(many))
 
+    def often(self, bitmaps: list) -> list[np.ndarray]:
+        """For each of the bitmaps, of runs of 1, 2, ... words: whether a run that may be frequent starts at each word."""
+        out = []
+        for many, bitmap in enumerate(bitmaps, 1):
+            at, hit = self.candidates(out), np.zeros(len(self.hash), bool)
+            hit[at[bitmap(self.keys(at, many))]] = True
+            out.append(hit)
+        return out
+
+    def candidates(self, often: list[np.ndarray]) -> np.ndarray:
+        """Where a run one word longer starts that has only such runs in it."""
+        if not often:
+            return np.arange(len(self.hash))
+        both = often[-1][:-1] & often[-1][1:]
+        return np.flatnonzero(both & self.joined[:-1] if len(often) == 1 else both)
+
     def phrases(self, at: np.ndarray, many: np.ndarray) -> pa.Array:
         lens = self.stop[at + many - 1] - self.start[at]
         ends = np.cumsum(lens)
@@ -98,61 +117,71 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[begin], np.add.reduceat(n, begin) if len(begin) else n
 
 
-def word_and_pair_counts(batches):
-    """(key, n) of words and pairs of words, summed up as far as a task's memory goes."""
-    keys, counts, held = [], [], 0
+def counted(bitmaps: list):
+    """A function from batches of texts to (key, n) of runs one word longer than those of the bitmaps, summed up as far as a
+    task's memory goes."""
+
+    def count(batches):
+        keys, counts, held = [], [], 0
 
-    def sent():
-        key, n = summed(keys, counts)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+        def sent():
+            key, n = summed(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    for words, _ in word_groups(batches):
-        for at, many in ((np.arange(len(words.hash)), 1), (np.flatnonzero(words.joined), 2)):
-            key, n = np.unique(words.keys(at, many), return_counts=True)
+        for words, _ in word_groups(batches):
+            at = words.candidates(words.often(bitmaps))
+            key, n = np.unique(words.keys(at, len(bitmaps) + 1), return_counts=True)
             keys.append(key)
             counts.append(n)
             held += len(key)
-        if held > HELD:
-            keys[:], counts[:] = zip(summed(keys, counts), strict=True)
-            held = len(keys[0])
-            if held > HELD // 2:
-                yield sent()
-                keys, counts, held = [], [], 0
-    if held:
-        yield sent()
-
-
-def frequent_bits(rows: DataFrame, min_count: int, bits: int) -> np.ndarray:
-    """A bitmap of 2^bits places, a row of 64 places at a time, with the leading bits of all keys that occur often enough."""
+            if held > HELD:
+                keys[:], counts[:] = zip(summed(keys, counts), strict=True)
+                held = len(keys[0])
+                if held > HELD // 2:
+                    yield sent()
+                    keys, counts, held = [], [], 0
+        if held:
+            yield sent()
+
+    return count
+
+
+class Bitmap:
+    """Whether a key may be one of those that occur often."""
+
+    def __init__(self, sent, bits: int):
+        self.sent, self.bits = sent, bits
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        place = key >> U(64 - self.bits)
+        return (self.sent.value[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) > 0
+
+
+def frequent(texts: DataFrame, shorter: list[Bitmap], min_count: int, bits: int) -> Bitmap:
+    """The runs one word longer than those of `shorter` that occur often enough, by the leading bits of their keys: 2^bits
+    places, 64 in a row."""
+    rows = texts.mapInArrow(counted(shorter), "key long, n long")
     often = rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     place = F.shiftrightunsigned("key", 64 - bits)
     slots = often.select(F.shiftrightunsigned(place, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))").alias("bit"))
     found = slots.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^(bits - 6) rows at most
     out = np.zeros(1 << max(bits - 6, 0), np.int64)
     out[found["slot"].to_numpy()] = found["bits"].to_numpy()
-    return out.view(U)
-
+    return Bitmap(texts.sparkSession.sparkContext.broadcast(out.view(U)), bits)
 
-def longest_runs(texts: DataFrame, bitmap, bits: int) -> DataFrame:
-    """(lang, m, phrase, n): the longest run of frequent pairs, of m words, that starts at each word, summed up by task; m = 0
-    has all words of a language. Runs of LONGEST words are edges, shorter ones are what pieces end with."""
 
-    def known(key: np.ndarray) -> np.ndarray:
-        place = key >> U(64 - bits)
-        return (bitmap.value[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) > 0
+def longest_runs(texts: DataFrame, bitmaps: list[Bitmap]) -> DataFrame:
+    """(lang, m, phrase, n): the longest run of which all parts may be frequent, of m words, that starts at each word; m = 0 has
+    all words of a language. Runs of LONGEST words are edges, shorter ones are what pieces end with."""
 
     def count(batches):
         for words, langs in word_groups(batches):
             size = len(words.hash)
-            pairs = np.flatnonzero(words.joined)
-            tied = np.zeros(size + LONGEST, bool)
-            tied[pairs[known(words.keys(pairs, 2))]] = True
-            many, going = np.ones(size, np.int64), np.ones(size, bool)
-            for j in range(LONGEST - 1):
-                going &= tied[j : j + size]
+            often = words.often(bitmaps)
+            many, going = sum(x.astype(np.int64) for x in often), often[-1]
+            for _ in range(LONGEST - len(bitmaps)):
+                going = np.append(going[:-1] & going[1:], np.zeros(min(size, 1), bool)) & often[-1]
                 many += going
-            single = np.flatnonzero(many == 1)
-            many[single[~known(words.keys(single, 1))]] = 0
             key = np.zeros(size, U)
             for m in range(1, LONGEST + 1):
                 mine = np.flatnonzero(many == m)
@@ -209,8 +238,10 @@ def unary_paths(runs: DataFrame, min_count: int) -> DataFrame:
 def phrase_counts(texts: DataFrame, min_count: int = 100, bits: int = 27) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, m, n) of all phrases of up to five words that occur `min_count` times, (lang, n) of all words), stored."""
     texts = texts.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bitmap = frequent_bits(texts.mapInArrow(word_and_pair_counts, "key long, n long"), min_count, bits)
-    runs = longest_runs(texts, texts.sparkSession.sparkContext.broadcast(bitmap), bits)
+    bitmaps: list[Bitmap] = []
+    for _ in range(PRUNED):
+        bitmaps.append(frequent(texts, bitmaps, min_count, bits))
+    runs = longest_runs(texts, bitmaps)
     paths = unary_paths(runs, min_count)
     words, size = F.split("phrase", " "), F.size(F.split("phrase", " "))
     # Where a run starts, with its words: each edge of a path, and each other run.
