@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 
 #: Bits of a code point.
 CODE = 21
@@ -14,6 +17,19 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), lens
 
 
+def ragged(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows `which` of rows of given sizes that lie one after another, and their sizes."""
+    many = sizes[which]
+    ends = np.cumsum(many)
+    return values[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - many), many) + np.arange(many.sum())], many
+
+
+def each_distinct(encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all words one after another, numbers of each word), each distinct word encoded once."""
+    coded = words.dictionary_encode()
+    return ragged(*encode(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+
+
 class Trie:
     """Strings as paths of code points from node 0. An edge is one number, parent node and code point; all edges are sorted,
     and the edge at place i leads to node i + 1, since nodes are numbered level by level."""

@@ -63,11 +63,11 @@ def bio_encode(tokens: Column, spans: Column) -> Column:
     return F.transform(tokens, code)
 
 
-def bio_decode(tokens: Column, codes: Column, scores_: Column | None = None) -> Column:
-    """array<struct<start, end, label, score>> from tokens and BIO ids. A span opens at B, after O and where the label
+def bio_decode(tokens: Column, codes: Column, scores_: Column | None = None, bio: list[str] = BIO) -> Column:
+    """array<struct<start, end, label, score>> from tokens and places in the list of BIO names. A span opens at B, after O and where the label
     changes; its score is its tokens' least."""
     kind = "struct<start:int,end:int,label:string,score:double>"
-    names = F.array(*[F.lit(x) for x in BIO])
+    names = F.array(*[F.lit(x) for x in bio])
     given = scores_ if scores_ is not None else F.transform(tokens, lambda t: F.lit(1.0))
     items = F.zip_with(F.zip_with(tokens, codes, lambda t, c: row(t=t, c=c)), given, lambda x, s: row(start=x["t"]["start"], end=x["t"]["end"], name=F.get(names, x["c"]), score=s))
     items = F.filter(items, lambda x: (x["start"] != x["end"]) & x["name"].isNotNull())

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.trie import each_distinct
 from ..functions.unigram import WORD_BEGIN, Unigram
 from ..sources.readers import read_tokenizer
 from .corpus import renumber, renumber_added
@@ -45,21 +46,10 @@ def marked(words: list[str]) -> list[str]:
     return [WORD_BEGIN + unicodedata.normalize("NFKC", w or "") for w in words]
 
 
-def ragged(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows `which` of rows of given sizes that lie one after another, and their sizes."""
-    many = sizes[which]
-    ends = np.cumsum(many)
-    return values[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - many), many) + np.arange(many.sum())], many
-
-
 def each_word(encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of all rows one after another, numbers of each row) of rows of words, each distinct word encoded once."""
-    coded = words.flatten().dictionary_encode()
-    values, sizes = encode(coded.dictionary.to_pylist())
-    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    out, many = ragged(values, sizes, which)
-    in_row = np.fromiter((len(x) if x is not None else 0 for x in words.to_pylist()), np.int64, len(words)) if words.null_count else np.diff(words.offsets.to_numpy())
-    total = np.append(0, np.cumsum(many))[np.append(0, np.cumsum(in_row))]
+    out, many = each_distinct(encode, words.flatten())
+    total = np.append(0, np.cumsum(many))[words.offsets.to_numpy() - words.offsets[0].as_py()]
     return out, np.diff(total)
 
 

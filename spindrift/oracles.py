@@ -285,6 +285,10 @@ SELECT doc_id, count(*) AS rows, sum(length(line))::BIGINT AS characters FROM tr
     "corpus_lines": """
 WITH lines AS (SELECT trim(unnest(string_split(text, chr(10))), concat(' ', chr(9), chr(11), chr(12), chr(13), chr(160))) AS line FROM documents)
 SELECT count(*) AS lines, count(DISTINCT line) AS unique_lines FROM lines WHERE length(line) > 15 AND length(line) < 600""",
+    "dictionary_spans": """
+WITH words AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark), texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, word, ((length(text) - length(replace(text, word, ''))) // length(word))::BIGINT AS spans
+FROM texts, words WHERE length(word) > 3 AND contains(text, word)""",
     "file_lines": rf"""
 WITH ordered AS (
   SELECT lang, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from .functions import wordpiece
 from .functions.expr import ENTITY, empty
 from .functions.labels import BIO, label_table, title
 from .functions.patterns import not_blank
-from .operators import chunking, corpus, evaluation, generator, segmentation, spans, stats
+from .operators import chunking, classify, corpus, evaluation, generator, segmentation, spans, stats, teacher, token_model
 from .operators.classify import marker_classifier, rule_classifier, structured_classifier
 from .plans import browser, pipeline, scratch, variants
 from .plans.options import Options
@@ -438,6 +439,78 @@ def wordpiece_ids(spark, sf_dir) -> DataFrame:
     return wordpiece.encode(turns, vocab, more=known)
 
 
+def sentence_vocabulary(sentences: DataFrame) -> DataFrame:
+    """(token, id): special tokens, letters and digits alone and going on, and all words of letters in the sentences."""
+    fixed = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *[f"{p}{c}" for p in ("", "##") for c in "abcdefghijklmnopqrstuvwxyz0123456789.,;:+@-_"]]
+    words = sentences.select(F.explode(wordpiece.words_of(F.lower("text"))).alias("w")).select(F.col("w.text").alias("token"))
+    words = corpus.numbered(words.where(F.col("token").rlike("^[a-z]{2,}$")).distinct(), "token")
+    first = sentences.sparkSession.createDataFrame(list(enumerate(fixed)), "id int, token string")
+    return first.select("token", "id").union(words.select("token", (F.col("place") + len(fixed)).cast("int")))
+
+
+def _tagged(spark, sf_dir):
+    """(pieces, model): a tagger trained on a sentence for each customer."""
+    gold = gold_documents(spark, sf_dir)
+    pieces = wordpiece.load_wordpieces(sentence_vocabulary(gold))
+    return pieces, token_model.trained_tagger(gold, pieces)
+
+
+def order_sentences(spark, sf_dir) -> DataFrame:
+    """A sentence for each order, of draws that no customer's has."""
+    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + (1 << 40)).alias("key"))
+    return scratch.checkpointed(generator.gold_sentences(spread(keys), "key"))
+
+
+def analyze_tokens(spark, sf_dir) -> DataFrame:
+    """Entities of the orders' sentences by the trained token model and the browser's chain."""
+    out = token_model.analyze_tokens(order_sentences(spark, sf_dir).select("doc_id", "text"), *_tagged(spark, sf_dir), Options.browser(max_characters=None))
+    return pipeline.entity_rows(out, "doc_id")
+
+
+def token_scores(spark, sf_dir) -> DataFrame:
+    """What the token model finds in the orders' sentences, against what was filled in."""
+    gold = order_sentences(spark, sf_dir)
+    found_ = token_model.analyze_tokens(gold.select("doc_id", "text"), *_tagged(spark, sf_dir), Options.browser(max_characters=None))
+    return evaluation.scores(evaluation.span_keys(found_), evaluation.span_keys(gold))
+
+
+def dictionary_spans(spark, sf_dir) -> DataFrame:
+    """How often the words of benchmark, as long as a dictionary goes to a task, stand in each document."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("w")).where(F.length("w") > 3).distinct().collect()
+    find = classify.dictionary_classifier({r.w: r.w for r in words})
+    out = documents(spark, sf_dir).select("doc_id", F.explode(find(F.coalesce("text", F.lit("")))).alias("s"))
+    return out.groupBy("doc_id", F.col("s.label").alias("word")).agg(F.count("*").alias("spans"))
+
+
+def place_model():
+    """A teacher: a function that finds the generator's names and towns in a list of texts."""
+    from .functions.trie import Trie, code_points
+
+    names = [(w, "PER") for w in generator.FIRST + generator.LAST] + [(w, "LOC") for w in generator.POOLS["town"]]
+    trie = Trie([w for w, _ in names])
+
+    def predict(texts: list[str]) -> list[list[dict]]:
+        out = []
+        for text in texts:
+            codes, lens = code_points([text])
+            hits = sorted(zip(*[x.tolist() for x in trie.matches(codes, lens[0] - np.arange(lens[0]))], strict=True))
+            out.append([{"start": a, "end": a + n, "entity_group": names[w][1], "score": 0.8} for a, n, w in hits])
+        return out
+
+    return predict
+
+
+def teacher_rows(spark, sf_dir) -> DataFrame:
+    """Training rows: fitting lines of documents and sentences of customers, labelled by a teacher, verified, split and written;
+    read back as (part, rows, labelled), the rows and labelled entities of each part."""
+    lines_ = readers.corpus_lines(documents(spark, sf_dir).select(F.explode(F.split("text", "\n", -1)).alias("value")))
+    rows = lines_.union(gold_documents(spark, sf_dir).select("text").where(readers.fits_corpus(F.col("text"))))
+    out = scratch.new_path(spark, "teacher")
+    teacher.write_labelled(rows, classify.model_classifier(place_model), f"{out}/train", f"{out}/dev", options=WHOLE)
+    parts = [readers.read_jsonl(spark, f"{out}/{part}").withColumn("part", F.lit(part)) for part in ("train", "dev")]
+    return teacher.labelled(parts[0].union(parts[1]), "part")
+
+
 def streamed_entities(spark, sf_dir) -> DataFrame:
     """The entities of all documents, found by a stream that reads the table's files once."""
     docs = stream.read_documents(spark, f"{sf_dir}/documents.parque[t]")  # a pattern may also match a single file
@@ -463,4 +536,5 @@ QUERIES = {
     "vocabulary_trim": vocabulary_trim, "vocabulary_latin": vocabulary_latin, "translated_ids": translated_ids, "added_tokens": added_tokens, "divergence_sample": divergence_sample, "unigram_pieces": unigram_pieces,
     "pruned_tokenizer": pruned_tokenizer, "unigram_divergence": unigram_divergence, "alias_chains": alias_chains,
     "reached_names": reached_names, "dev_split": dev_split, "wordpiece_ids": wordpiece_ids, "streamed_entities": streamed_entities,
+    "analyze_tokens": analyze_tokens, "token_scores": token_scores, "dictionary_spans": dictionary_spans, "teacher_rows": teacher_rows,
 }
