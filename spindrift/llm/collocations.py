@@ -33,6 +33,8 @@ from .common import stored, table
 
 #: Words of an edge; a node has one less.
 LONGEST = 5
+#: Bits of a key that are sent to be counted; keys that fall together only keep more of the text.
+KEY_BITS = 40
 #: Up to so many words, rare runs are told before edges are counted.
 PRUNED = 3
 #: Bytes of text that a task lays out at once, and distinct keys that it holds before it sends them.
@@ -130,7 +132,7 @@ def counted(bitmaps: list):
 
         for words, _ in word_groups(batches):
             at = words.candidates(words.often(bitmaps))
-            key, n = np.unique(words.keys(at, len(bitmaps) + 1), return_counts=True)
+            key, n = np.unique(words.keys(at, len(bitmaps) + 1) >> U(64 - KEY_BITS), return_counts=True)
             keys.append(key)
             counts.append(n)
             held += len(key)
@@ -162,8 +164,8 @@ def frequent(texts: DataFrame, shorter: list[Bitmap], min_count: int, bits: int)
     places, 64 in a row."""
     rows = texts.mapInArrow(counted(shorter), "key long, n long")
     often = rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    place = F.shiftrightunsigned("key", 64 - bits)
-    slots = often.select(F.shiftrightunsigned(place, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))").alias("bit"))
+    place = F.shiftrightunsigned("key", KEY_BITS - bits)
+    slots = often.select(F.shiftrightunsigned(place, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {KEY_BITS - bits}) & 63 as int))").alias("bit"))
     found = slots.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^(bits - 6) rows at most
     out = np.zeros(1 << max(bits - 6, 0), np.int64)
     out[found["slot"].to_numpy()] = found["bits"].to_numpy()
