@@ -9,8 +9,8 @@ perm is a swap-or-not shuffle of the source's block numbers, and blocks are join
 blocks start another pass, so no block is read more often than ceil(target / size) times.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; a null doc_id is a document
-of its source like any other; rows that share doc_id and source are one document whose sizes add up (the text form
-keeps their rows apart); sources of size 0 get the target 0; an empty table gives an empty result; long texts are taken
+of its source like any other; each row is packed by itself, equal rows as often as they stand there, and rows that share
+doc_id and source are one document whose sizes add up; sources of size 0 get the target 0; an empty table gives an empty result; long texts are taken
 whole, one row at a time; other columns are ignored.
 """
 
@@ -133,22 +133,37 @@ def draw_slots(sources: DataFrame, block_tokens: int, shard_blocks: int, seed: i
     )
 
 
+#: A row's identity: 128 bits of doc_id, source and text, and which of equal rows it is.
+ROW = ("h", "g", "copy")
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    said = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source"))))
+    return docs.select("doc_id", "source", "text", F.xxhash64(said, "text").alias("h"), F.xxhash64(F.lit("row"), "text", said).alias("g"))
+
+
+def row_sizes(docs: DataFrame) -> DataFrame:
+    """(h, g, doc_id, source, size, copies) of the distinct rows of docs, stored."""
+    units = row_keys(docs).groupBy("h", "g", "doc_id", "source").agg(F.max(size_of(F.col("text"))).alias("size"), F.count("*").alias("copies"))
+    return stored(units, "mix-rows")
+
+
 def block_spans(docs: DataFrame, sources: DataFrame, block_tokens: int) -> DataFrame:
-    """(doc_id, source, size, rank, block, from_word, n_words): which words of which document fill each block.
+    """(h, g, copy, doc_id, source, size, rank, block, from_word, n_words): which words of which row fill each block.
 
     Offsets are prefix sums in two levels, over some sqrt(rows) hash buckets and within a bucket, so that no
-    window holds a whole source. A document without words has one row with a null block.
+    window holds a whole source. A row without words has a null block.
     """
     rows = sources.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
     buckets = max(1, round(rows**0.5))
     base = docs.join(
         sources.select(F.col("source").alias("_source"), "rank"), F.col("source").eqNullSafe(F.col("_source"))
     ).drop("_source")
-    base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    base = base.withColumn("bucket", F.pmod(F.xxhash64(*ROW), F.lit(buckets)))
     sums = base.groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "bucket").orderBy(*ROW).rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["rank", "bucket"])
     base = base.withColumn("at", F.col("start") + F.col("before"))
     end = F.col("at") + F.col("size")
@@ -157,49 +172,60 @@ def block_spans(docs: DataFrame, sources: DataFrame, block_tokens: int) -> DataF
     begin = F.greatest(F.col("block") * block_tokens, F.col("at"))
     stop = F.least((F.col("block") + 1) * block_tokens, end)
     return spans.select(
-        "doc_id", "source", "size", "rank", "block", (begin - F.col("at")).alias("from_word"), (stop - begin).alias("n_words"),
+        *ROW, "doc_id", "source", "size", "rank", "block", (begin - F.col("at")).alias("from_word"), (stop - begin).alias("n_words"),
         F.col("block").isNull().alias("bare"), begin.alias("position"),
     )
 
 
-def mix_sources(
-    docs: DataFrame, weights=(1, 2, 3), share=1.0, cap=3.0, block_tokens=128, shard_blocks=4096, seed=20
+def mix_sources(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, spans, slots): targets by source, the rows' words by block, and the reads that make up the mix."""
+    return mix_rows(row_sizes(docs), **options)
+
+
+def mix_rows(
+    units: DataFrame, weights=(1, 2, 3), share=1.0, cap=3.0, block_tokens=128, shard_blocks=4096, seed=20
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sources, spans, slots): targets by source, the documents' words by block, and the reads that make up the mix."""
-    sizes = docs.groupBy("doc_id", "source").agg(F.sum(size_of(F.col("text"))).alias("size"))
-    sizes = stored(sizes, "mix-sizes")
-    sources = stored(source_targets(sizes, weights, share, cap), "mix-sources")
-    return sources, block_spans(sizes, sources, block_tokens), draw_slots(sources, block_tokens, shard_blocks, seed)
-
-
-def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: (shard, slot, source, pass, block, n_words, doc_ids, text), one row a slot; words are joined by a space."""
-    sources, spans, slots = mix_sources(docs, **options)
-    spans = spans.where(~F.col("bare"))
-    texts = docs.select("doc_id", "source", "text")
-    if not docs.groupBy("doc_id", "source").count().where("count > 1").isEmpty():  # one document each
-        texts = texts.groupBy("doc_id", "source").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
-    # Texts move as they are; their words are told apart where they meet their parts.
-    words = texts.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text").alias("_text"))
-    per_doc = spans.groupBy("doc_id", "source").agg(F.collect_list(F.struct("rank", "block", "position", "from_word", "n_words")).alias("parts"))
-    pieces = per_doc.join(words, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    cut = let(F.regexp_extract_all("_text", F.lit(f"({WORD})"), F.lit(1)), lambda w: F.transform(
-        "parts",
-        lambda p: F.struct(
-            p["rank"].alias("rank"), p["block"].alias("block"), p["position"].alias("position"), p["n_words"].alias("n_words"),
-            F.array_join(F.slice(w, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), " ").alias("text"),
-        ),
-    ))
-    pieces = pieces.select("doc_id", "source", F.inline(cut))
-    # Grouped by the key of the join below, so that the blocks' text moves once.
-    blocks = pieces.groupBy("rank", "block").agg(
-        F.array_sort(F.collect_list(F.struct("position", "doc_id", "n_words", "text"))).alias("p"), F.first("source").alias("source")
+    """The same of what row_sizes gives."""
+    rows = units.select("h", "g", "doc_id", "source", "size", F.explode(F.expr("sequence(1, copies)")).alias("copy"))
+    sources = stored(source_targets(rows, weights, share, cap), "mix-sources")
+    return sources, block_spans(rows, sources, block_tokens), draw_slots(sources, block_tokens, shard_blocks, seed)
+
+
+def mixed_blocks(docs: DataFrame, block_tokens: int = 128, **options) -> DataFrame:
+    """The mix itself: (shard, slot, source, pass, block, n_words, doc_ids, text), one row a slot; words are joined by a space.
+
+    Each row of docs is packed by itself, so rows that share a doc_id or have none are never gathered. A text moves once, to
+    what is read of it; a block within one text is then whole, and only the others' parts, at the ends of texts, meet."""
+    units = row_sizes(docs)
+    sources, spans, slots = mix_rows(units, block_tokens=block_tokens, **options)
+
+    # A block is read once a pass, so its list of reads is as short as a source may be repeated.
+    reads = slots.groupBy("rank", "block").agg(F.collect_list(F.struct("shard", "slot", "pass")).alias("reads"))
+    spans = spans.where(~F.col("bare")).join(sources.select("rank", "source_size"), "rank")
+    full = F.least(F.lit(block_tokens), F.col("source_size") - F.col("block") * block_tokens)
+    parts = spans.join(reads.hint("merge"), ["rank", "block"]).withColumn("alone", F.col("n_words") == full)
+    parts = stored(parts.select(*ROW, "doc_id", "source", "rank", "block", "position", "from_word", "n_words", "alone", "reads"), "mix-parts")
+    texts = row_keys(docs).select("h", "g", F.col("text").alias("_text"))
+    if not units.where("copies > 1").isEmpty():
+        texts = texts.groupBy("h", "g").agg(F.first("_text").alias("_text"))
+
+    def pieces(some: DataFrame) -> DataFrame:
+        fields = ("rank", "block", "position", "from_word", "n_words", "reads")
+        each = some.groupBy(*ROW, "doc_id", "source").agg(F.collect_list(F.struct(*fields)).alias("parts")).join(texts.hint("merge"), ["h", "g"])
+        words = lambda w, p: F.array_join(F.slice(w, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), " ")
+        cut = let(F.regexp_extract_all("_text", F.lit(f"({WORD})"), F.lit(1)), lambda w: F.transform(
+            "parts", lambda p: F.struct(*[p[f].alias(f) for f in fields if f != "from_word"], words(w, p).alias("text"))))
+        return each.select("doc_id", "source", F.inline(cut))
+
+    whole = pieces(parts.where("alone")).select("source", "block", "n_words", F.array("doc_id").alias("doc_ids"), "text", "reads")
+    ends = pieces(parts.where("NOT alone")).groupBy("rank", "block").agg(
+        F.array_sort(F.collect_list(F.struct("position", "doc_id", "n_words", "text"))).alias("p"), F.first("source").alias("source"), F.first("reads").alias("reads")
     )
-    blocks = blocks.select(
-        "rank", "block", "source", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n_words"]).alias("n_words"),
-        F.col("p.doc_id").alias("doc_ids"), F.array_join("p.text", " ").alias("text"),
+    met = ends.select(
+        "source", "block", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n_words"]).alias("n_words"), F.col("p.doc_id").alias("doc_ids"),
+        F.array_join("p.text", " ").alias("text"), "reads",
     )
-    out = slots.join(blocks.hint("merge"), ["rank", "block"])
+    out = whole.unionByName(met).select("source", "block", "n_words", "doc_ids", "text", F.inline("reads"))
     return out.select("shard", "slot", "source", "pass", "block", "n_words", "doc_ids", "text")
 
 
@@ -208,8 +234,8 @@ def op4_mixing(spark, sf_dir) -> DataFrame:
     sources, spans, slots = mix_sources(docs)
     times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
     # Spark guesses the size of times from that of the few source rows it unfolds from, and would broadcast it.
-    taken = spans.join(times.hint("merge"), ["rank", "block"], "left").groupBy("doc_id", "rank", "size").agg(
-        F.coalesce(F.sum(F.col("n_words") * F.col("times")), F.lit(0)).alias("taken")
+    taken = spans.join(times.hint("merge"), ["rank", "block"], "left").groupBy("doc_id", "rank").agg(
+        F.coalesce(F.sum("n_words"), F.lit(0)).alias("size"), F.coalesce(F.sum(F.col("n_words") * F.col("times")), F.lit(0)).alias("taken")
     )
     return taken.join(sources.select("rank", "source_size", "target"), "rank").select(
         "doc_id", "size", "source_size", "target", "taken"
