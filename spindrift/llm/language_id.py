@@ -155,8 +155,10 @@ class Models:
             if n > 1:
                 self.heads[n], self.back[n] = heads, np.log(back).astype(np.float32)
             below = prob
-        # Of the standard for rejection: mean, variance of all lengths, variance of one character, standard deviations allowed.
-        self.standard = np.tile(np.array([0.0, 0.0, 1.0, np.inf]), (size, 1))
+        # Of the standard for rejection: mean, variance of all lengths, variance of one character, standard deviations allowed,
+        # and the most that is allowed at any length.
+        self.standard = np.tile(np.array([0.0, 0.0, 1.0, np.inf, np.inf]), (size, 1))
+        self.standard[:, 4] = -self.unseen / 2
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log p of the last character of each 4-gram key given the others, by language."""
@@ -209,11 +211,12 @@ class Models:
         tail = base + (away[-tenth:] - base).mean() * np.log(max(1.0, tenth / len(away) / false_rejection))
         rank = int(np.ceil((len(away) + 1) * (1 - false_rejection)))
         normal = student_quantile(len(away) - 1, false_rejection) * np.sqrt(1 + 1 / len(away))
-        self.standard[language] = mean, common, single, max(tail, away[min(rank, len(away)) - 1], normal)
+        most = max(tail, away[min(rank, len(away)) - 1], normal)
+        self.standard[language] = mean, common, single, most, (mean - self.unseen[language]) / 2
 
     def rejected(self, language: np.ndarray, nats: np.ndarray, letters: np.ndarray) -> np.ndarray:
-        mean, common, single, most = self.standard[language].T
-        return (letters == 0) | (nats > mean + most * np.sqrt(common + single / np.maximum(letters, 1)))
+        mean, common, single, most, highest = self.standard[language].T
+        return (letters == 0) | (nats > np.minimum(highest, mean + most * np.sqrt(common + single / np.maximum(letters, 1))))
 
 
 def char_groups(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
@@ -223,7 +226,7 @@ def char_groups(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def train(
-    rows: DataFrame, sample_docs: int = 3000, sample_chars: int = 20_000_000, most_docs: int = 300_000, calibration: float = 1 / 3, false_rejection: float = 1e-6
+    rows: DataFrame, sample_docs: int = 3000, sample_chars: int = 20_000_000, most_docs: int = 300_000, calibration: float = 1 / 3, false_rejection: float = 1e-4
 ) -> Models | None:
     """The models from labelled rows (doc_id, text, lang); None if there are none."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +262,21 @@ def test_stages(spark, folder, rows, name):
             if len(hit) < 0.8 * max(1, len(w)):
                 want[i, tuple(x for k, x in enumerate(w) if k not in hit)] += 1
         assert Counter((i, tuple(find(t))) for i, t in texts.elements()) == want
+
+
+@pytest.mark.parametrize("docs_each", [40, 600])
+def test_unseen_writing_is_rejected(spark, docs_each):
+    """Whatever the language a text is taken for, and however few documents calibrated it: other alphabets and letters at
+    random go, documents of the language stay."""
+    rng = random.Random(docs_each)
+    grown = {k: ["".join(rng.choice(v.strip()) for _ in range(rng.randint(2, 7))) for _ in range(60)] for k, v in LETTERS.items()}
+    text = lambda k, n: " ".join(rng.choice(grown[k]) for _ in range(n))
+    rows = [(i, text(k, rng.randint(5, 60)), k) for i, k in enumerate(sorted(LETTERS) * docs_each)]
+    models = language_id.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = ["Всички хора се раждат свободни и равни", "Όλοι οι άνθρωποι", "人人生而自由在尊严和权利上", "qwk jhf gmp tlw"] + ["".join(rng.choice("бвгджзклм") for _ in range(n)) for n in (10, 100, 3000)]
+    for i in range(len(LETTERS)):
+        nats, letters = models.entropies(odd)
+        assert models.rejected(np.full(len(odd), i), nats[:, i], letters).all()
+    new = [(i, text(k, rng.randint(5, 60)), k) for i, k in enumerate(sorted(LETTERS) * 300)]
+    out = language_id.identify(spark.createDataFrame(new, "doc_id long, text string, lang string"), models).collect()
+    assert sum(r.rejected for r in out) <= 9 and all(r.lang_pred == k for r, (_, _, k) in zip(sorted(out), new, strict=True))
