@@ -37,6 +37,11 @@ def unicode_pattern(pattern: str, ignore_case: bool = False, profile: str = "ser
     return f"(?{'i' if ignore_case else ''}{'U' if profile == 'server' else ''})" * (ignore_case or profile == "server") + pattern
 
 
+MATCH = "struct<start:int,end:int,text:string>"
+#: Parts that one fold gathers; what a fold appends to is copied, so long texts are folded piece by piece.
+FOLD = 128
+
+
 def find_all(text: Column, pattern: str, keep=None, fence: str = f"{MARK}$0{MARK}") -> Column:
     """array<struct<start, end, text>> of the matches from left to right; offsets count code points.
 
@@ -44,16 +49,37 @@ def find_all(text: Column, pattern: str, keep=None, fence: str = f"{MARK}$0{MARK
     `keep(text, start)` leaves matches out before they are gathered; `fence` puts the marks around a part of the match."""
     plain = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "�")).otherwise(text)
     fenced = F.regexp_replace(plain, pattern, fence)
-    start = row(at=F.lit(0), odd=F.lit(False), out=empty("struct<start:int,end:int,text:string>"))
 
-    def add(a: Column, part: Column) -> Column:
-        end = a["at"] + F.length(part)
-        found = F.concat(a["out"], F.array(row(start=a["at"], end=end, text=part)))
-        wanted = a["odd"] if keep is None else a["odd"] & keep(part, a["at"])
-        return row(at=end, odd=~a["odd"], out=F.when(wanted, found).otherwise(a["out"]))
+    def gathered(parts: Column, begin: Column) -> Column:
+        """The matches among parts, of which the first is none and lies at `begin`."""
+
+        def add(a: Column, part: Column) -> Column:
+            end = a["at"] + F.length(part)
+            found = F.concat(a["out"], F.array(row(start=a["at"], end=end, text=part)))
+            wanted = a["odd"] if keep is None else a["odd"] & keep(part, a["at"])
+            return row(at=end, odd=~a["odd"], out=F.when(wanted, found).otherwise(a["out"]))
+
+        return F.aggregate(parts, row(at=begin, odd=F.lit(False), out=empty(MATCH)), add, lambda a: a["out"])
+
+    def blocks(p: Column) -> Column:
+        """Array of the parts, FOLD at a time."""
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / FOLD).cast("int")), lambda i: F.slice(p, i * FOLD + 1, FOLD))
+
+    def starts(lengths: Column) -> Column:
+        """Where each block begins: sums of the blocks before, within groups of FOLD blocks and over groups."""
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / FOLD).cast("int")), lambda i: F.slice(lengths, i * FOLD + 1, FOLD))
+        return F.aggregate(groups, row(at=F.lit(0), out=empty("array<int>")), lambda a, g: let(sums(g, a["at"]), lambda r: row(
+            at=F.element_at(r, -1), out=F.concat(a["out"], F.array(F.slice(r, 1, F.size(r) - 1))))), lambda a: F.flatten(a["out"]))
+
+    def sums(lengths: Column, begin: Column) -> Column:
+        return F.aggregate(lengths, F.array(begin), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def long(p: Column) -> Column:
+        lengths = lambda b: F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda n, part: n + F.length(part)))
+        return let(blocks(p), lambda b: F.flatten(F.zip_with(b, starts(lengths(b)), gathered)))
 
-    parts = F.split(fenced, MARK, -1)
-    return let(parts, lambda p: F.when(F.size(p) < 2, empty("struct<start:int,end:int,text:string>")).otherwise(F.aggregate(p, start, add, lambda a: a["out"])))
+    whole = lambda p: F.when(F.size(p) < 2, empty(MATCH)).when(F.size(p) <= 2 * FOLD, gathered(p, F.lit(0))).otherwise(long(p))
+    return let(F.split(fenced, MARK, -1), whole)
 
 
 def not_blank(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ENTITY, any_of, empty, let, overlaps, row
 from ..functions.labels import STRUCTURED, strip_bio
-from ..functions.patterns import PATTERNS, TRIM, all_space, find_all, unicode_pattern
+from ..functions.patterns import PATTERNS, SPACE, TRIM, all_space, find_all, unicode_pattern
 
 RULE_SCORE = 0.99
 ISLAND = "struct<start:int,end:int,label:string,score:double,pos:int>"
@@ -177,40 +177,113 @@ def verify(text: Column, entities: Column, recover: bool = True, profile: str =
 # One row a span: (doc_id, start, end, label, score, seq), for collections whose spans don't fit a row.
 
 
-def merge_island_rows(spans: DataFrame, max_gap: int = 1) -> DataFrame:
-    """(doc_id, label, start, end, score, pos): gaps and islands; without text, any gap of up to max_gap counts as space."""
+#: Characters of a bin: what windows hold at once is one bin of a document, beside one row for each of its bins.
+BIN = 4096
+
+
+def _bins(rows: DataFrame, at: str) -> DataFrame:
+    return rows.withColumn("_bin", F.floor(F.col(at) / BIN))
+
+
+def before(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """`rows` with out, the largest value of the rows of the same keys before each in `order`, of which the first column is a
+    place. Windows run over the bins' maxima and within bins, so no task sorts a whole document."""
+    rows = _bins(rows, order[0])
+    tops = rows.groupBy(*keys, "_bin").agg(F.max(value).alias("_top"))
+    over = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bin").alias("_of"), F.max("_top").over(over).alias("_earlier"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.withColumn("_inside", F.max(value).over(inside)).join(
+        tops, (F.col("_bin") == F.col("_of")) & F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys)), "left"
+    )
+    return met.withColumn(out, F.greatest("_earlier", "_inside")).drop("_bin", "_of", "_earlier", "_inside", "_top", *[f"_{k}" for k in keys])
+
+
+def after(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """`rows` with out, the first value that isn't null of the rows of the same keys behind each in `order`; by bins as `before`."""
+    rows = _bins(rows, order[0])
+    firsts = rows.where(F.col(value).isNotNull()).groupBy(*keys, "_bin").agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    bins = rows.select(*keys, "_bin").distinct().join(firsts, [*keys, "_bin"], "left")
+    over = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
+    bins = bins.select(*keys, "_bin", F.first("_first", ignorenulls=True).over(over).alias("_later"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    met = rows.withColumn("_inside", F.first(value, ignorenulls=True).over(inside)).join(bins, [*keys, "_bin"], "left")
+    return met.withColumn(out, F.coalesce("_inside", "_later")).drop("_bin", "_inside", "_later")
+
+
+def filled_before(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """`spans` with _at_start and _at_end: how many characters of their document's text that are no white space lie before
+    both. Texts (doc_id, text) are cut into bins, each row meets the two that it begins and ends in."""
+    n = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / BIN)
+    cells = texts.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), n), lambda i: F.substring(F.col("text"), (i * BIN + 1).cast("int"), F.lit(BIN)))).alias("_cell", "_piece"))
+    filled = lambda c: F.length(F.regexp_replace(c, rf"(?U){SPACE}", ""))
+    over = Window.partitionBy("doc_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_filled", filled(F.col("_piece")).cast("long"))
+    sums = cells.select("doc_id", "_cell", F.coalesce(F.sum("_filled").over(over), F.lit(0)).alias("_sum"))  # no text in the window
+    cells = cells.drop("_filled").join(sums, ["doc_id", "_cell"])
+    for place, name in (("start", "_at_start"), ("end", "_at_end")):
+        spans = spans.withColumn("_cell", F.floor(F.greatest(F.col(place) - 1, F.lit(0)) / BIN).cast("int")).join(cells, ["doc_id", "_cell"], "left")
+        inner = F.substring(F.col("_piece"), F.lit(1), (F.col(place) - F.col("_cell") * BIN).cast("int"))
+        spans = spans.withColumn(name, F.coalesce(F.col("_sum") + filled(inner), F.lit(0))).drop("_cell", "_piece", "_sum")
+    return spans
+
+
+def merge_island_rows(spans: DataFrame, max_gap: int = 1, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, label, start, end, score, pos): gaps and islands. With texts (doc_id, text) a gap must be white space and may be
+    longer before a span that is `continued` (a column of spans, if it has that); without, any gap of up to max_gap will do."""
     order = Window.partitionBy("doc_id", "label").orderBy("start", F.desc("score"), "seq")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(before.isNull() | (F.col("start") - before > max_gap), 1).otherwise(0)
-    numbered = spans.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if texts is None:
+        spans = spans.withColumns({"_at_start": F.lit(0), "_at_end": F.lit(0)})
+    else:
+        spans = filled_before(spans, texts)
+    reach = F.max(F.struct("end", "_at_end")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.col("start") - F.col("_reach.end")
+    near = gap <= max_gap
+    if texts is not None and "continued" in spans.columns:
+        near = near | F.coalesce("continued", F.lit(False))
+    joins = (gap <= 0) | (near & (F.col("_at_start") == F.col("_reach._at_end")))
+    spans = spans.withColumn("_reach", reach).withColumn("opens", F.when(F.col("_reach").isNull() | ~joins, 1).otherwise(0))
+    numbered = spans.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("doc_id", "label", "island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), F.min("seq").alias("pos")
     )
 
 
 def resolve_rows(spans: DataFrame) -> DataFrame:
-    """Greedy resolution of (doc_id, start, end, label, score, seq); a document's spans are gathered in its row."""
+    """Greedy resolution of (doc_id, start, end, label, score, seq). Spans that overlap, directly or by others, are gathered in
+    one row, and no others: a cluster begins where no earlier span of the document reaches."""
+    rows = before(spans, ["doc_id"], ["start", "end", "seq"], "end", "_reach")
+    rows = rows.withColumn("_begins", F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start")))
+    rows = before(rows, ["doc_id"], ["start", "end", "seq"], "_begins", "_cluster").withColumn("_cluster", F.coalesce("_begins", "_cluster"))
     items = F.collect_list(row(start=F.col("start"), end=F.col("end"), label=F.col("label"), score=F.col("score"), pos=F.col("seq")))
-    return spans.groupBy("doc_id").agg(items.alias("s")).select("doc_id", F.inline(resolve(F.col("s").cast(f"array<{ISLAND_ROW}>"), ISLAND_ROW)))
+    return rows.groupBy("doc_id", "_cluster").agg(items.alias("s")).select("doc_id", F.inline(resolve(F.col("s").cast(f"array<{ISLAND_ROW}>"), ISLAND_ROW)))
 
 
 def unmatched_rows(spans: DataFrame, matches: DataFrame) -> DataFrame:
-    """Spans that overlap no match of their document (anti join on the document with a range condition)."""
-    m = matches.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return spans.join(m, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
+    """Spans that overlap no match of their document. One does where the farthest end of the matches that begin before the
+    span's end lies behind its start; so no pairs are made."""
+    names = spans.columns
+    m = matches.where("doc_id IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL")
+    m = m.select("doc_id", F.col("start").alias("_place"), F.lit(1).alias("_kind"), F.col("end").alias("_match"))
+    own = spans.withColumns({"_place": F.col("end"), "_kind": F.lit(0)})
+    met = before(own.unionByName(m, allowMissingColumns=True), ["doc_id"], ["_place", "_kind"], "_match", "_far")
+    return met.where((F.col("_kind") == 0) & ~F.coalesce(F.col("_far") > F.col("start"), F.lit(False))).select(*names)
 
 
 def repair_rows(spans: DataFrame, matches: DataFrame) -> DataFrame:
-    """Spans with the bounds of the first match (by start) of their label that they overlap."""
-    m = matches.select(F.col("doc_id").alias("_d"), F.col("label").alias("_l"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    met = spans.join(
-        m, (F.col("doc_id") == F.col("_d")) & (F.col("label") == F.col("_l")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left"
-    )
-    own = F.min_by(F.struct("_s", "_e"), F.struct("_s", "_e"))
-    met = met.groupBy("doc_id", "start", "end", "label", "score", "seq").agg(F.when(F.count("_s") > 0, own).alias("m"))
-    hit = F.col("m").isNotNull()
+    """Spans with the bounds of the first match (by start, then end) of their label that they overlap.
+
+    A match that ends no later than one before it is never the first. The others' ends rise with their starts, so a span's
+    match is the next one that ends behind the span's start, if it begins before the span's end."""
+    keys = ["doc_id", "label"]
+    m = matches.where("doc_id IS NOT NULL AND label IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL").select(*keys, "start", "end")
+    m = before(m, keys, ["start", "end"], "end", "_far").where(F.col("_far").isNull() | (F.col("end") > F.col("_far")))
+    m = m.select(*keys, F.col("end").alias("_place"), F.lit(0).alias("_kind"), F.struct(F.col("start").alias("start"), F.col("end").alias("end")).alias("_match"))
+    own = spans.select("doc_id", "start", "end", "label", "score", "seq").distinct().withColumns({"_place": F.col("start"), "_kind": F.lit(1)})
+    met = after(own.unionByName(m, allowMissingColumns=True), keys, ["_place", "_kind"], "_match", "_next").where("_kind = 1")
+    hit = F.coalesce(F.col("_next.start") < F.col("end"), F.lit(False))
     return met.select(
-        "doc_id", "seq", F.coalesce("m._s", "start").alias("start"), F.coalesce("m._e", "end").alias("end"), "label",
+        "doc_id", "seq", F.when(hit, F.col("_next.start")).otherwise(F.col("start")).alias("start"), F.when(hit, F.col("_next.end")).otherwise(F.col("end")).alias("end"), "label",
         F.when(hit, F.greatest("score", F.lit(RULE_SCORE))).otherwise(F.col("score")).alias("score"), hit.alias("verified"),
     )
 

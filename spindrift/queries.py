@@ -170,6 +170,13 @@ def merge_islands(spark, sf_dir) -> DataFrame:
     return spans.merge_island_rows(line_spans(spark, sf_dir).drop("status")).select("doc_id", "label", "start", "end", "score", "pos")
 
 
+def text_islands(spark, sf_dir) -> DataFrame:
+    """The rule classifier's spans in all documents, one row each, joined where only white space parts them."""
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = scratch.checkpointed(docs.select("doc_id", F.inline(spans.normalise(F.col("text"), rule_classifier(F.col("text"))))))
+    return spans.merge_island_rows(rows, texts=docs).select("doc_id", "label", "start", "end", "score")
+
+
 def resolve_overlaps(spark, sf_dir) -> DataFrame:
     return spans.resolve_rows(line_spans(spark, sf_dir)).select("doc_id", "start", "end", "label", "score", "pos")
 
@@ -527,7 +534,7 @@ QUERIES = {
     "redact_pseudonym": _redacted("pseudonym"), "redact_min_sensitivity": _redacted("label", 5), "redact_mapping": redact_mapping,
     "clip_flags": clip_flags, "chunk_windows": chunk_windows, "batch_totals": batch_totals, "analyze_documents": analyze_documents,
     "analyze_conversations": analyze_conversations, "analyze_distinct_texts": analyze_distinct_texts, "analyze_browser": analyze_browser,
-    "analyze_gold": analyze_gold, "gold_scores": gold_scores, "variant_scores": variant_scores, "gold_sentences": gold_sentences, "markers": markers, "merge_islands": merge_islands,
+    "analyze_gold": analyze_gold, "gold_scores": gold_scores, "variant_scores": variant_scores, "gold_sentences": gold_sentences, "markers": markers, "merge_islands": merge_islands, "text_islands": text_islands,
     "resolve_overlaps": resolve_overlaps, "unmatched_spans": unmatched_spans, "repaired_spans": repaired_spans, "contained_spans": contained_spans,
     "deduped_spans": deduped_spans, "label_join": label_join, "export_rows": export_rows, "export_jsonl": _exported("jsonl"), "export_csv": _exported("csv"),
     "export_csv_browser": _exported("csv", "browser"), "export_json": export_json, "span_scores": span_scores, "span_fidelity": span_fidelity,
