@@ -388,10 +388,12 @@ def passages(docs: DataFrame) -> DataFrame:
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     docs = docs.select("doc_id", "text")
     again = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    version = F.lit(0).cast("long")
-    if not again.isEmpty():  # rows that share a doc_id are told apart by their texts
+    # Rows that share a doc_id are told apart by their texts; odd versions are those of rows without one.
+    version = F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseOR(F.lit(1)))
+    if not again.isEmpty():
         docs = docs.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-        version = F.when(F.col("_id").isNotNull() | F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(version)
+        version = version.when(F.col("_id").isNotNull(), F.xxhash64("text").bitwiseAND(F.lit(~1)))
+    version = version.otherwise(F.lit(0).cast("long"))
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), version.alias("version"), body.alias("body"))
     blocks = rows.mapInArrow(lambda b: anchor_blocks(b, buckets), "bucket int, kind byte, grams binary, rows binary")
     found = blocks.repartition(2 * parts, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_anchors, FOUND)
@@ -406,7 +408,7 @@ def passages(docs: DataFrame) -> DataFrame:
     spans = around.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(bucket_spans, SPANS)
     spans = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     return rows.hint("merge").join(spans.hint("merge"), key, "left").select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "body", "spans"
+        F.when((F.col("doc_id") != NO_ID) | (F.col("version").bitwiseAND(F.lit(1)) == 0), F.col("doc_id")).alias("doc_id"), "body", "spans"
     )
 
 

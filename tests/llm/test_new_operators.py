@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spindrift.llm import centroids, collocations, packing
+from spindrift.llm import centroids, collocations, packing, suffix_dedup
 from spindrift.llm.queries import QUERIES
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -233,3 +233,15 @@ def test_bounds_only_skip(spark):
     assert told < 1.5 * len(q)
     huge = np.array([[2**27 - 1] * 64, [-(2**27)] * 64])
     assert centroids.nearest(huge, centroids.to_pivots(huge, huge), huge[::-1], huge)[0].tolist() == [1, 0]
+
+
+# 9
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_largest_id_and_none(spark, repeated):
+    """The largest doc_id is an id like any other, beside rows without one."""
+    most, text = 2**63 - 1, "a passage of more than fifty bytes, which stands in several rows of the table"
+    rows = [(1, text), (most, "x" + text), (None, text + "y"), (None, "alone")] + [(most, "once more " + text), (None, text + "y")] * repeated
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((i, len(t), 0 if i == 1 or t == "alone" else len(text)) for i, t in rows)
