@@ -25,10 +25,16 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 def split_rows(rows: DataFrame, key: str, fraction: float, seed: int = 11) -> DataFrame:
     """`rows` with is_dev: `fraction` of the rows, rounded down but one at least, the same ones each time: those that come
-    first by a digest of seed and key."""
+    first by a digest of seed and key. Rows of one key stay together, so repeated keys may take a few more.
+
+    Only keys are numbered; the last digest that counts is found, and rows are told by it where they are."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(key)).cast("binary"))
     wanted = max(1, int(rows.count() * fraction))
-    placed = numbered(rows.withColumn("_digest", F.md5(F.concat_ws("|", F.lit(seed), F.col(key)).cast("binary"))), "_digest", key)
-    return placed.withColumn("is_dev", F.col("place") < wanted).drop("_digest", "place")
+    last = numbered(rows.select(digest.alias("_digest"), key), "_digest", key).where(F.col("place") == wanted - 1).first()
+    if last is None:
+        return rows.withColumn("is_dev", F.lit(False))
+    mine = F.struct(digest.alias("d"), F.col(key).alias("k"))
+    return rows.withColumn("is_dev", mine <= F.struct(F.lit(last["_digest"]).alias("d"), F.lit(last[key]).cast(rows.schema[key].dataType).alias("k")))
 
 
 def unique_lines(lines: DataFrame, text: str = "text") -> DataFrame:
@@ -104,17 +110,25 @@ def resolve_aliases(aliases: DataFrame, rounds: int = 40) -> DataFrame:
     raise ValueError("the aliases form a cycle")
 
 
-def used_names(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(name) of all that the roots reach over edges (source, target), a step at a time."""
-    found = checkpointed(roots.select("name").distinct())
-    front = found
-    for _ in range(rounds):
+#: Fronts that a search keeps apart before it writes them as one.
+FRONTS = 16
+
+
+def used_names(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(name) of all that the roots reach over edges (source, target), a step at a time, for as many steps as it takes. Each
+    step writes what it finds anew; what was found before is written again once in FRONTS steps."""
+    fronts = [checkpointed(roots.select("name").distinct())]
+    found = front = fronts[0]
+    while True:
         reached = edges.join(front, edges["source"] == front["name"], "left_semi").select(F.col("target").alias("name")).distinct()
         front = checkpointed(reached.join(found, "name", "left_anti"))
         if front.isEmpty():
             return found
-        found = checkpointed(found.union(front))
-    raise ValueError("too many steps")
+        fronts.append(front)
+        found = found.union(front)
+        if len(fronts) > FRONTS:
+            found = checkpointed(found)
+            fronts = [found]
 
 
 def prune(items: DataFrame, used: DataFrame, name: str = "name") -> DataFrame:

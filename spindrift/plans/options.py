@@ -54,5 +54,21 @@ def flag(value: str) -> bool:
     return value.strip().lower() in TRUE
 
 
+#: Fixed: the other variables of a deployment, with their defaults. The first group chooses the classifier, the second is the
+#: host's and has no use in a plan; it is read so that a deployment can be listed as a whole.
+CLASSIFIER = {"BACKEND": "huggingface", "MODEL_ID": "", "MODEL_REVISION": "", "AGGREGATION": "simple"}
+HOST = {"CACHE_SIZE": "128", "CORS_ORIGINS": "*", "WARMUP": "false", "FRONTEND_DIR": "static"}
+
+
+def deployment(env=os.environ) -> dict[str, object]:
+    """All settings of the environment by name: those of Options, the classifier's and the host's."""
+    own = Options.from_env(env)
+    rest = {k: env.get(f"NER_{k}", v) for k, v in (CLASSIFIER | HOST).items()}
+    out = {k.lower(): v for k, v in rest.items()} | {f.name: getattr(own, f.name) for f in fields(own)}
+    return out | {
+        "backend": rest["BACKEND"].strip().lower(), "cache_size": int(rest["CACHE_SIZE"]), "warmup": flag(rest["WARMUP"]), "cors_origins": origins(rest["CORS_ORIGINS"]),
+    }
+
+
 def origins(value: str) -> list[str]:
     return [x.strip() for x in value.split(",") if x.strip()]

@@ -35,11 +35,11 @@ def numbered_lines(files: DataFrame, limit: int | None = None, text: str = "valu
 
 
 def read_txt(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(id, text) of one uploaded text file, one document a line; numbers and limit as in numbered_lines, at any size."""
+    """(id, text) of one uploaded text file in its order, one document a line; numbers and limit as in numbered_lines."""
     lines = physical_lines(spark, [path])
     if limit is not None:
         lines = lines.where(F.col("line_no") <= limit)
-    return some(lines.where(not_blank(F.col("value"))).select(F.col("line_no").cast("string").alias("id"), F.col("value").alias("text")))
+    return some(lines.where(not_blank(F.col("value"))).orderBy("line_no").select(F.col("line_no").cast("string").alias("id"), F.col("value").alias("text")))
 
 
 def text_column(names: list[str]) -> str:
