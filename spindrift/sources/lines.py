@@ -64,3 +64,31 @@ def first_rows(rows: DataFrame, limit: int) -> DataFrame:
     cut = met.where(F.col("before") + F.col("n") > limit)
     cut = cut.withColumn("_place", _placed(cut)).where(F.col("_place") <= limit - F.col("before")).drop("_place")
     return whole.union(cut).drop("n", "before")
+
+
+def running_total(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """`rows` with out, the sum of `value` over all rows before each, in their order: by split, and within splits."""
+    sums = rows.groupBy(*SPLIT).agg(F.sum(value).alias("_n"))
+    order = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)  # over splits, not lines
+    starts = sums.select(*SPLIT, F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*SPLIT).orderBy("at", "part").rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, SPLIT)
+    return met.withColumn(out, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record, value): a CSV file's records, numbered from 0, as their text; empty ones are skipped and don't count.
+
+    A line begins a record where the quotes before it are even in number, which sums by split tell, so a file of quoted line
+    feeds is read by as many tasks as it has splits. Quotes must stand around fields, or be doubled within these; a record's
+    lines meet in one row."""
+    rows = line_rows(spark, [path], feeds_only=True)
+    rows = rows.withColumn("_quotes", (F.length("value") - F.length(F.replace("value", F.lit('"')))).cast("long"))
+    rows = running_total(rows, "_quotes", "_before").withColumn("_begins", (F.col("_before") % 2 == 0).cast("long"))
+    rows = running_total(rows, "_begins", "_earlier").withColumn("_record", F.col("_earlier") + F.col("_begins"))
+    one = F.array_sort(F.collect_list(F.struct(*SPLIT, "at", "value")))
+    records = rows.groupBy("_record").agg(F.array_join(F.transform(one, lambda x: x["value"]), "\n").alias("value"))
+    records = records.withColumn("value", F.regexp_replace("value", r"\r\z", "")).where("value <> ''")
+    # Numbered as lines are: by ranges of records.
+    records = records.withColumns({"path_no": F.lit(0), "file": F.lit(""), "block": F.floor(F.col("_record") / 100_000), "at": F.col("_record"), "part": F.lit(0), "_one": F.lit(1)})
+    return running_total(records, "_one", "record").select("record", "value")

@@ -1,5 +1,7 @@
 """Lines of many files in many splits, against Python's own reading."""
 
+import csv
+import io
 import random
 
 import pytest
@@ -60,3 +62,27 @@ def test_vocabulary_file(spark, small_splits, tmp_path):
     (tmp_path / "vocab.txt").write_bytes("\n".join(tokens).encode())
     want = {t.rstrip("\r"): i for i, t in enumerate(tokens) if t.rstrip("\r")}
     assert {r.token: r.id for r in readers.read_vocabulary(spark, str(tmp_path / "vocab.txt")).collect()} == want
+
+
+def test_large_csv(spark, small_splits, tmp_path):
+    """Quoted line feeds, commas and quotes, in many splits, as Python's csv module reads them."""
+    rng = random.Random(11)
+    for end in ("\n", "\r\n"):
+        out = io.StringIO()
+        write = csv.writer(out, lineterminator=end)
+        write.writerow(["id", "Teks ", "x"])
+        for i in range(300):
+            text = "".join(rng.choice('ab,"\n é') for _ in range(rng.choice([0, 2, 9, 300])))
+            write.writerow([i, text, rng.choice(["y", "", 'q"'])])
+            out.write(end * (i % 40 == 0))
+        path = tmp_path / f"{len(end)}.csv"
+        path.write_bytes(out.getvalue().encode())
+        rows = list(csv.DictReader(io.StringIO(out.getvalue(), newline="")))
+        want = {str(i): r["Teks "] for i, r in enumerate(rows, 1) if r["Teks "].strip()}
+        got = {r.id: r.text for r in readers.read_large_csv(spark, str(path)).collect()}
+        assert got == want
+        assert {r.id for r in readers.read_large_csv(spark, str(path), 20).collect()} == {k for k in want if int(k) <= 20}
+        assert lines.line_rows(spark, [str(path)], feeds_only=True).rdd.getNumPartitions() > 20
+    (tmp_path / "empty.csv").write_text("\n")
+    with pytest.raises(ValueError):
+        readers.read_large_csv(spark, str(tmp_path / "empty.csv"))
