@@ -10,7 +10,8 @@ weights. A text gets the language of least cross-entropy a character.
 
 Rejection is calibrated for each language on the third of its sample that is held back from learning. How far a document's
 cross-entropy exceeds the language's mean is measured in standard deviations for its length (a part that all documents
-have, and a part that falls with the number of characters). The limit is what at most a share `false_rejection` of such
+have, and a part that falls with the number of characters, of the mean's square at least, as few short documents tell little
+of it). The limit is what at most a share `false_rejection` of such
 documents exceeds, by the largest of three counts: with their upper tenth's tail taken as exponential, by Student's t for
 as many calibration documents, and the quantile of the documents themselves. Beyond the limit a text is rejected.
 
@@ -197,13 +198,14 @@ class Models:
         """Set the limit of a language from documents of it."""
         if not len(nats):
             return
-        mean, common, single = nats.mean(), max(nats.var(ddof=min(1, len(nats) - 1)), 1e-4), 0.0
+        mean, common = nats.mean(), max(nats.var(ddof=min(1, len(nats) - 1)), 1e-4)
+        single = mean**2  # the costs of single characters spread about as widely as they are high
         if len(nats) >= FEW:
             square, short = (nats - mean) ** 2, 1 / np.maximum(letters, 1)
             order = np.argsort(short)
             long, brief = order[: (len(order) + 1) // 2], order[len(order) // 2 :]
             gap = short[brief].mean() - short[long].mean()
-            single = max(0.0, (square[brief].mean() - square[long].mean()) / gap) if gap > 0 else 0.0
+            single = max(single, (square[brief].mean() - square[long].mean()) / gap) if gap > 0 else single
             common = max(square[long].mean() - single * short[long].mean(), 1e-4)
         away = np.sort((nats - mean) / np.sqrt(common + single / np.maximum(letters, 1)))
         tenth = max(1, len(away) // 10)
