@@ -49,8 +49,8 @@ def drop_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The blocks of the mix: (shard, slot, source, pass, block, n_words, doc_ids, text). Texts without words fill none; no
-    rows, no blocks."""
+    """The blocks of the mix: (shard, slot, source, pass, block, n_words, doc_ids, text). Each row is packed by itself, also where
+    rows share a doc_id or have none. Texts without words fill none; no rows, no blocks."""
     return mixing.mixed_blocks(docs)
 
 
