@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -257,8 +258,8 @@ def train(
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(k.view(np.int64)), pa.array(c)], ["lang", "gram", "n"])
 
     grams = sample.where(~held).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
-    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # bounded with the sample
-    counts = [(g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(np.int64)) for g in (grams[grams.lang == x] for x in languages)]
+    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded with the sample; columns, no object a row
+    counts = [(g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for g in (grams.filter(pc.field("lang") == x) for x in languages)]
     if not any(len(k) for k, _ in counts):
         return None
     models = Models(languages, counts)

@@ -106,7 +106,7 @@ def draw_slots(sources: DataFrame, block_tokens: int, shard_blocks: int, seed: i
         empty = "shard long, slot long, rank long, pass long, block long"
         return spark.createDataFrame([], empty)
     counts = stored(drawn_counts(src, total, shard_blocks, seed), "mix-counts")
-    counts = running(counts, "n", "rank", "shard", "first").join(src.select("rank", "wanted"), "rank")
+    counts = stored(running(counts, "n", "rank", "shard", "first").join(src.select("rank", "wanted"), "rank"), "mix-counts")
 
     # What was drawn too often and too seldom, unit by unit in the order of the sources: the k-th of the one becomes the k-th of the other.
     drawn = src.join(counts.groupBy("rank").agg(F.sum("n").alias("drawn")), "rank", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
@@ -124,13 +124,14 @@ def draw_slots(sources: DataFrame, block_tokens: int, shard_blocks: int, seed: i
     beyond = counts.where("first + n > wanted").select("shard", "rank", F.explode(F.expr("sequence(greatest(first, wanted), first + n - 1)")).alias("draw"))
     settled = beyond.join(moved, ["rank", "draw"]).select("shard", F.col("to_rank").alias("rank"), F.col("to_draw").alias("first"), F.col("to_draw").alias("last"))
     slots = inside.unionByName(settled).select("shard", "rank", F.explode(F.sequence("first", "last")).alias("draw")).join(src.select("rank", "blocks"), "rank")
-    return slots.select(
+    slots = slots.select(
         "shard",
         F.col("draw").alias("slot"),
         "rank",
         F.expr("draw div blocks").alias("pass"),
         shuffled_index(F.pmod("draw", "blocks"), F.col("blocks"), F.col("rank"), seed).alias("block"),
     )
+    return stored(slots, "mix-slots")
 
 
 #: A row's identity: 128 bits of doc_id, source and text, and which of equal rows it is.
@@ -165,7 +166,7 @@ def block_spans(docs: DataFrame, sources: DataFrame, block_tokens: int) -> DataF
     starts = sums.select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     inside = Window.partitionBy("rank", "bucket").orderBy(*ROW).rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["rank", "bucket"])
-    base = base.withColumn("at", F.col("start") + F.col("before"))
+    base = stored(base.select(*ROW, "doc_id", "source", "size", "rank", (F.col("start") + F.col("before")).alias("at")), "mix-offsets")
     end = F.col("at") + F.col("size")
     of = F.sequence(F.expr(f"at div {block_tokens}"), F.expr(f"(at + size - 1) div {block_tokens}"))
     spans = base.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, of)))

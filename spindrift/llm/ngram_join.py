@@ -272,7 +272,7 @@ class Join:
         pairs = pairs.select(
             F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), F.greatest("nx", "ny").alias("pairs")
         )
-        pairs = pairs.select("x", "y", F.pmod(F.xxhash64("x"), F.expr(f"(pairs - 1) div {HUB} + 1")).alias("copy"))
+        pairs = stored(pairs.select("x", "y", F.pmod(F.xxhash64("x"), F.expr(f"(pairs - 1) div {HUB} + 1")).alias("copy")), "join-dealt")
         x = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx"))
         y = sets.join(nodes, "node").select(F.col("node").alias("y"), F.explode(F.expr(f"sequence(0L, (pairs - 1) div {HUB})")).alias("copy"), F.col("tokens").alias("ty"))
         met = pairs.hint("merge").join(x.hint("merge"), "x").join(y.hint("merge"), ["y", "copy"])
@@ -324,10 +324,11 @@ def join_components(docs: DataFrame) -> DataFrame:
     # The leader is the set with the fewest shingles that no one shares, the hub of a group of near copies if there is one.
     lists = lists.withColumn("most", most_partner(F.col("n"), F.col("place")))
     lead = lists.groupBy("token").agg(F.min(F.struct("place", "node", "n", "most")).alias("l"), F.count("*").alias("rows")).where("rows > 1")
+    lead = stored(lead.drop("rows"), "join-lead")
     first = lists.join(lead.select("token", F.col("l.node").alias("y"), F.col("l.n").alias("m"), F.col("l.most").alias("most_y")), "token")
     first = first.where(near(F.col("n"), F.col("m")) & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("most_y")) & (F.col("node") != F.col("y")))
     first = stored(first.select(F.col("node").alias("x"), "y").distinct(), "join-pairs")
-    edges = stored(join.linked(first).unionByName(light_edges), "join-edges")
+    edges = stored(join.linked(first), "join-edges").unionByName(stored(light_edges, "join-edges"))
     found = components(edges, "join-components")
 
     # Second scan: what the first left apart. A set whose rarest shingles leave only partners smaller than the list's
@@ -339,14 +340,14 @@ def join_components(docs: DataFrame) -> DataFrame:
     groups = named.groupBy("token", "component").agg(F.count("*").alias("rows"))
     groups = groups.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"))
     groups = groups.where("parts > 1").select("token", "main")
-    open_lists = named.join(groups, "token")
+    open_lists = stored(named.join(groups, "token"), "join-open")
     side = lambda x: [F.col(c).alias(f"{c[0] if c != 'most' else 'most_'}{x}") for c in ("n", "most", "component")]
     few = open_lists.where("component <> main").select("token", F.col("node").alias("x"), *side("x"))
     rest = open_lists.select("token", F.col("node").alias("y"), *side("y"), (F.col("component") == F.col("main")).alias("is_main"))
     second = few.join(rest, "token").where("cx <> cy AND (is_main OR x < y) AND ny <= most_x AND nx <= most_y").where(near(F.col("nx"), F.col("ny")))
     second = second.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     second = stored(second.join(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"), "join-pairs")
-    more = join.linked(second)
+    more = stored(join.linked(second), "join-edges")
     # The first round's components stand for their edges.
     all_edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
     final = components(all_edges, "join-components")
@@ -354,6 +355,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     out = members.join(final, members["node"] == final["node"], "left").select(
         "doc_id", members["node"].alias("copy_of"), F.coalesce("component", members["node"]).alias("component_id")
     ).distinct()
+    out = stored(out, "join-found")
     out = sizes.join(out.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import language_id, lm_score
 from spindrift.llm.common import fresh_names
+from spindrift.llm.components import components
 from spindrift.llm.queries import QUERIES
 
 from .test_operators import AZ, WORD, brute_components
@@ -280,3 +281,36 @@ def test_unseen_writing_is_rejected(spark, docs_each):
     new = [(i, text(k, rng.randint(5, 60)), k) for i, k in enumerate(sorted(LETTERS) * 300)]
     out = language_id.identify(spark.createDataFrame(new, "doc_id long, text string, lang string"), models).collect()
     assert sum(r.rejected for r in out) <= 9 and all(r.lang_pred == k for r, (_, _, k) in zip(sorted(out), new, strict=True))
+
+
+def test_pipeline_plans_stay_small(spark, folder):
+    """No job of the pipeline has a plan of more than 80 nodes: the driver plans what is left anew at every stage of a job, so large plans
+    filled its memory (173 nodes in the mix, 91 in the join's edges, 73 in each step of its components before)."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from spindrift.llm.common import stored
+
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def plans():
+        bus.waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return [found.apply(i).executionId() for i in range(found.size())]
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        last = max(plans(), default=-1)
+        docs = stored(stage(spark, docs, folder), name)
+        sizes = [store.planGraph(i).allNodes().size() for i in plans() if i > last]
+        assert sizes and max(sizes) <= 80, (name, sorted(sizes)[-5:])
+
+
+def test_components_of_chains_hubs_and_pairs(spark):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1000 + i, 999) for i in range(80)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)] + [(5, 5), (7, 6), (6, 7), (-3, 9)]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(got) == len(least) and {r.node: r.component for r in got} == least
