@@ -16,11 +16,12 @@ from .trie import Trie, code_points, each_distinct, ragged
 
 #: Fixed pattern of a word or a single sign.
 PIECE_WORD = r"[\p{L}\p{N}]+(?:[.@+_'-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
+WORDS = f"(?U){PIECE_WORD}"
 
 
 def words_of(text: Column) -> Column:
     """array<struct<start, end, text>>"""
-    return find_all(text, f"(?U){PIECE_WORD}")
+    return find_all(text, WORDS)
 
 
 def plain_word(word: str) -> str:

@@ -90,6 +90,16 @@ def value(label: str) -> Column:
     return out
 
 
+def used(name: str) -> Column:
+    """Whether the form that a row's label takes, of any of its labels, names this field."""
+    out = F.lit(False)
+    for label, forms in FORMS.items():
+        for (low, _), (below, form) in zip([(0, ""), *forms], forms, strict=False):
+            if any(n == name for _, n in parts_of(form)):
+                out = out | ((F.col(f"{label}?") >= low) & (F.col(f"{label}?") < below))
+    return out
+
+
 def pieces_of(sentence: str) -> Column:
     """array<struct<text, label>>: the sentence with its slots filled, cut at them."""
     out = []
@@ -102,11 +112,16 @@ def pieces_of(sentence: str) -> Column:
 
 
 def gold_sentences(keys: DataFrame, key: str) -> DataFrame:
-    """(doc_id, text, entities) with exact offsets, one sentence a key; templates go round by key. A null key gives nulls."""
-    k = F.col(key)
-    drawn = keys.select(k.alias("doc_id"), *[field(k, n).alias(n) for n in (*POOLS, *RANGES)], *[draw(k, f"{n}?", SHARES).alias(f"{n}?") for n in FORMS])
+    """(doc_id, text, entities) with exact offsets, one sentence a key; templates go round by key. A null key gives nulls.
+
+    Only what a row's sentence and forms name is drawn; the other draws would not show."""
+    k = F.col("doc_id")
+    turn = F.pmod(k, F.lit(len(SENTENCES)))
+    slots = {n: [i for i, x in enumerate(SENTENCES) if any(label == n for _, label in parts_of(x))] for n in FORMS}
+    chosen_forms = [F.when(turn.isin(slots[n]), draw(k, f"{n}?", SHARES)).alias(f"{n}?") for n in FORMS]
+    forms = keys.select(F.col(key).alias("doc_id")).select("doc_id", *chosen_forms)
+    drawn = forms.select("doc_id", *[f"{n}?" for n in FORMS], *[F.when(used(n), field(k, n)).alias(n) for n in (*POOLS, *RANGES)])
     filled = drawn.select("doc_id", *[value(n).alias(n) for n in FORMS])
-    turn = F.pmod(F.col("doc_id"), F.lit(len(SENTENCES)))
     chosen = F.when(turn == 0, pieces_of(SENTENCES[0]))
     for i, sentence in enumerate(SENTENCES[1:], 1):
         chosen = chosen.when(turn == i, pieces_of(sentence))

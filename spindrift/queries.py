@@ -449,7 +449,7 @@ def wordpiece_ids(spark, sf_dir) -> DataFrame:
 def sentence_vocabulary(sentences: DataFrame) -> DataFrame:
     """(token, id): special tokens, letters and digits alone and going on, and all words of letters in the sentences."""
     fixed = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *[f"{p}{c}" for p in ("", "##") for c in "abcdefghijklmnopqrstuvwxyz0123456789.,;:+@-_"]]
-    words = sentences.select(F.explode(wordpiece.words_of(F.lower("text"))).alias("w")).select(F.col("w.text").alias("token"))
+    words = sentences.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(wordpiece.WORDS), F.lit(0))).alias("token"))
     words = corpus.numbered(words.where(F.col("token").rlike("^[a-z]{2,}$")).distinct(), "token")
     first = sentences.sparkSession.createDataFrame(list(enumerate(fixed)), "id int, token string")
     return first.select("token", "id").union(words.select("token", (F.col("place") + len(fixed)).cast("int")))
@@ -458,14 +458,18 @@ def sentence_vocabulary(sentences: DataFrame) -> DataFrame:
 def _tagged(spark, sf_dir):
     """(pieces, model): a tagger trained on a sentence for each customer."""
     gold = gold_documents(spark, sf_dir)
-    pieces = wordpiece.load_wordpieces(sentence_vocabulary(gold))
+    pieces = wordpiece.load_wordpieces(scratch.checkpointed(sentence_vocabulary(gold)))
     return pieces, token_model.trained_tagger(gold, pieces)
 
 
+def order_keys(spark, sf_dir) -> DataFrame:
+    """The key of each order's sentence, one that no customer has."""
+    return spread(table(spark, sf_dir, "orders").select((F.col("o_orderkey") + (1 << 40)).alias("key")))
+
+
 def order_sentences(spark, sf_dir) -> DataFrame:
     """A sentence for each order, of draws that no customer's has."""
-    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + (1 << 40)).alias("key"))
-    return scratch.checkpointed(generator.gold_sentences(spread(keys), "key"))
+    return generator.gold_sentences(order_keys(spark, sf_dir), "key")
 
 
 def analyze_tokens(spark, sf_dir) -> DataFrame:
