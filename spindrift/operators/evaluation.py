@@ -31,7 +31,19 @@ def span_counts(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 def scores(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """One row: hit, extra, miss, precision, recall, f1 over all spans; a ratio with nothing below the line is 0."""
-    total = span_counts(pred, gold).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hit", "extra", "miss")])
+    return rated(span_counts(pred, gold))
+
+
+def row_scores(docs: DataFrame, pred: Column, gold: Column) -> DataFrame:
+    """The same where both sides of a document stand in its row, and each document has one row: nothing is shuffled."""
+    keys = lambda all_: F.array_distinct(F.transform(F.coalesce(all_, F.array()), lambda e: row(start=e["start"], end=e["end"], label=e["label"])))
+    sides = docs.select(keys(pred).alias("p"), keys(gold).alias("g"))
+    sides = sides.select(F.size("p").alias("p"), F.size("g").alias("g"), F.size(F.array_intersect("p", "g")).cast("long").alias("hit"))
+    return rated(sides.select("hit", (F.col("p") - F.col("hit")).alias("extra"), (F.col("g") - F.col("hit")).alias("miss")))
+
+
+def rated(counts: DataFrame) -> DataFrame:
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hit", "extra", "miss")])
     total = total.withColumns({"precision": ratio(F.col("hit"), F.col("hit") + F.col("extra")), "recall": ratio(F.col("hit"), F.col("hit") + F.col("miss"))})
     return total.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 

@@ -479,10 +479,11 @@ def analyze_tokens(spark, sf_dir) -> DataFrame:
 
 
 def token_scores(spark, sf_dir) -> DataFrame:
-    """What the token model finds in the orders' sentences, against what was filled in."""
-    gold = order_sentences(spark, sf_dir)
-    found_ = token_model.analyze_tokens(gold.select("doc_id", "text"), *_tagged(spark, sf_dir), Options.browser(max_characters=None))
-    return evaluation.scores(evaluation.span_keys(found_), evaluation.span_keys(gold))
+    """What the token model finds in the orders' sentences, against what was filled in. A sentence follows from its key, so equal
+    keys are one document, and what was found stands beside what was filled in."""
+    gold = generator.gold_sentences(order_keys(spark, sf_dir).distinct(), "key").withColumnRenamed("entities", "gold")
+    found_ = token_model.analyze_tokens(gold, *_tagged(spark, sf_dir), Options.browser(max_characters=None))
+    return evaluation.row_scores(found_, F.col("entities"), F.col("gold"))
 
 
 def dictionary_spans(spark, sf_dir) -> DataFrame:

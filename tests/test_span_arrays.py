@@ -78,6 +78,17 @@ def test_word_codes(spark):
     assert got == [c for r in want for c in r.c] and len(set(got)) > 4
 
 
+def test_row_scores(spark):
+    """As over spans of both sides, one row each; repeated spans count once, null sides as empty."""
+    e = lambda *spans: [(a, b, x) for a, b, x in spans]
+    rows = [(1, e((0, 3, "A"), (0, 3, "A"), (4, 6, "B")), e((0, 3, "A"), (7, 9, "B"))), (2, None, e((0, 1, "A"))), (3, [], []), (4, e((2, 3, "A")), None)]
+    df = spark.createDataFrame(rows, "doc_id int, entities array<struct<start:int,end:int,label:string>>, gold array<struct<start:int,end:int,label:string>>")
+    gold = df.select("doc_id", F.col("gold").alias("entities"))
+    want = evaluation.scores(evaluation.span_keys(df), evaluation.span_keys(gold))
+    got = evaluation.row_scores(df, F.col("entities"), F.col("gold"))
+    assert got.collect() == want.collect() and got.first().hit == 1 and got.schema == want.schema
+
+
 def test_slabs():
     sizes = np.array([3, 0, 9, 1, 1, 1, 0])
     assert list(span_arrays.slabs(sizes, 4)) == [(0, 2), (2, 3), (3, 7)] and list(span_arrays.slabs(sizes[:0], 4)) == []
