@@ -12,6 +12,8 @@ from dataclasses import dataclass, fields, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..functions.patterns import BROWSER_GENDERS, PATTERNS, TRIM
 from ..functions.trie import code_points
@@ -43,6 +45,27 @@ def lists(rows: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return rows.flatten(), np.diff(rows.offsets.to_numpy())
 
 
+def filled(text: Column, starts: Column, ends: Column) -> Column:
+    """array<struct<_at_start, _at_end>>: how many characters that are no white space lie before both places, beside the text."""
+
+    def counted(texts: pa.Array, *places: pa.ListArray) -> pa.Array:
+        codes, lens = code_points(texts.to_pylist())
+        sums = np.append(0, np.cumsum(~np.isin(codes, SPACES)))
+        first, many = np.cumsum(lens) - lens, lists(places[0])[1]
+        row = np.repeat(np.arange(len(many)), many)
+        counts = [sums[first[row] + np.clip(lists(x)[0].to_numpy(zero_copy_only=False), 0, lens[row])] - sums[first[row]] for x in places]
+        found = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in counts], ["_at_start", "_at_end"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), found)
+
+    @F.arrow_udf("array<struct<_at_start:int,_at_end:int>>")
+    def count(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a, b in slabs(pc.binary_length(batch[0]).to_numpy(zero_copy_only=False)):
+                yield counted(*[x.slice(a, b - a) for x in batch])
+
+    return count.asNondeterministic()(text, starts, ends)  # so that it is evaluated where it stands, once
+
+
 def every_second(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(row, start, end, text) of the matches among `patterns.parts`."""
     flat, sizes = lists(parts)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ENTITY
 from ..functions.labels import BIO
-from ..functions.patterns import PATTERNS, not_blank, parts, unicode_pattern
+from ..functions.patterns import NEEDED, PATTERNS, not_blank, parts, unicode_pattern
 from ..functions.trie import each_distinct
 from ..functions.wordpiece import WORDS, WordPieces
 from ..plans.options import Options
@@ -112,7 +112,7 @@ def entities_of(docs: DataFrame, pieces: WordPieces, load: Callable[[], Predict]
                 yield some(predict, *[x.slice(a, b - a) for x in batch])
 
     def of(text: Column) -> Column:
-        cut = [parts(text, WORDS), *[parts(text, unicode_pattern(p, profile="browser")) for p in PATTERNS.values()]]
+        cut = [parts(text, WORDS), *[parts(text, unicode_pattern(p, profile="browser"), needed=NEEDED[label]) for label, p in PATTERNS.items()]]
         return chain.asNondeterministic()(text, *cut)  # so that it is evaluated where it stands, once
 
     return of

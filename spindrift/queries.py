@@ -12,7 +12,7 @@ from .functions import wordpiece
 from .functions.expr import ENTITY, empty
 from .functions.labels import BIO, label_table, title
 from .functions.patterns import not_blank
-from .operators import chunking, classify, corpus, evaluation, generator, segmentation, spans, stats, teacher, token_model
+from .operators import chunking, classify, corpus, evaluation, generator, segmentation, span_arrays, spans, stats, teacher, token_model
 from .operators.classify import marker_classifier, rule_classifier, structured_classifier
 from .plans import browser, pipeline, scratch, variants
 from .plans.options import Options
@@ -173,8 +173,10 @@ def merge_islands(spark, sf_dir) -> DataFrame:
 def text_islands(spark, sf_dir) -> DataFrame:
     """The rule classifier's spans in all documents, one row each, joined where only white space parts them."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = scratch.checkpointed(docs.select("doc_id", F.inline(spans.normalise(F.col("text"), rule_classifier(F.col("text"))))))
-    return spans.merge_island_rows(rows, texts=docs).select("doc_id", "label", "start", "end", "score")
+    found_ = docs.select("doc_id", "text", spans.normalise(F.col("text"), rule_classifier(F.col("text"))).alias("s"))
+    found_ = found_.withColumn("f", span_arrays.filled(F.col("text"), F.col("s.start"), F.col("s.end")))
+    rows = found_.select("doc_id", F.inline(F.arrays_zip("s", "f"))).select("doc_id", "s.*", "f.*")
+    return spans.merge_island_rows(rows).select("doc_id", "label", "start", "end", "score")
 
 
 def resolve_overlaps(spark, sf_dir) -> DataFrame:
