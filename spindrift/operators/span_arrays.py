@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.patterns import BROWSER_GENDERS, PATTERNS, TRIM
+from ..functions.patterns import BROWSER_GENDERS, DATE, GENDERS, MARK, MARKED_WORD, MONTHS, NEEDED, PATTERNS, PLACES, STOPWORDS, TRIM, parts, unicode_pattern
 from ..functions.trie import code_points
 from .spans import RULE_SCORE
 
@@ -45,15 +45,20 @@ def lists(rows: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return rows.flatten(), np.diff(rows.offsets.to_numpy())
 
 
+def counts_before(codes: np.ndarray, lens: np.ndarray, row: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+    """How many characters that are no white space lie before places of the row's text."""
+    sums, first = np.append(0, np.cumsum(~np.isin(codes, SPACES))), np.cumsum(lens) - lens
+    return [sums[first[row] + np.clip(x, 0, lens[row])] - sums[first[row]] for x in places]
+
+
 def filled(text: Column, starts: Column, ends: Column) -> Column:
     """array<struct<_at_start, _at_end>>: how many characters that are no white space lie before both places, beside the text."""
 
     def counted(texts: pa.Array, *places: pa.ListArray) -> pa.Array:
         codes, lens = code_points(texts.to_pylist())
-        sums = np.append(0, np.cumsum(~np.isin(codes, SPACES)))
-        first, many = np.cumsum(lens) - lens, lists(places[0])[1]
+        many = lists(places[0])[1]
         row = np.repeat(np.arange(len(many)), many)
-        counts = [sums[first[row] + np.clip(lists(x)[0].to_numpy(zero_copy_only=False), 0, lens[row])] - sums[first[row]] for x in places]
+        counts = counts_before(codes, lens, row, *[lists(x)[0].to_numpy(zero_copy_only=False) for x in places])
         found = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in counts], ["_at_start", "_at_end"])
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), found)
 
@@ -66,9 +71,9 @@ def filled(text: Column, starts: Column, ends: Column) -> Column:
     return count.asNondeterministic()(text, starts, ends)  # so that it is evaluated where it stands, once
 
 
-def every_second(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+def every_second(cut: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(row, start, end, text) of the matches among `patterns.parts`."""
-    flat, sizes = lists(parts)
+    flat, sizes = lists(cut)
     lens = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
     row, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
     end = np.cumsum(lens)
@@ -94,8 +99,8 @@ class Spans:
         return len(self.row)
 
 
-def joined(parts: list[Spans]) -> Spans:
-    return Spans(*[np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Spans)])
+def joined(some: list[Spans]) -> Spans:
+    return Spans(*[np.concatenate([getattr(s, f.name) for s in some]) for f in fields(Spans)])
 
 
 def begins(*keys: np.ndarray) -> np.ndarray:
@@ -250,3 +255,50 @@ def browser_entities(texts: pa.Array, tokens: Spans, codes: np.ndarray, names: l
     odd = pc.match_substring_regex(texts, GENDER, ignore_case=True).to_numpy(zero_copy_only=False)
     best = resolved(whole.genders(islands, labels.index("PER"), labels.index("GENDER"), odd))
     return verified(whole, best, matches, labels, rows)
+
+
+def ruled_spans(text: Column) -> Column:
+    """array<struct<start, end, label, score, seq, _at_start, _at_end>>: the rule classifier's spans as `spans.normalise` leaves them,
+    with the characters that are no white space before both ends. The JVM cuts the text at the patterns."""
+    kind = "start:int,end:int,label:string,score:double,seq:int,_at_start:int,_at_end:int"
+    labels = [*PATTERNS, "DATE_TIME", "LOC", "GENDER", "PER"]
+    scores = np.array([0.95] * len(PATTERNS) + [0.9, 0.9, 0.85, 0.7])
+    place, gender, person = (labels.index(x) for x in ("LOC", "GENDER", "PER"))
+
+    def label_of(word: str) -> int:
+        """-1: no name. A marked word begins with a capital, or with a letter of the lists, where only these are small."""
+        low, small = word.lower(), word[0] == "ſ" or "a" <= word[0] <= "z"
+        return place if low in PLACES else gender if low in GENDERS else -1 if small or low in MONTHS or low in STOPWORDS else person
+
+    def some(text: pa.Array, *patterns: pa.ListArray) -> pa.Array:
+        found = [every_second(p) for p in patterns]
+        row, start, end, word = found.pop()
+        coded = word.dictionary_encode()
+        of = np.array([label_of(w) for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+        fits = (of >= 0) & ((of != person) | (start > 0))
+        found.append((row[fits], start[fits], end[fits]))
+        label = np.concatenate([*[np.full(len(f[0]), i) for i, f in enumerate(found[:-1])], of[fits]])
+        row, start, end = (np.concatenate(x) for x in zip(*[f[:3] for f in found], strict=True))
+        order = np.lexsort((start, row))  # stable: equal starts as the patterns come
+        row, start, end, label = row[order], start[order], end[order], label[order]
+        many = np.bincount(row, minlength=len(text))
+        seq = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        whole = Texts(text.to_pylist())
+        s = whole.trimmed(Spans(row, start, end, label, scores[label], seq))
+        before = counts_before(whole.codes, whole.lens, s.row, s.start, s.end)
+        columns = {
+            "start": pa.array(s.start, pa.int32()), "end": pa.array(s.end, pa.int32()), "label": pa.array(labels, pa.string()).take(pa.array(s.label, pa.int64())), "score": pa.array(s.score),
+            "seq": pa.array(s.turn, pa.int32()), "_at_start": pa.array(before[0], pa.int32()), "_at_end": pa.array(before[1], pa.int32()),
+        }
+        sizes = np.bincount(s.row, minlength=len(text))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+    @F.arrow_udf(f"array<struct<{kind}>>")
+    def ruled(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a, b in slabs(pc.binary_length(batch[0]).to_numpy(zero_copy_only=False)):
+                yield some(*[x.slice(a, b - a) for x in batch])
+
+    cut = [parts(text, unicode_pattern(p), needed=NEEDED[label]) for label, p in PATTERNS.items()]
+    cut += [parts(text, unicode_pattern(DATE, True), needed=NEEDED["DATE_TIME"]), parts(text, unicode_pattern(MARKED_WORD), f"$1{MARK}$2{MARK}")]
+    return ruled.asNondeterministic()(text, *cut)  # so that it is evaluated where it stands, once

@@ -173,9 +173,7 @@ def merge_islands(spark, sf_dir) -> DataFrame:
 def text_islands(spark, sf_dir) -> DataFrame:
     """The rule classifier's spans in all documents, one row each, joined where only white space parts them."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found_ = docs.select("doc_id", "text", spans.normalise(F.col("text"), rule_classifier(F.col("text"))).alias("s"))
-    found_ = found_.withColumn("f", span_arrays.filled(F.col("text"), F.col("s.start"), F.col("s.end")))
-    rows = found_.select("doc_id", F.inline(F.arrays_zip("s", "f"))).select("doc_id", "s.*", "f.*")
+    rows = docs.select("doc_id", F.inline(span_arrays.ruled_spans(F.col("text"))))
     return spans.merge_island_rows(rows).select("doc_id", "label", "start", "end", "score")
 
 

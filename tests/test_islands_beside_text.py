@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import patterns
 from spindrift.operators import span_arrays, spans
+from spindrift.operators.classify import rule_classifier
 from spindrift.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +55,17 @@ def test_needed(spark):
             assert hits.count() > 50 and hits.where(~F.col("t").rlike(patterns.NEEDED[label])).isEmpty()
             a, b = (patterns.parts(F.col("t"), pattern, needed=n) for n in (patterns.NEEDED[label], None))
             assert df.where(a != b).isEmpty()
+
+
+def test_ruled_spans(spark):
+    """The rule classifier's spans in arrays, over odd texts and a whole table, as its expressions leave them."""
+    rng = random.Random(12)
+    items = ["Jakarta", "jakarta", "ſurabaya", "laKi-laKi", "PRIA", "female", "Nia", "Élan", "ǅx", "nik", "Maret", "12 mei 2020", "1/2/2020", "08123456789", "0812 3456 7890", "a1@b-c.id",
+             "1234 5678 9012 3456", ".", "-", "_x", "İ", "Σ", " ", " ", "\n", "\x1c", ",", "(", "￿", "😀", "٣"]
+    docs = [("".join(rng.choice(items) for _ in range(rng.randint(0, 25))),) for _ in range(1500)]
+    df = spark.createDataFrame(docs, "t string").union(spark.read.parquet(f"{DATA}/documents.parquet").select(F.coalesce("text", F.lit("")))).repartition(3)
+    own = spans.normalise(F.col("t"), rule_classifier(F.col("t")))
+    want = df.select("t", own.alias("s")).withColumn("f", span_arrays.filled(F.col("t"), F.col("s.start"), F.col("s.end")))
+    want = want.select("t", F.inline(F.arrays_zip("s", "f"))).select("t", "s.*", "f.*").drop("continued")
+    got = df.select("t", F.inline(span_arrays.ruled_spans(F.col("t"))))
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() > 5000
